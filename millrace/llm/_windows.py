@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._tables import saved
 
 
 @dataclass(frozen=True)
@@ -181,9 +182,8 @@ def window_rows(w: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _hot_spans(found: DataFrame, w: Windows) -> DataFrame:
+def _hot_spans(hot: DataFrame, w: Windows) -> DataFrame:
     """The spans of stretches at hot anchors: all by aggregation."""
-    hot = found.filter("hot")
     s = F.struct(F.xxhash64("content").alias("a"), F.hash("content").alias("b"), F.octet_length("content").alias("n"))
     merged = hot.groupBy("anchor", "content").agg(F.min("_id").alias("m"), F.count("*").alias("c"))
     # a hot anchor's stretches: repeated as a whole beyond their first document, or by windows
@@ -220,7 +220,7 @@ def repeated_windows(docs: DataFrame, w: Windows, shard: Callable[[Iterator[pa.R
         .filter(repeated)
         .select("anchor", (F.col("n") > w.hot).alias("hot"))
     )
-    listed = (
+    listed = saved(
         pairs.select("_id", "_h", "anchor")
         .join(shared, "anchor")
         .groupBy("_id", "_h")
@@ -228,14 +228,16 @@ def repeated_windows(docs: DataFrame, w: Windows, shard: Callable[[Iterator[pa.R
         .select("_id", "_h", F.col("l.anchor").alias("anchors"), F.col("l.hot").alias("hots"))
     )
     found = docs.join(listed, ["_id", "_h"]).select("_id", "_h", "text", "anchors", "hots").mapInArrow(stretch_rows(w), STRETCH)
-    cold = (
-        found.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "_id", "_h", "first").mapInArrow(shard, SPANS)
-    )
-    spans = cold.unionByName(_hot_spans(found, w))
-    return spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = found.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "_id", "_h", "first").mapInArrow(shard, SPANS)
+    some = listed.filter(F.array_contains("hots", True))
+    if not some.isEmpty():
+        found = docs.join(some, ["_id", "_h"]).select("_id", "_h", "text", "anchors", "hots").mapInArrow(stretch_rows(w), STRETCH)
+        spans = spans.unionByName(_hot_spans(saved(found.filter("hot").drop("hot")), w))
+    return saved(spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _id, _h (a hash of the text, so that rows sharing an id stay apart) and only what the search needs."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """docs with _id, _h (24 bits of a hash of the text, so that rows sharing an id stay apart) and only what the search needs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    h = F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("_h")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), h, *(more or [text.alias("text")]))

@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, written to the folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def empty_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a long, b long")
+from ._tables import saved
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     they are shuffled again, so no neighbourhood is gathered in one place. The number of rounds grows with the logarithm of the
     longest path. Loops and repeated edges are allowed; an empty table gives an empty result."""
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = checkpointed(now)
+    now = saved(now)
     mark = _mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -39,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
-        now = checkpointed(moved.filter("a <> b").distinct())
+        now = saved(moved.filter("a <> b").distinct())
         after = _mark(now)
         if after == mark:
             break

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._tables import saved
 from .components import components
 
 
@@ -247,12 +248,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Repeated rows come back repeated. Null ids count for no component's smallest id; a component of null ids alone has a null
     component_id. Other columns of docs are ignored. An empty table gives an empty result."""
-    from .components import checkpointed
-
-    prints = checkpointed(simhash(docs, id_col, text_col, size, seed))
+    prints = saved(simhash(docs, id_col, text_col, size, seed))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = components(near_fingerprints(classes, radius))
     of_class = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = of_class.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs, all columns as they are, of one document a component: the one of the smallest id.
+
+    Of rows that share their id one stays. Rows of a null id can't be told apart and stay all."""
+    found = saved(near_duplicates(docs, id_col, text_col, radius, size, seed).filter("doc_id is not null").select("doc_id", "component_id"))
+    own = docs.withColumn("_id", F.col(id_col).cast("long"))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    again = found.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
+    stays = own.join(gone, "_id", "left_anti")
+    if again.isEmpty():
+        return stays.select(docs.columns)
+    return stays.join(again, "_id", "left_anti").unionByName(stays.join(again, "_id", "left_semi").dropDuplicates(["_id"])).select(docs.columns)

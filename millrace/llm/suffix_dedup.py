@@ -103,47 +103,62 @@ def _shard(width: int, most: int = 1 << 19):
     return run
 
 
-def _cut(width: int, whole_characters: bool):
-    """(id, text, spans) rows to the removed bytes' counts, the digest of the rest, and the rest as text."""
+def _keep(own: np.ndarray, hit: np.ndarray) -> str:
+    """The text that is left: a character goes only if all its bytes do."""
+    lead = (own & 0xC0) != 0x80
+    char = np.cumsum(lead) - 1
+    stays = np.zeros(int(char[-1]) + 1 if len(char) else 0, bool)
+    stays[char[~hit]] = True
+    return own[stays[char]].tobytes().decode("utf-8", "replace")
+
+
+def _removed(spans: pa.Scalar, n: int, width: int) -> np.ndarray:
+    found = spans.as_py()
+    return T.covered(np.array([(x["first"], x["last"] + width) for x in found]), n) if found else np.zeros(n, bool)
+
+
+def _digest(width: int):
+    """(id, text, spans) rows to the counts of removed bytes, the digest of the rest, and the rest as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.text_bytes(batch.column(1))
-            spans = batch.column(2)
             n, gone, count, sha, kept = [], [], [], [], []
             for r in range(batch.num_rows):
                 own = data[offsets[r] : offsets[r + 1]]
-                found = spans[r].as_py()
-                hit = T.covered(np.array([(x["first"], x["last"] + width) for x in found]), len(own)) if found else np.zeros(len(own), bool)
-                rest = own[~hit].tobytes()
+                hit = _removed(batch.column(2)[r], len(own), width)
                 n.append(len(own))
                 gone.append(int(hit.sum()))
                 count.append(len(T.runs(hit)))
-                sha.append(hashlib.sha256(rest).hexdigest())
-                if whole_characters and found:  # a character goes only if all its bytes do
-                    lead = (own & 0xC0) != 0x80
-                    char = np.cumsum(lead) - 1
-                    stays = np.zeros(int(char[-1]) + 1 if len(char) else 0, bool)
-                    stays[char[~hit]] = True
-                    rest = own[stays[char]].tobytes()
-                kept.append(rest.decode("utf-8", "replace"))
+                sha.append(hashlib.sha256(own[~hit].tobytes()).hexdigest())
+                kept.append(_keep(own, hit))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *(pa.array(x, pa.int64()) for x in (n, gone, count)),
-                    pa.array(sha, pa.string()),
-                    pa.array(kept, pa.string()),
-                ],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return run
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    w = Windows("byte", width, max(1, min(32, width // 4)), False, hot)
-    base = keyed(docs, id_col, text_col)
-    return base, repeated_windows(base, w, _shard(width))
+def _rewrite(width: int, at: int):
+    """Rows of documents, their spans last, to the same rows with what is left of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            data, offsets = T.text_bytes(batch.column(at))
+            texts = batch.column(at).to_pylist()
+            for r in np.flatnonzero(batch.column(last).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own = data[offsets[r] : offsets[r + 1]]
+                texts[r] = _keep(own, _removed(batch.column(last)[r], len(own), width))
+            columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(last)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(last)]))
+
+    return run
+
+
+def _windows(width: int, hot: int) -> Windows:
+    return Windows("byte", width, max(1, min(32, width // 4)), False, hot)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 4000) -> DataFrame:
@@ -153,7 +168,16 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts are empty. Null ids are kept. Repeated rows count as separate occurrences, so that their long texts go
     from all of them. Other columns of docs are ignored. An empty table gives an empty result."""
-    base, spans = _spans(docs, id_col, text_col, width, hot)
+    base = keyed(docs, id_col, text_col)
+    spans = repeated_windows(base, _windows(width, hot), _shard(width))
     out = base.join(spans, ["_id", "_h"], "left").select("_id", "text", "spans")
-    kept = out.mapInArrow(_cut(width, True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    kept = out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit((1 << 63) - 1)))
+
+
+def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 4000) -> DataFrame:
+    """The rows of docs, other columns as they are, with what `remove_repeated_bytes` keeps of their texts; null texts stay null."""
+    key = keyed(docs, id_col, text_col, "*")
+    spans = repeated_windows(keyed(docs, id_col, text_col), _windows(width, hot), _shard(width))
+    out = key.join(spans, ["_id", "_h"], "left").select(*(f"`{c}`" for c in docs.columns), "spans")
+    return out.mapInArrow(_rewrite(width, docs.columns.index(text_col)), docs.schema)
