@@ -65,9 +65,14 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Everything in ASCII but letters and digits.
+MARKS = np.zeros(256, bool)
+MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the n + 1 offsets of the rows into them."""
-    inside = ~SPACE[data]
+    inside = ~space[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
