@@ -5,11 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources.domain import AS_OF, raw_tables
+from . import oracles
+from .models import STAGING, Models
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def models(spark: SparkSession, sf_dir: str) -> Models:
+    return Models(raw_tables(spark, sf_dir), AS_OF)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, so that results compare with other engines."""
+    return df.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes))
+
+
+#: Query name to the model it returns.
+MODEL_QUERIES = {
+    "machine_context": "int_machine_context",
+    "downtime_durations": "int_downtime_durations",
+    "failure_intervals": "int_machine_failure_intervals",
+    "inspection_defects": "int_inspection_defects",
+    "order_performance": "int_order_performance",
+    "telemetry_enriched": "int_machine_telemetry",
+    "dim_factory": "dim_factory",
+    "dim_production_line": "dim_production_line",
+    "dim_machine": "dim_machine",
+    "telemetry_daily": "fct_machine_telemetry_daily",
+    "factory_performance": "factory_performance",
+    "machine_reliability": "machine_reliability",
+    "maintenance_backlog": "maintenance_backlog",
+    "downtime_by_reason": "downtime_by_reason",
+    "inspection_outcomes": "inspection_outcomes",
+    "data_freshness": "data_freshness",
+}
+
+
+def _model(attribute: str) -> Query:
+    return lambda spark, sf_dir: plain(getattr(models(spark, sf_dir), attribute))
+
+
+def _staged(source: str) -> Query:
+    return lambda spark, sf_dir: plain(models(spark, sf_dir).stg(source))
+
+
+def queries() -> dict[str, Query]:
+    from . import registry_tables
+
+    return {k: _model(v) for k, v in MODEL_QUERIES.items()} | {f"stg_{s}": _staged(s) for s in STAGING} | registry_tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import registry_tables
+
+    out = {k: oracles.sql(f"SELECT * FROM {k}") for k in MODEL_QUERIES}
+    for s, columns in STAGING.items():
+        doubles = ", ".join(f"{c}::DOUBLE AS {c}" for c, t in columns.items() if t.startswith("decimal"))
+        out[f"stg_{s}"] = oracles.sql(f"SELECT * {f'REPLACE ({doubles})' if doubles else ''} FROM {s}")
+    return out | {k: oracles.sql(v) for k, v in registry_tables.SQL.items()}
