@@ -219,7 +219,7 @@ def run_status(checks: DataFrame, quarantined: Column | None = None) -> DataFram
         rank.alias("f"),
     )
     status = F.when(F.col("errors") > 0, "failed").when((F.col("warning_checks") > 0) | (quarantined if quarantined is not None else F.lit(False)), "degraded").otherwise("healthy")
-    return per.select("run_id", "passed_checks", "failed_checks", "warning_checks", status.alias("run_status"), F.element_at(F.array(F.lit("fresh"), F.lit("warning"), F.lit("stale")), F.col("f")).alias("freshness_status"))
+    return per.select("run_id", "passed_checks", "failed_checks", "warning_checks", status.alias("run_status"), F.when(F.col("f") == 1, "fresh").when(F.col("f") == 2, "warning").when(F.col("f") == 3, "stale").alias("freshness_status"))
 
 
 def run_facts(runs: DataFrame) -> DataFrame:

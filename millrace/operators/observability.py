@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tables import latest
@@ -167,23 +168,19 @@ def incident_report(evidence: DataFrame) -> DataFrame:
     e = evidence.select("section", "name", F.concat_ws(" ", "name", "value").alias("all"), "value")
     order = F.element_at(F.create_map(*(x for i, s in enumerate(("check", "reason", "schema", "delta")) for x in (F.lit(s), F.lit(i)))), F.col("section"))
     fact = F.concat(F.initcap("section"), F.lit(" "), "name", F.lit(" recorded "), F.col("value"), F.lit("."))
-    parts = [e.select(F.lit("fact").alias("kind"), order.alias("o"), "name", fact.alias("text"))]
+    text = lambda kind, o, t, on=None: F.when(F.lit(True) if on is None else on, F.struct(F.lit(kind).alias("section"), o.alias("o"), t.alias("text")))
+    found = [text("fact", order, fact)]
     for i, (section, words, guess, step) in enumerate(CLUES):
-        hit = e.filter((F.col("section") == section) & F.lower("all").rlike(words))
+        hit = (F.col("section") == section) & F.lower("all").rlike(words)
         before, after = step.split("{}")
-        parts.append(hit.select(F.lit("hypothesis").alias("kind"), F.lit(i).alias("o"), "name", F.lit(guess).alias("text")))
-        parts.append(hit.select(F.lit("next_step").alias("kind"), F.lit(i).alias("o"), "name", F.concat(F.lit(before), F.col("name"), F.lit(after)).alias("text")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    once = rows.groupBy("kind", "text").agg(F.min(F.struct("o", "name")).alias("first"))
-    out = None
-    for kind, most in (("fact", 30), ("hypothesis", 20), ("next_step", 20)):
-        own = once.filter(F.col("kind") == kind).orderBy("first", "text").limit(most)
-        listed = own.agg(F.sort_array(F.collect_list(F.struct("first", "text"))).alias("l"))  # `most` at most
-        own = listed.select(F.posexplode("l").alias("p", "x")).select(F.lit(kind).alias("section"), (F.col("p") + 1).alias("ordinal"), F.col("x.text").alias("text"))
-        out = own if out is None else out.unionByName(own)
-    return out
+        found.append(text("hypothesis", F.lit(i), F.lit(guess), hit))
+        found.append(text("next_step", F.lit(i), F.concat(F.lit(before), F.col("name"), F.lit(after)), hit))
+    rows = e.select("name", F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*", "name")
+    once = rows.groupBy("section", "text").agg(F.min(F.struct("o", "name")).alias("first"))
+    # evidence is bounded, and so is what one section holds
+    nth = F.row_number().over(W.partitionBy("section").orderBy("first", "text"))
+    most = F.when(F.col("section") == "fact", 30).otherwise(20)
+    return once.withColumn("ordinal", nth).filter(F.col("ordinal") <= most).select("section", "ordinal", "text")
 
 
 def incident_by_id(incidents: DataFrame, incident_id: str) -> DataFrame:
