@@ -165,7 +165,7 @@ def _cut(width: int):
     return run
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, hot: int = 4000) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, hot: int = 50_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for each row of docs: its words without those covered by a window of
     `width` words that also starts in a document of a smaller id.
 
