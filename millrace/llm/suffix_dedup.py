@@ -23,25 +23,36 @@ from ._windows import Windows, keyed, repeated_windows
 DIGIT = 50
 
 
+def _digits(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each block data[begin:end]; blocks come in order, and a step hashes STEP_BYTES of data at a time."""
+    out = np.empty(len(begin), np.uint64)
+    cuts = np.searchsorted(begin, np.arange(0, len(data) + T.STEP_BYTES, T.STEP_BYTES))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            lo = begin[a]
+            out[a:b] = T.range_hashes(T.BYTE_VALUES[0][data[lo : end[a:b].max()]], begin[a:b] - lo, end[a:b] - lo, T.BASES[0])
+    return out
+
+
 def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """Which of the suffixes at `starts` agree through `width` bytes with another one of their group.
+    """Which of the suffixes at `starts` (in order) agree through `width` bytes with another one of their group.
 
-    Digits are blocks of bytes, compared by a 64-bit hash; what is left after the last pass is compared byte by byte."""
+    A digit is a block of DIGIT bytes, compared by a 64-bit hash."""
     alive = np.arange(len(starts))
     rank = group.astype(np.int64)
-    values = T.BYTE_VALUES[0][data]
     for depth in range(0, width, DIGIT):
         if not len(alive):
             break
-        at = starts[alive] + depth
-        digit = T.range_hashes(values, at, np.minimum(at + DIGIT, starts[alive] + width), T.BASES[0])
+        begin = starts[alive] + depth
+        digit = _digits(data, begin, np.minimum(begin + DIGIT, begin - depth + width))
         order = np.lexsort((digit, rank))
-        alive, rank, digit = alive[order], rank[order], digit[order]
-        head = np.ones(len(alive), bool)
+        rank, digit = rank[order], digit[order]
+        head = np.ones(len(order), bool)
         head[1:] = (rank[1:] != rank[:-1]) | (digit[1:] != digit[:-1])
-        rank = np.cumsum(head)
         alone = head & np.append(head[1:], True)
-        alive, rank = alive[~alone], rank[~alone]
+        new = np.empty(len(order), np.int64)
+        new[order] = np.where(alone, 0, np.cumsum(head))
+        alive, rank = alive[new > 0], new[new > 0]
     out = np.zeros(len(starts), bool)
     out[alive] = True
     return out
@@ -161,7 +172,7 @@ def _windows(width: int, hot: int) -> Windows:
     return Windows("byte", width, max(1, min(32, width // 4)), False, hot)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 4000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 50_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs: its UTF-8 bytes without those covered by a
     string of `width` bytes that also starts anywhere else, in the same row included. `kept` is text, in which a character stays
     whole if any of its bytes does.
@@ -175,7 +186,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit((1 << 63) - 1)))
 
 
-def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 4000) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 50_000) -> DataFrame:
     """The rows of docs, other columns as they are, with what `remove_repeated_bytes` keeps of their texts; null texts stay null."""
     key = keyed(docs, id_col, text_col, "*")
     spans = repeated_windows(keyed(docs, id_col, text_col), _windows(width, hot), _shard(width))
