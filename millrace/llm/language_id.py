@@ -60,20 +60,22 @@ class Automaton:
                         nxt[p][c] = clone
                         p = link[p]
             last = cur
-        # states are numbered by their row's start; the last class is padding, which stays where it is
-        self.table = np.full((len(nxt), classes), -1, np.int32)
+        # states are numbered by their row's start; the last class is padding, which stays where it is; from the last state no
+        # symbol leads on: texts start there, and so do phrases after a symbol that the language lacks
+        self.table = np.full((len(nxt) + 1, classes), -1, np.int32)
         for s, edges in enumerate(nxt):
             for c, t in edges.items():
                 self.table[s, c] = t * classes
-        self.table[:, classes - 1] = np.arange(len(nxt)) * classes
+        self.table[:, classes - 1] = np.arange(len(nxt) + 1) * classes
         self.size = max(2, len(symbols))
 
     def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each column of classes; each starts with one."""
+        """Phrases of each column of classes. A symbol that the language lacks is a phrase by itself."""
         flat = self.table.ravel()
-        state = np.zeros(lanes.shape[1], np.int32)
-        count = np.ones(lanes.shape[1], np.int64)
-        first = np.maximum(self.table[0], 0)  # a symbol that the language lacks is a phrase by itself
+        end = self.table[-1, -1]
+        state = np.full(lanes.shape[1], end, np.int32)
+        count = np.zeros(lanes.shape[1], np.int64)
+        first = np.where(self.table[0] < 0, end, self.table[0])
         for row in lanes:
             to = flat[state + row]
             miss = to < 0
