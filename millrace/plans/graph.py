@@ -81,3 +81,12 @@ def to_rebuild(spark: SparkSession, names: list[str]) -> list[str]:
 
     below = {r[0] for r in downstream(edges(spark), spark.createDataFrame([(n,) for n in names], "node string")).collect()}
     return [m for m in GRAPH if m in below or m in names]
+
+
+def model_columns(spark: SparkSession, models: dict[str, DataFrame]) -> DataFrame:
+    """(model_name, column_name, data_type, ordinal_position, tests) of built models, from their schemas and the declared tests."""
+    tests: dict[tuple[str, str], list[str]] = {}
+    for r in rules():
+        tests.setdefault((r.model, r.column), []).append(r.kind)
+    rows = [(m, c, t, i + 1, sorted(tests.get((m, c), []))) for m, df in models.items() for i, (c, t) in enumerate(df.dtypes)]
+    return spark.createDataFrame(rows, "model_name string, column_name string, data_type string, ordinal_position int, tests array<string>")

@@ -44,8 +44,21 @@ MODEL_QUERIES = {
 }
 
 
-def _model(attribute: str) -> Query:
-    return lambda spark, sf_dir: plain(getattr(models(spark, sf_dir), attribute))
+#: Sums and means of doubles, whose last digits depend on the order of rows: queries round them.
+ROUNDED = {
+    "telemetry_daily": ("average_temperature_c", "average_vibration_mm_s", "p95_vibration_mm_s", "average_pressure_bar"),
+    "factory_performance": ("downtime_hours", "unplanned_downtime_hours"),
+    "machine_reliability": ("mean_time_to_repair_hours", "mean_time_between_failures_hours", "total_downtime_hours", "unplanned_downtime_hours"),
+    "downtime_by_reason": ("downtime_hours", "average_event_hours"),
+}
+
+
+def _model(name: str, attribute: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = plain(getattr(models(spark, sf_dir), attribute))
+        return df.withColumns({c: F.round(c, 6) for c in ROUNDED.get(name, ())}) if name in ROUNDED else df
+
+    return run
 
 
 def _staged(source: str) -> Query:
@@ -55,13 +68,14 @@ def _staged(source: str) -> Query:
 def queries() -> dict[str, Query]:
     from . import registry_tables
 
-    return {k: _model(v) for k, v in MODEL_QUERIES.items()} | {f"stg_{s}": _staged(s) for s in STAGING} | registry_tables.QUERIES
+    return {k: _model(k, v) for k, v in MODEL_QUERIES.items()} | {f"stg_{s}": _staged(s) for s in STAGING} | registry_tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from . import registry_tables
 
-    out = {k: oracles.sql(f"SELECT * FROM {k}") for k in MODEL_QUERIES}
+    rounded = lambda k: f"REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in ROUNDED[k])})" if k in ROUNDED else ""
+    out = {k: oracles.sql(f"SELECT * {rounded(k)} FROM {k}") for k in MODEL_QUERIES}
     for s, columns in STAGING.items():
         doubles = ", ".join(f"{c}::DOUBLE AS {c}" for c, t in columns.items() if t.startswith("decimal"))
         out[f"stg_{s}"] = oracles.sql(f"SELECT * {f'REPLACE ({doubles})' if doubles else ''} FROM {s}")

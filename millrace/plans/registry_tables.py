@@ -343,14 +343,14 @@ def _daily_volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return ranked.filter("rank = 0").select("source_name", F.col("row_count").alias("observed_rows")), ranked.filter("rank between 1 and 7").select("source_name", "row_count", "rank")
 
 
-@query("""SELECT source_name, observed_rows, samples, samples >= 3 AS evaluated, CASE WHEN samples >= 3 THEN base END AS baseline, CASE WHEN samples >= 3 THEN mad END AS mad, CASE WHEN samples >= 3 THEN lo END AS lower_bound,
-  CASE WHEN samples >= 3 THEN hi END AS upper_bound, CASE WHEN samples >= 3 AND NOT observed_rows BETWEEN lo AND hi THEN 'warning' ELSE 'passed' END AS status
+@query("""SELECT source_name, observed_rows, samples, samples >= 3 AS evaluated, CASE WHEN samples >= 3 THEN base END AS baseline, CASE WHEN samples >= 3 THEN mad END AS mad, CASE WHEN samples >= 3 THEN round(lo, 6) END AS lower_bound,
+  CASE WHEN samples >= 3 THEN round(hi, 6) END AS upper_bound, CASE WHEN samples >= 3 AND NOT observed_rows BETWEEN lo AND hi THEN 'warning' ELSE 'passed' END AS status
   FROM (SELECT *, greatest(0.0, base - tol) AS lo, base + tol AS hi FROM (SELECT *, greatest(1.0, base * 0.2, mad * (3.0 * 1.4826)) AS tol FROM (
     SELECT o.event_type AS source_name, o.n AS observed_rows, coalesce(len(h), 0) AS samples, list_aggregate(h, 'median') AS base, list_aggregate(list_transform(h, lambda x: abs(x - list_aggregate(h, 'median'))), 'median') AS mad FROM (
       SELECT event_type, max(n) FILTER (k = 0) AS n, list(n::DOUBLE) FILTER (k BETWEEN 1 AND 7) AS h FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) - 1 AS k FROM (
         SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)) GROUP BY 1) o)))""")
 def volume_anomaly(spark, sf_dir):
-    return C.volume_anomaly(*_daily_volumes(spark, sf_dir))
+    return C.volume_anomaly(*_daily_volumes(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("lower_bound", "upper_bound")})
 
 
 # --- table maintenance ------------------------------------------------------------------------------------------------------------
