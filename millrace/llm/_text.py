@@ -85,13 +85,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class _Cache(dict):
+    """Empty again wherever it is sent to: tables are made anew rather than shipped."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = _Cache()
 
 
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64 for i to n."""
     if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(n + 1, STEP_BYTES + 1)
+        size = 1 << n.bit_length()
         inverse = pow(base, -1, 1 << 64)
         tables = []
         for b in (base, inverse):
