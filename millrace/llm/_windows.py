@@ -224,7 +224,7 @@ def repeated_windows(docs: DataFrame, w: Windows, shard: Callable[[Iterator[pa.R
         pairs.select("_id", "_h", "anchor")
         .join(shared, "anchor")
         .groupBy("_id", "_h")
-        .agg(F.collect_list(F.struct("anchor", "hot")).alias("l"))
+        .agg(F.collect_set(F.struct("anchor", "hot")).alias("l"))  # rows of one key have equal texts: once is enough
         .select("_id", "_h", F.col("l.anchor").alias("anchors"), F.col("l.hot").alias("hots"))
     )
     found = docs.join(listed, ["_id", "_h"]).select("_id", "_h", "text", "anchors", "hots").mapInArrow(stretch_rows(w), STRETCH)
@@ -233,11 +233,19 @@ def repeated_windows(docs: DataFrame, w: Windows, shard: Callable[[Iterator[pa.R
     if not some.isEmpty():
         found = docs.join(some, ["_id", "_h"]).select("_id", "_h", "text", "anchors", "hots").mapInArrow(stretch_rows(w), STRETCH)
         spans = spans.unionByName(_hot_spans(saved(found.filter("hot").drop("hot")), w))
-    return saved(spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    return saved(spans.groupBy("_id", "_h").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """docs with _id, _h (24 bits of a hash of the text, so that rows sharing an id stay apart) and only what the search needs."""
+def ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    """Whether any two rows share an id; null ids aside."""
+    ids = docs.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null")
+    return not ids.groupBy("_id").count().filter("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, repeat: bool, *more: str) -> DataFrame:
+    """docs with _id, _h and only what the search needs. _h, the whole 64-bit hash of the text, keeps different texts of one id apart:
+    those of null ids, and all if ids repeat. Where ids tell rows apart it is 0, which takes no space in shuffles."""
+    own = F.col(id_col).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    h = F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("_h")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), h, *(more or [text.alias("text")]))
+    h = F.xxhash64(text) if repeat else F.when(own.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    return docs.select(F.coalesce(own, F.lit((1 << 63) - 1)).alias("_id"), h.alias("_h"), *(more or [text.alias("text")]))

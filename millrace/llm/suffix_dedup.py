@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._windows import Windows, keyed, repeated_windows
+from ._windows import Windows, ids_repeat, keyed, repeated_windows
 
 #: Bytes of a digit.
 DIGIT = 50
@@ -179,7 +179,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts are empty. Null ids are kept. Repeated rows count as separate occurrences, so that their long texts go
     from all of them. Other columns of docs are ignored. An empty table gives an empty result."""
-    base = keyed(docs, id_col, text_col)
+    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col))
     spans = repeated_windows(base, _windows(width, hot), _shard(width))
     out = base.join(spans, ["_id", "_h"], "left").select("_id", "text", "spans")
     kept = out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
@@ -188,7 +188,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 50_000) -> DataFrame:
     """The rows of docs, other columns as they are, with what `remove_repeated_bytes` keeps of their texts; null texts stay null."""
-    key = keyed(docs, id_col, text_col, "*")
-    spans = repeated_windows(keyed(docs, id_col, text_col), _windows(width, hot), _shard(width))
+    repeat = ids_repeat(docs, id_col)
+    key = keyed(docs, id_col, text_col, repeat, "*")
+    spans = repeated_windows(keyed(docs, id_col, text_col, repeat), _windows(width, hot), _shard(width))
     out = key.join(spans, ["_id", "_h"], "left").select(*(f"`{c}`" for c in docs.columns), "spans")
     return out.mapInArrow(_rewrite(width, docs.columns.index(text_col)), docs.schema)

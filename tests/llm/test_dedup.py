@@ -81,6 +81,23 @@ def test_repeated_bytes(spark, documents, hot):
     assert sorted(map(tuple, got), key=str) == bytes_expected(rows, 40)
 
 
+def low_bits_agree(passage):
+    """A text that holds the passage and one that doesn't, whose XXH64 agree in their lower 24 bits."""
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & ((1 << 24) - 1)
+    with_it = {low(t): t for i in range(20_000) for t in [f"{i} start {passage} end"]}
+    return next((with_it[h], t) for i in range(20_000) for t in [" ".join(f"w{i}x{j}" for j in range(70))] if (h := low(t)) in with_it)
+
+
+@pytest.mark.parametrize("key", [None, 9])
+def test_texts_of_one_id_stay_apart(spark, documents, key):
+    passage = " ".join(f"shared{j}" for j in range(20))
+    a, b = low_bits_agree(passage)
+    rows = [(1, passage), (key, a), (key, b), *[(key, "again " + passage)] * 5]
+    assert sorted(map(tuple, remove_repeated_words(documents(*rows), width=8).drop("kept").collect()), key=str) == words_expected(rows, 8)
+    assert sorted(map(tuple, remove_repeated_bytes(documents(*rows), width=40).drop("kept").collect()), key=str) == bytes_expected(rows, 40)
+    assert b in {r.text for r in without_repeated_bytes(documents(*rows), width=40).collect()}
+
+
 def test_real_tables(spark, real):
     rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
     assert sorted(map(tuple, remove_repeated_words(real).drop("kept").collect()), key=str) == words_expected(rows, 13)
