@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-#: Bytes of labelled text a language, the documents drawn for it, and the most characters of one: the bounded sample learnt from.
+#: Bytes of labelled text a language: the bounded sample learnt from. The documents drawn for it are of at most REFERENCE_CHARS
+#: characters and, where those don't reach REFERENCE_BYTES, so many longer ones.
 REFERENCE_BYTES = 24_000
 REFERENCE_DOCS = 200
 REFERENCE_CHARS = 4_000
+LONGER_DOCS = 16
 #: Symbols that are parsed in one go; every lane starts a phrase.
 LANE = 512
 #: The most languages that are told apart: their tables are broadcast.
@@ -122,29 +124,38 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """From labelled documents of 1 to REFERENCE_CHARS characters: about REFERENCE_DOCS are drawn by a hash for each language and
-    taken whole, one after the other, until REFERENCE_BYTES are reached."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.length(text_col).between(1, REFERENCE_CHARS))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).toLocalIterator()}
+    """From all labelled documents that aren't empty, each language of which is learnt.
+
+    About REFERENCE_DOCS of at most REFERENCE_CHARS characters are drawn by a hash for each language and taken whole, one after
+    the other, until REFERENCE_BYTES are reached; longer ones, about LONGER_DOCS, fill up what is missing, to the byte."""
+    length = F.length(text_col)
+    text = F.substring(text_col, 1, REFERENCE_BYTES)  # no more of one document is needed
+    labelled = docs.filter(F.col(lang_col).isNotNull() & (length >= 1)).withColumn("_longer", length > REFERENCE_CHARS)
+    counted = labelled.groupBy(lang_col).agg(F.count_if(~F.col("_longer")), F.count_if("_longer"))
+    counts = {r[0]: (r[1], r[2]) for r in counted.limit(MOST_LANGUAGES + 1).toLocalIterator()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Model({})
     place = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(id_col)), 11).cast("double") / float(1 << 53)
     wanted = F.lit(0.0)
-    for lang, n in counts.items():
-        wanted = F.when(F.col(lang_col) == lang, F.lit(REFERENCE_DOCS / n)).otherwise(wanted)
-    sample = labelled.filter(place < wanted).select(lang_col, text_col, id_col)
-    parts: dict[str, list[tuple]] = {x: [] for x in counts}
-    for lang, text, key in sample.toLocalIterator():
-        parts[lang].append((key is None, key, text))
+    for lang, (n, longer) in counts.items():
+        share = F.when(F.col("_longer"), F.lit(LONGER_DOCS / max(1, longer))).otherwise(F.lit(REFERENCE_DOCS / max(1, n)))
+        wanted = F.when(F.col(lang_col) == lang, share).otherwise(wanted)
+    sample = labelled.filter(place < wanted).select(lang_col, text.alias("_text"), id_col, "_longer")
+    parts: dict[str, tuple[list[tuple], list[tuple]]] = {x: ([], []) for x in counts}
+    for lang, head, key, longer in sample.toLocalIterator():
+        parts[lang][longer].append((key is None, key, head))
     out = {}
     for lang, found in parts.items():
-        if not found:  # a tiny table: whatever comes first
-            found = [(False, 0, r[0]) for r in labelled.filter(F.col(lang_col) == lang).select(text_col).limit(REFERENCE_DOCS).collect()]
-        data, offsets = fold(pa.array([t for _, _, t in sorted(found, key=lambda x: (x[0], x[1] or 0, x[2]))], pa.string()))
+        if not any(found):  # a tiny table: whatever comes first
+            for head, longer in labelled.filter(F.col(lang_col) == lang).select(text, "_longer").limit(REFERENCE_DOCS).collect():
+                found[longer].append((False, 0, head))
+        usual, more = (fold(pa.array([t for _, _, t in sorted(x, key=lambda x: (x[0], x[1] or 0, x[2]))], pa.string())) for x in found)
+        data, offsets = usual
         whole = int(np.searchsorted(offsets, min(REFERENCE_BYTES, offsets[-1])))
-        out[lang] = data[: offsets[whole]].tobytes()
+        own = data[: offsets[whole]].tobytes()
+        out[lang] = own + more[0][: max(0, REFERENCE_BYTES - len(own))].tobytes()
     return Model(out)
 
 
@@ -192,9 +203,12 @@ def _accept(shared, at: int):
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text a language is found for: not those of null texts or without a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, all columns as they are, whose text a language is found for: not those of null texts or without a letter.
+    Where nothing was learnt, no text with a letter goes."""
     letters = F.coalesce(F.col(text_col), F.lit("")).rlike(LETTER)
+    if not model.languages:
+        return docs.filter(letters)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("*", letters.alias("_letters")).mapInArrow(_accept(shared, docs.columns.index(text_col)), docs.schema)
 
 

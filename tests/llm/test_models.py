@@ -53,6 +53,19 @@ def test_odd_texts_have_no_language(spark, documents):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_languages_of_long_documents_are_learnt(spark, documents):
+    en, de = "the cat and the dog went out to the house ", "der hund und die katze gingen aus dem haus "
+    docs = documents((1, en * 300, "en"), (2, en * 2000, "en"), (3, de, "de"), (4, de * 200, "de"), (5, "the dog and the house", None), (6, "die katze und das haus", None))
+    model = language_id.train(docs)
+    assert model.languages == ["de", "en"] and all(a.size <= language_id.REFERENCE_BYTES for a in model.automata)
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()} == {1: "en", 2: "en", 3: "de", 4: "de", 5: "en", 6: "de"}
+
+
+def test_nothing_learnt_rejects_nothing(spark, documents):
+    docs = documents((1, "the dog"), (2, "123"), (3, None), (4, "ж"))
+    assert sorted(r.doc_id for r in language_id.accepted(docs, language_id.train(docs)).collect()) == [1, 4]
+
+
 def test_quality_counts_are_exact(spark, documents, small):
     real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = [*real, (None, "a b c a b c\nx\nx\n\n x"), (901, None), (902, ""), (903, "\n\n"), (904, "# * |\n# * |"), (905, "é ü " * 30), (905, "a\r\nb\r\na"), (906, "w " * 60)]
