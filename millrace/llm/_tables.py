@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting: a finished query's shuffle files go at once.
@@ -11,10 +13,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if the session is a single process, as in tests; on a
+    cluster an error, since executors would each write to their own disk."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
@@ -39,3 +44,12 @@ def saved(df: DataFrame) -> DataFrame:
     at = sc._jvm.org.apache.hadoop.fs.Path(home)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """value for all executors, classes of this package included: workers read it with `received` and need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)

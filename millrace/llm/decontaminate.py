@@ -4,6 +4,9 @@ Items are partitioned by their number of shingles, in powers of two. An item's s
 set for its partition so large that a document which holds the wanted share of the item must hold some of the sketch: no leak
 is missed, however long the document is. A document probes the sketches of all partitions with all its shingles; items with
 enough hits are candidates, and exact shingle sets decide.
+
+A benchmark of at most BLOCK_BYTES of text is sketched on the executors, gathered and broadcast, so that documents are searched
+where they are. The sketches of a larger one stay a table, which the documents' shingles are joined with.
 """
 
 from __future__ import annotations
@@ -19,65 +22,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._tables import received, saved, sent
 
-#: Most bytes of benchmark text in one broadcast; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Most bytes of benchmark text that is broadcast; a larger benchmark is joined. Sketches take about as much again.
+BLOCK_BYTES = 8 << 20
+#: Exact shingle sets of items that a task keeps.
+KEPT_SETS = 256
 
 
 @dataclass
 class Sketches:
-    """keys: sorted distinct sketch hashes; at: the n + 1 offsets of their items in `items`; needed: hits that make a candidate."""
+    """keys: sorted distinct sketch hashes; at: the n + 1 offsets of their items in `items`; needed: hits that make a candidate;
+    words: each item's, joined by spaces, from which its exact shingles are made where it is a candidate."""
 
     keys: np.ndarray
     at: np.ndarray
     items: np.ndarray
     needed: np.ndarray
     ids: list[int]
-    exact: list[frozenset[bytes]]
-    sizes: dict[int, int]
+    words: list[bytes]
 
 
 def shingle_set(words: list[bytes], size: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + size]) for i in range(len(words) - size + 1))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words of a text in lower case: runs of letters, digits and characters beyond ASCII."""
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
-    starts, ends, _ = T.word_bounds(raw, np.array([0, len(raw)]), T.MARKS)
-    buf = raw.tobytes()
-    return [buf[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def sketch(items: list[tuple[int, str]], size: int, share: float) -> Sketches:
-    pairs_key, pairs_item, needed, ids, exact, sizes = [], [], [], [], [], {}
-    for item, text in items:
-        words = words_of(text or "")
-        if len(words) < size:
-            continue
-        data = np.frombuffer(b" ".join(words), np.uint8)
-        starts, ends, _ = T.word_bounds(data, np.array([0, len(data)]))
-        hashes = np.unique(T.gram_hashes(T.word_hashes(data, starts, ends), size))
-        n = len(hashes)
-        partition = n.bit_length() - 1
-        may_miss = n - math.ceil(share * n - 1e-9)
-        k = min(n, math.floor((1 - share) * 2 ** (partition + 1)) + 1)
-        sizes[partition] = max(k, sizes.get(partition, 0))
-        pairs_key.append(hashes[:k])
-        pairs_item.append(np.full(k, len(ids)))
-        needed.append(max(1, k - may_miss))
-        ids.append(item)
-        exact.append(shingle_set(words, size))
-    key = np.concatenate([*pairs_key, np.zeros(0, np.uint64)])
-    owner = np.concatenate([*pairs_item, np.zeros(0, np.int64)])
+def lowered(texts: pa.Array) -> pa.Array:
+    """In lower case, letter by letter: the one rule for items and documents."""
+    return pc.utf8_lower(texts)
+
+
+def item_sketches(size: int, share: float):
+    """(item_id, text) rows to (item_id, words, hashes, needed, partition): the sketch of each item of `size` words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = T.text_bytes(lowered(batch.column(1)))
+            starts, ends, rows = T.word_bounds(data, offsets, T.MARKS)
+            grams = T.gram_hashes(T.word_hashes(data, starts, ends), size)
+            buf, keep, joined, hashes, needed, partitions = data.tobytes(), [], [], [], [], []
+            for r, (a, b) in enumerate(zip(rows.tolist(), rows[1:].tolist(), strict=False)):
+                if b - a < size:
+                    continue
+                own = np.unique(grams[a : b - size + 1])
+                n = len(own)
+                partition = n.bit_length() - 1
+                k = min(n, math.floor((1 - share) * 2 ** (partition + 1)) + 1)
+                keep.append(r)
+                joined.append(b" ".join(buf[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)))
+                hashes.append(own[:k].view(np.int64))
+                needed.append(max(1, k - (n - math.ceil(share * n - 1e-9))))  # what may be missing may all be in the sketch
+                partitions.append(partition)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(joined, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(needed, pa.int64()), pa.array(partitions, pa.int32())],
+                ["item_id", "words", "hashes", "needed", "partition"],
+            )
+
+    return run
+
+
+SKETCH = "item_id long, words binary, hashes array<long>, needed long, partition int"
+
+
+def gathered(rows: list) -> Sketches:
+    """Sketch rows as one index."""
+    key = np.concatenate([*(np.array(r.hashes, np.int64) for r in rows), np.zeros(0, np.int64)]).view(np.uint64)
+    owner = np.repeat(np.arange(len(rows)), [len(r.hashes) for r in rows])
     order = np.argsort(key, kind="stable")
     keys, first = np.unique(key[order], return_index=True)
-    return Sketches(keys, np.append(first, len(order)), owner[order], np.array(needed), ids, exact, sizes)
+    return Sketches(keys, np.append(first, len(order)), owner[order], np.array([r.needed for r in rows], np.int64), [r.item_id for r in rows], [bytes(r.words) for r in rows])
+
+
+class Sets:
+    """The exact shingles of items, made where they are asked for; the last KEPT_SETS stay."""
+
+    def __init__(self, words: list[bytes], size: int) -> None:
+        self.words, self.size, self.made = words, size, {}
+
+    def __getitem__(self, item: int) -> frozenset[bytes]:
+        own = self.made.pop(item, None)
+        if own is None:
+            own = shingle_set(self.words[item].split(b" "), self.size)
+            if len(self.made) >= KEPT_SETS:
+                del self.made[next(iter(self.made))]
+        self.made[item] = own
+        return own
 
 
-def _hits(s: Sketches, texts: pa.Array, size: int, share: float) -> tuple[list[int], list[int], list[int], list[int]]:
+def _hits(s: Sketches, sets: Sets, texts: pa.Array, size: int, share: float) -> tuple[list[int], list[int], list[int], list[int]]:
     """Rows, items, shared shingles and the items' shingles of all verified pairs."""
-    data, offsets = T.text_bytes(pc.utf8_lower(texts))
+    data, offsets = T.text_bytes(lowered(texts))
     out: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
     for lo, hi in T.steps(offsets):
         if not len(s.keys):
@@ -101,9 +135,10 @@ def _hits(s: Sketches, texts: pa.Array, size: int, share: float) -> tuple[list[i
                 a, b = rows[r], rows[r + 1]
                 own = shingle_set([buf[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)], size)
                 last = r
-            both = len(own & s.exact[item])
-            if both >= share * len(s.exact[item]) - 1e-9:
-                for values, x in zip(out, (lo + r, s.ids[item], both, len(s.exact[item])), strict=True):
+            wanted = sets[item]
+            both = len(own & wanted)
+            if both >= share * len(wanted) - 1e-9:
+                for values, x in zip(out, (lo + r, s.ids[item], both, len(wanted)), strict=True):
                     values.append(x)
     return out
 
@@ -112,8 +147,10 @@ def _search(shared, size: int, share: float):
     """(id, text) rows to (doc_id, item_id, shared, item_shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Sketches = received(shared)
+        sets = Sets(s.words, size)
         for batch in batches:
-            rows, *rest = _hits(shared.value, batch.column(1), size, share)
+            rows, *rest = _hits(s, sets, batch.column(1), size, share)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "shared", "item_shingles"])
 
     return run
@@ -123,30 +160,86 @@ def _clean(shared, at: int, size: int, share: float):
     """Rows of documents to those without a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Sketches = received(shared)
+        sets = Sets(s.words, size)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[_hits(shared.value, batch.column(at), size, share)[0]] = False
+            keep[_hits(s, sets, batch.column(at), size, share)[0]] = False
             yield batch.filter(pa.array(keep))
 
     return run
 
 
-def _sketch_blocks(benchmark: DataFrame, item_col: str, size: int, share: float) -> Iterator:
-    """Broadcasts of all items' sketches, each of about BLOCK_BYTES / 2 of text."""
-    sc = benchmark.sparkSession.sparkContext
+def _sketched(benchmark: DataFrame, item_col: str, size: int, share: float) -> tuple[DataFrame, bool]:
+    """SKETCH rows of all items, and whether they may be broadcast."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_text is not null")
     total = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * total / BLOCK_BYTES))
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b)
-        yield sc.broadcast(sketch([tuple(r) for r in own.orderBy("item_id", "item_text").toLocalIterator()], size, share))
+    return items.mapInArrow(item_sketches(size, share), SKETCH), total <= BLOCK_BYTES
+
+
+def _probe_rows(size: int):
+    """(row, text) rows to (row, hash): the distinct shingle hashes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = T.text_bytes(lowered(batch.column(1)))
+            for lo, hi in T.steps(offsets):
+                part = data[offsets[lo] : offsets[hi]]
+                starts, ends, rows = T.word_bounds(part, offsets[lo : hi + 1] - offsets[lo], T.MARKS)
+                grams = T.gram_hashes(T.word_hashes(part, starts, ends), size)
+                row = np.repeat(np.arange(hi - lo), np.diff(rows))[: len(grams)]
+                whole = np.arange(len(grams)) + size <= rows[1:][row]
+                row, grams = row[whole], grams[whole]
+                order = np.lexsort((grams, row))
+                head = np.append(True, (row[order][1:] != row[order][:-1]) | (grams[order][1:] != grams[order][:-1])) if len(order) else np.zeros(0, bool)
+                pick = order[head]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[pick] + lo)), pa.array(grams[pick].view(np.int64))], ["row", "hash"])
+
+    return run
+
+
+def _verified(size: int, share: float):
+    """(row, item, text, words) rows to (row, item_id, shared, item_shingles) of those that hold the share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            texts = lowered(batch.column(2))
+            for r in range(batch.num_rows):
+                data, offsets = T.text_bytes(texts.slice(r, 1))
+                starts, ends, _ = T.word_bounds(data, offsets, T.MARKS)
+                buf = data.tobytes()
+                own = shingle_set([buf[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], size)
+                wanted = shingle_set(batch.column(3)[r].as_py().split(b" "), size)
+                if (both := len(own & wanted)) >= share * len(wanted) - 1e-9:
+                    for values, x in zip(out, (batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), both, len(wanted)), strict=True):
+                        values.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], ["row", "item_id", "shared", "item_shingles"])
+
+    return run
+
+
+def _joined(docs: DataFrame, sketches: DataFrame, text_col: str, size: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """docs, each row with a number of its own (`_row`), and (row, item_id, shared, item_shingles) of what they hold, by a join of
+    shingles with sketches: for benchmarks of any size."""
+    numbered = saved(docs.withColumn("_row", F.expr("uuid()")))
+    items = saved(sketches.withColumn("item", F.expr("uuid()")))
+    probes = numbered.select(F.col("_row").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_probe_rows(size), "row string, hash long")
+    pairs = probes.join(items.select("item", F.explode("hashes").alias("hash")), "hash").groupBy("row", "item").agg(F.count("*").alias("n"))
+    likely = pairs.join(items.select("item", "item_id", "needed", "words"), "item").filter("n >= needed")
+    whole = likely.join(numbered.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), "row").select("row", "item_id", "text", "words")
+    return numbered, whole.mapInArrow(_verified(size, share), "row string, item_id long, shared long, item_shingles long")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", size: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no benchmark item; by the rules of `contained_items`, without a shuffle."""
-    for shared in _sketch_blocks(benchmark, item_col, size, share):
-        docs = docs.mapInArrow(_clean(shared, docs.columns.index(text_col), size, share), docs.schema)
-    return docs
+    """The rows of docs, all columns as they are, that hold no benchmark item; by the rules of `contained_items`, without a shuffle
+    where the benchmark can be broadcast."""
+    sketches, small = _sketched(benchmark, item_col, size, share)
+    if small:
+        shared = sent(docs.sparkSession, gathered(sketches.collect()))  # of at most BLOCK_BYTES of text
+        return docs.mapInArrow(_clean(shared, docs.columns.index(text_col), size, share), docs.schema)
+    numbered, found = _joined(docs, sketches, text_col, size, share)
+    return numbered.join(found.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def contained_items(
@@ -157,10 +250,13 @@ def contained_items(
 
     Items of fewer than `size` words, null items and null texts match nothing. Repeated rows of docs come back repeated; of
     repeated items each counts. Documents with a null id come back with a null. Other columns are ignored. An empty table on
-    either side gives an empty result. The benchmark goes out in blocks of at most BLOCK_BYTES."""
+    either side gives an empty result."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for shared in _sketch_blocks(benchmark, item_col, size, share):
-        found = own.mapInArrow(_search(shared, size, share), "doc_id long, item_id long, shared long, item_shingles long")
-        out = found if out is None else out.unionByName(found)
+    sketches, small = _sketched(benchmark, item_col, size, share)
+    if small:
+        shared = sent(docs.sparkSession, gathered(sketches.collect()))  # of at most BLOCK_BYTES of text
+        out = own.mapInArrow(_search(shared, size, share), "doc_id long, item_id long, shared long, item_shingles long")
+    else:
+        numbered, found = _joined(own, sketches, "text", size, share)
+        out = found.join(numbered.select(F.col("_row").alias("row"), "doc_id"), "row").select("doc_id", "item_id", "shared", "item_shingles")
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))

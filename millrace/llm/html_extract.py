@@ -62,22 +62,23 @@ class Page:
         self.tag, self.parent, self.dropped = ["#page"], [-1], [False]
         self.texts: list[tuple[int, str | None]] = []
         stack = [0]
+        opened: dict[str, list[int]] = {}  # places in the stack of each open element, so that none is searched for
+        endless: set[str] = set()  # raw elements that nothing further down closes
         at, n = 0, len(source)
 
         def pop_to(k: int) -> None:
             for node in reversed(stack[k:]):
+                opened[self.tag[node]].pop()
                 if self.tag[node] in BLOCKS:
                     self.texts.append((self.parent[node], None))
             del stack[k:]
 
+        def last(names: frozenset[str]) -> int:
+            return max((own[-1] for x in names if (own := opened.get(x))), default=0)
+
         def find(names: frozenset[str], limits: frozenset[str]) -> int:
-            for k in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[k]]
-                if t in names:
-                    return k
-                if t in limits:
-                    break
-            return 0
+            k = last(names)
+            return k if k >= last(limits) else 0
 
         while at < n:
             m = TOKEN.match(source, at)
@@ -114,21 +115,24 @@ class Page:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.dropped.append(self.dropped[stack[-1]] or self._boilerplate(name, attributes, stack))
+            self.dropped.append(self.dropped[stack[-1]] or self._boilerplate(name, attributes, bool(opened.get("article") or opened.get("main"))))
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+                if end is None:
+                    endless.add(name)
                 at = end.end() if end else n if name in ("script", "style") else at
                 continue
             if not attributes.endswith("/") or name in BLOCKS:
+                opened.setdefault(name, []).append(len(stack))
                 stack.append(node)
 
-    def _boilerplate(self, name: str, attributes: str, stack: list[int]) -> bool:
+    def _boilerplate(self, name: str, attributes: str, in_article: bool) -> bool:
         if name in DROPPED:
             return True
         if name in ("html", "body", "article", "main"):
             return False
         if name == "header":
-            return not any(self.tag[x] in ("article", "main") for x in stack)
+            return not in_article
         if not attributes:
             return False
         if re.search(r"(?:^|\s)(?:hidden\b|aria-hidden\s*=\s*[\"']?true)", attributes):
@@ -192,9 +196,11 @@ class Page:
         if wide:
             best = wide[-1]
         else:
-            while self.tag[best] not in ("body", "html", "#page") and all(
-                density[i] >= threshold for i in range(1, n) if self.parent[i] == self.parent[best] and chars[i] and self.tag[i] in BLOCKS
-            ):
+            least = [math.inf] * n  # density of a node's blocks with text
+            for i in range(1, n):
+                if chars[i] and self.tag[i] in BLOCKS:
+                    least[self.parent[i]] = min(least[self.parent[i]], density[i])
+            while self.tag[best] not in ("body", "html", "#page") and least[self.parent[best]] >= threshold:
                 best = self.parent[best]
         inside = [False] * n
         inside[best] = True

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._tables import received, sent
 
 #: Bytes of labelled text a language: the bounded sample learnt from. The documents drawn for it are of at most REFERENCE_CHARS
 #: characters and, where those don't reach REFERENCE_BYTES, so many longer ones.
@@ -182,8 +183,9 @@ def _predict(shared):
     """(id, text, letters) rows to (id, lang_pred, score, rate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(shared)
         for batch in batches:
-            pred, score, rate = _judge(shared.value, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
+            pred, score, rate = _judge(model, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "rate"])
 
     return run
@@ -193,10 +195,11 @@ def _accept(shared, at: int):
     """Rows of documents, whether they have a letter last, to those rows that a language is found for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(shared)
         for batch in batches:
             last = batch.num_columns - 1
             texts = batch.column(at).fill_null("") if batch.column(at).null_count else batch.column(at)
-            pred, _, _ = _judge(shared.value, texts, batch.column(last).to_numpy(zero_copy_only=False))
+            pred, _, _ = _judge(model, texts, batch.column(last).to_numpy(zero_copy_only=False))
             yield batch.select(range(last)).filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
 
     return run
@@ -208,7 +211,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     letters = F.coalesce(F.col(text_col), F.lit("")).rlike(LETTER)
     if not model.languages:
         return docs.filter(letters)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
     return docs.select("*", letters.alias("_letters")).mapInArrow(_accept(shared, docs.columns.index(text_col)), docs.schema)
 
 
@@ -218,7 +221,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Null texts and those without a letter are `und` with score 0, as are all where nothing was learnt. Null ids and repeated rows
     come back as they are. Other columns are ignored. An empty table gives an empty result."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text.rlike(LETTER).alias("letters"))
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rate double")

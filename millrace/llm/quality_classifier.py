@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._tables import received, sent
 
-#: Rows and columns of the table, lengths of n-grams in bytes, labelled documents drawn of each label, and passes over them.
+#: Rows and columns of the table, lengths of n-grams in bytes, labelled documents drawn of each label, characters of each, and passes over them.
 ROWS_BITS = 16
 DIM = 16
 GRAMS = (2, 3, 4, 5)
 SAMPLE = 1500
+CHARS = 20_000
 EPOCHS = 5
 RATE = 0.4
 
@@ -101,7 +103,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """From about SAMPLE documents of each label, drawn by a hash of their ids; their texts come to the driver."""
+    """From about SAMPLE documents of each label, drawn by a hash of their ids; CHARS characters of each at most come to the driver."""
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     counts = {r[0]: r[1] for r in marked.groupBy("_label").count().collect()}
     if not counts:
@@ -110,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = F.when(F.col("_label") == 1, F.lit(SAMPLE / counts.get(1, 1))).otherwise(F.lit(SAMPLE / counts.get(0, 1)))
     # about 2 * SAMPLE ids: a bounded side
     drawn = marked.filter(place < wanted)
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.substring(F.col(text_col), 1, CHARS).alias("_text"))
     found = sorted(tuple(r) for r in own.join(F.broadcast(drawn), "_id").filter("_text is not null").toLocalIterator())
     if not found:
         return Model(np.zeros(1 << ROWS_BITS), 0.0)
@@ -122,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model: Model = received(shared)
         for batch in batches:
             data, offsets = T.text_bytes(batch.column(1))
             parts = [model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in T.steps(offsets, 1 << 20)]
@@ -136,6 +138,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no feature and get the labels' shares. Null ids and repeated rows come back as they are. Other
     columns are ignored. An empty table gives an empty result; a model of no label scores everything 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_score(shared), "doc_id long, score double")

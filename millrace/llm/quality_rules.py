@@ -1,8 +1,10 @@
 """Quality rules: counts of a text, and a linear-chain conditional random field over its lines.
 
 Every line with a word is described by a few binned measures. The field's weights (a bin's leaning to content, and what follows
-what) are trained by its likelihood on a bounded sample of labelled documents, whose lines take the document's label. Viterbi
-decoding marks each line of a text content or boilerplate, and the share of words in content decides.
+what) are trained by its likelihood on lines of a bounded sample of labelled documents. A line of a document of low quality stands
+for boilerplate, one of high quality for content; since such documents never switch, what follows what is learnt from sequences
+that splice lines of the one kind into the other. Viterbi decoding marks each line of a text content or boilerplate, and the share
+of words in content decides.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._tables import received, sent
 
-#: Labelled documents drawn of each label, the lines of a training sequence, steps of the training, and its prior.
+#: Labelled documents drawn of each label, lines taken of each, the lines of a training sequence, steps of the training, and its prior.
 SAMPLE = 600
+LINES = 192
 SEQUENCE = 48
 STEPS = 200
 DECAY = 1e-3
@@ -185,31 +189,60 @@ def fit(bins: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> Field:
     return f
 
 
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) rows to (id, label, bins): the bins of the first LINES lines, one after the other."""
+    for batch in batches:
+        data, offsets = T.text_bytes(batch.column(2))
+        bins: list[np.ndarray] = []
+        for lo, hi in T.steps(offsets):
+            x = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            at = np.searchsorted(x.doc, np.arange(hi - lo + 1))
+            bins += [x.bins[i : min(k, i + LINES)].ravel().astype(np.int16) for i, k in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.list_(pa.int16()))], ["id", "label", "bins"])
+
+
+def spliced(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bins, labels) of sequences in which a run of boilerplate stands somewhere in content, or of content in boilerplate."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(min(1, len(good), len(bad)) * max(len(good), len(bad))):
+        a, b, y = good[i % len(good)], bad[i % len(bad)], 1
+        if rng.random() < 0.5:
+            a, b, y = b, a, 0
+        a, b = a[: SEQUENCE // 2], b[: rng.integers(1, SEQUENCE // 2)]
+        k = int(rng.integers(0, len(a) + 1))
+        out.append((np.concatenate([a[:k], b, a[k:]]), np.repeat([y, 1 - y, y], [k, len(b), len(a) - k])))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """From about SAMPLE documents of each label, drawn by a hash of their ids; their texts come to the driver."""
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    counts = {r[0]: r[1] for r in marked.groupBy("_label").count().collect()}
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(4), F.col("_id")), 11).cast("double") / float(1 << 53)
-    wanted = F.when(F.col("_label") == 1, F.lit(SAMPLE / counts.get(1, 1))).otherwise(F.lit(SAMPLE / counts.get(0, 1)))
+    """From about SAMPLE documents of each label, drawn by a hash of their ids; the bins of at most LINES lines of each come to the driver.
+
+    Rows of labels without an id or a label of 0 or 1 count for nothing; of several for one id the larger label holds."""
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(4), F.col("id")), 11).cast("double") / float(1 << 53)
+    wanted = F.when(F.col("label") == 1, F.lit(SAMPLE / counts.get(1, 1))).otherwise(F.lit(SAMPLE / counts.get(0, 1)))
     drawn = F.broadcast(marked.filter(place < wanted))  # about 2 * SAMPLE ids: a bounded side
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = sorted(tuple(r) for r in own.join(drawn, "_id").filter("_text is not null").toLocalIterator())
-    data, offsets = T.text_bytes(pa.array([r[1] for r in found], pa.string()))
-    lines = Lines(data, offsets)
-    y = np.array([r[2] for r in found], np.int64)
-    heads = np.flatnonzero(np.append(True, lines.doc[1:] != lines.doc[:-1])) if len(lines.doc) else np.zeros(0, np.int64)
-    pieces = [(a, min(a + SEQUENCE, b)) for h, b0 in zip(heads, np.append(heads[1:], len(lines.doc)), strict=True) for a, b in [(x, b0) for x in range(h, b0, SEQUENCE)]]
-    bins = np.zeros((len(pieces), SEQUENCE, len(CUTS)), np.int64)
-    mask = np.zeros((len(pieces), SEQUENCE), bool)
-    labels_ = np.zeros((len(pieces), SEQUENCE), np.int64)
-    for i, (a, b) in enumerate(pieces):
-        bins[i, : b - a], mask[i, : b - a], labels_[i, : b - a] = lines.bins[a:b], True, y[lines.doc[a]]
-    return fit(bins, labels_, mask)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    found = own.join(drawn, "id").select("id", "label", "text").mapInArrow(_binned, "id long, label int, bins array<short>")
+    rows = sorted((r.id, r.label, r.bins) for r in found.toLocalIterator() if r.bins)
+    by_label: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for _, label, flat in rows:
+        by_label[label].append(np.array(flat, np.int64).reshape(-1, len(CUTS)))
+    sequences = [(x[i : i + SEQUENCE], np.full(len(x[i : i + SEQUENCE]), label)) for label in (0, 1) for x in by_label[label] for i in range(0, len(x), SEQUENCE)]
+    sequences += spliced(by_label[1], by_label[0])
+    bins = np.zeros((len(sequences), SEQUENCE, len(CUTS)), np.int64)
+    mask = np.zeros((len(sequences), SEQUENCE), bool)
+    marks = np.zeros((len(sequences), SEQUENCE), np.int64)
+    for i, (x, y) in enumerate(sequences):
+        bins[i, : len(x)], mask[i, : len(x)], marks[i, : len(x)] = x[:SEQUENCE], True, y[:SEQUENCE]
+    return fit(bins, marks, mask)
 
 
 def _judge(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field: Field = shared.value
+        field: Field = received(shared)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         for batch in batches:
             data, offsets = T.text_bytes(batch.column(1))
@@ -241,7 +274,7 @@ def apply_rules(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no words and fail. Null ids and repeated rows come back as they are. A field that was trained on
     nothing marks every line boilerplate. Other columns are ignored. An empty table gives an empty result."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = sent(docs.sparkSession, field)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(
         _judge(shared, least),

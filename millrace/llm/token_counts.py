@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._tables import saved
+
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths whose suffix sums are made in one group.
@@ -43,9 +45,11 @@ def _lengths(ranks):
 
 
 def length_histogram(docs: DataFrame, ranks, text_col: str = "text") -> DataFrame:
-    """(n_tokens, n_docs): how many rows encode to each length. Null and empty texts have length 0; repeated rows count; other
-    columns are ignored; an empty table gives an empty histogram."""
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(_lengths(ranks), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    """(n_tokens, n_docs): how many rows encode to each length; written once, so that texts are encoded once however often it is read.
+
+    Null and empty texts have length 0; repeated rows count; other columns are ignored; an empty table gives an empty histogram."""
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_lengths(ranks), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return saved(counts)
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

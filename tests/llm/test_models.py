@@ -89,6 +89,39 @@ def test_field_finds_boilerplate(spark):
     assert all(r.kept for r in got if r.quality == 1)
 
 
+@pytest.fixture(scope="module")
+def half_trained(spark):
+    """A field trained on half of the labelled rows, and the texts of the other half by label."""
+    docs, labels = spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    out = language_id.held_out("doc_id", 2, 0)
+    rows = docs.join(labels.filter(out), "doc_id").select("text", "quality").collect()
+    return quality_rules.train(docs, labels.filter(~out)), *([r.text for r in rows if r.quality == q and WORD.search(r.text)] for q in (0, 1))
+
+
+def test_held_out_documents_are_judged(spark, documents, half_trained):
+    field, bad, good = half_trained
+    docs = documents(*enumerate([*bad, *good]))
+    got = [r for r in quality_rules.apply_rules(docs, field).collect() if not r.base_failed]
+    assert sum(r.kept == (r.doc_id >= len(bad)) for r in got) >= 0.95 * len(got)
+
+
+def test_sequences_switch_within_a_text(spark, documents, half_trained):
+    """Held-out lines of both kinds joined to one text: each line is marked, and shares of content lie between."""
+    field, bad, good = half_trained
+    right = total = 0
+    shares = []
+    for i, (b, g) in enumerate(zip(bad, good, strict=False)):
+        bad_lines, good_lines = ([x for x in t.split("\n") if WORD.search(x)][:6] for t in (b, g))
+        k = i % (len(good_lines) + 1)
+        text = "\n".join([*good_lines[:k], *bad_lines, *good_lines[k:]])
+        want = [True] * k + [False] * len(bad_lines) + [True] * (len(good_lines) - k)
+        lines = quality_rules.Lines(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        got = field.decode(lines, 1).tolist()
+        right, total = right + sum(x == y for x, y in zip(got, want, strict=True)), total + len(want)
+        shares.append((lines.words * np.array(got)).sum() / lines.words.sum())
+    assert right >= 0.9 * total and sum(0.1 < x < 0.9 for x in shares) >= 0.6 * len(shares)
+
+
 def test_viterbi_finds_the_best_sequence():
     rng = np.random.default_rng(1)
     f = quality_rules.Field()
@@ -126,7 +159,9 @@ def test_odd_texts_get_scores(spark, documents):
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality_classifier.score(docs, quality_classifier.train(docs, labels.limit(0))).collect()} == {0.5}
     assert quality_classifier.score(docs.limit(0), model).count() == 0
-    assert quality_rules.apply_rules(docs, quality_rules.train(docs, labels)).count() == 7
+    field = quality_rules.train(docs, labels)
+    assert quality_rules.apply_rules(docs, field).count() == 7 and quality_rules.apply_rules(docs.limit(0), field).count() == 0
+    assert quality_rules.train(docs.limit(0), labels).emit.any() == quality_rules.train(docs, labels.limit(0)).emit.any() == False  # noqa: E712
 
 
 def test_folding_equals_the_softmax():
