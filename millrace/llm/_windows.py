@@ -242,10 +242,10 @@ def ids_repeat(docs: DataFrame, id_col: str) -> bool:
     return not ids.groupBy("_id").count().filter("count > 1").isEmpty()
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, repeat: bool, *more: str) -> DataFrame:
-    """docs with _id, _h and only what the search needs. _h, the whole 64-bit hash of the text, keeps different texts of one id apart:
-    those of null ids, and all if ids repeat. Where ids tell rows apart it is 0, which takes no space in shuffles."""
-    own = F.col(id_col).cast("long")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def keyed(docs: DataFrame, id_col: str, text_col: str, repeat: bool) -> DataFrame:
+    """(_id, _h, text, row): docs' rows whole in `row`. _h, the 64-bit hash of the text, keeps different texts of one id apart: those of
+    null ids, and all if ids repeat. Where ids tell rows apart it is 0, which takes no space in shuffles."""
+    own = F.col(f"`{id_col}`").cast("long")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     h = F.xxhash64(text) if repeat else F.when(own.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
-    return docs.select(F.coalesce(own, F.lit((1 << 63) - 1)).alias("_id"), h.alias("_h"), *(more or [text.alias("text")]))
+    return docs.select(F.coalesce(own, F.lit((1 << 63) - 1)).alias("_id"), h.alias("_h"), text.alias("text"), F.struct("*").alias("row"))

@@ -220,14 +220,14 @@ def _verified(size: int, share: float):
 
 
 def _joined(docs: DataFrame, sketches: DataFrame, text_col: str, size: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """docs, each row with a number of its own (`_row`), and (row, item_id, shared, item_shingles) of what they hold, by a join of
+    """docs, each row whole (`own`) with a number of its own (`_row`), and (row, item_id, shared, item_shingles) of what they hold, by a join of
     shingles with sketches: for benchmarks of any size."""
-    numbered = saved(docs.withColumn("_row", F.expr("uuid()")))
+    numbered = saved(docs.select(F.struct("*").alias("own"), F.expr("uuid()").alias("_row")))
     items = saved(sketches.withColumn("item", F.expr("uuid()")))
-    probes = numbered.select(F.col("_row").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_probe_rows(size), "row string, hash long")
+    probes = numbered.select(F.col("_row").alias("row"), F.coalesce(F.col("own")[text_col], F.lit("")).alias("text")).mapInArrow(_probe_rows(size), "row string, hash long")
     pairs = probes.join(items.select("item", F.explode("hashes").alias("hash")), "hash").groupBy("row", "item").agg(F.count("*").alias("n"))
     likely = pairs.join(items.select("item", "item_id", "needed", "words"), "item").filter("n >= needed")
-    whole = likely.join(numbered.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), "row").select("row", "item_id", "text", "words")
+    whole = likely.join(numbered.select(F.col("_row").alias("row"), F.col("own")[text_col].alias("text")), "row").select("row", "item_id", "text", "words")
     return numbered, whole.mapInArrow(_verified(size, share), "row string, item_id long, shared long, item_shingles long")
 
 
@@ -239,7 +239,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = sent(docs.sparkSession, gathered(sketches.collect()))  # of at most BLOCK_BYTES of text
         return docs.mapInArrow(_clean(shared, docs.columns.index(text_col), size, share), docs.schema)
     numbered, found = _joined(docs, sketches, text_col, size, share)
-    return numbered.join(found.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return numbered.join(found.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").select("own.*")
 
 
 def contained_items(
@@ -258,5 +258,5 @@ def contained_items(
         out = own.mapInArrow(_search(shared, size, share), "doc_id long, item_id long, shared long, item_shingles long")
     else:
         numbered, found = _joined(own, sketches, "text", size, share)
-        out = found.join(numbered.select(F.col("_row").alias("row"), "doc_id"), "row").select("doc_id", "item_id", "shared", "item_shingles")
+        out = found.join(numbered.select(F.col("_row").alias("row"), "own.doc_id"), "row").select("doc_id", "item_id", "shared", "item_shingles")
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))

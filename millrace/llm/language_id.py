@@ -30,6 +30,8 @@ LANE = 512
 #: The most languages that are told apart: their tables are broadcast.
 MOST_LANGUAGES = 256
 LETTER = r"\p{L}"
+#: Mean bytes of a phrase under which no learnt language explains a text (texts of a learnt one have 3 or more, see the tests).
+LEAST_PHRASE = 1.5
 UNKNOWN = "und"
 
 
@@ -191,28 +193,32 @@ def _predict(shared):
     return run
 
 
-def _accept(shared, at: int):
-    """Rows of documents, whether they have a letter last, to those rows that a language is found for."""
+def _accept(shared, at: int, names: list[str], least: float):
+    """Rows of documents, whether they have a letter last, to those rows that a language explains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = received(shared)
+        most = np.log2(max(a.size for a in model.automata)) / least
         for batch in batches:
             last = batch.num_columns - 1
             texts = batch.column(at).fill_null("") if batch.column(at).null_count else batch.column(at)
-            pred, _, _ = _judge(model, texts, batch.column(last).to_numpy(zero_copy_only=False))
-            yield batch.select(range(last)).filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
+            pred, _, rate = _judge(model, texts, batch.column(last).to_numpy(zero_copy_only=False))
+            keep = pa.array([p != UNKNOWN and r <= most for p, r in zip(pred, rate.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(last)], names).filter(keep)
 
     return run
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text a language is found for: not those of null texts or without a letter.
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_PHRASE) -> DataFrame:
+    """The rows of docs, all columns as they are whatever their names, whose text a language explains: its phrases in the best language
+    are of `least` bytes or more on average. Null texts and those without a letter go.
+
     Where nothing was learnt, no text with a letter goes."""
-    letters = F.coalesce(F.col(text_col), F.lit("")).rlike(LETTER)
+    letters = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(LETTER)
     if not model.languages:
         return docs.filter(letters)
-    shared = sent(docs.sparkSession, model)
-    return docs.select("*", letters.alias("_letters")).mapInArrow(_accept(shared, docs.columns.index(text_col)), docs.schema)
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*columns, letters.alias("letters")).mapInArrow(_accept(sent(docs.sparkSession, model), docs.columns.index(text_col), docs.columns, least), docs.schema)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,10 @@ at `radius` bits or less share at least two of `radius` + 2 slices of the finger
 a pair of slices. Within a bucket the fingerprints stand vertically: plane j holds bit j of 64 fingerprints in one machine word.
 A query's bit flips a plane into differences, carry-save counters add up the planes for all fingerprints at once, and the
 comparison of a block ends as soon as all its counters exceed the radius.
+
+Slices find pairs of a few bits only. Texts of a shingle similarity of 0.8 differ in about 10 bits of 64, which no choice of slices
+prunes; for them (`similar_texts`) the fingerprints are of WIDE words, buckets come from minima of shingle hashes, the comparison is
+the same, and exact shingle sets decide.
 """
 
 from __future__ import annotations
@@ -127,7 +131,7 @@ def lanes(found: Iterator[tuple[int, int]], n: int) -> list[int]:
 
 def _above(counters: np.ndarray, radius: int) -> np.ndarray:
     """Which bit-sliced numbers exceed the radius."""
-    above = np.zeros(counters.shape[1], np.uint64)
+    above = np.zeros(counters.shape[1:], np.uint64)
     equal = ~above
     for level in reversed(range(len(counters))):
         if radius >> level & 1:
@@ -257,15 +261,248 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of docs, all columns as they are, of one document a component: the one of the smallest id.
+#: Similar texts: words of a fingerprint, bits (of 64 * WIDE) within which a pair of a similarity of 0.8 lies (mean 39, deviation 6),
+#: bits within which a pair is surely similar, bands of minima and hashes a band (a pair of 0.8 shares a band with probability 0.996).
+WIDE = 4
+WIDE_RADIUS = 58
+SURE_RADIUS = 30
+BANDS = 14
+BAND = 5
+_SIDES = tuple(int(x) for x in T._odd(15, WIDE))
+_MINIMA = tuple(int(x) for x in T._odd(16, BANDS * BAND))
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes (of 40 bits, spread over 64) of each row, and their rows; a text of fewer words is one shingle."""
+    part = T.LOWER[data]
+    starts, ends, rows = T.word_bounds(part, offsets)
+    words = T.word_hashes(part, starts, ends)
+    counts = np.diff(rows)
+    grams = T.gram_hashes(words, size)
+    row = np.repeat(np.arange(len(counts)), counts)[: len(grams)]
+    whole = np.arange(len(grams)) + size <= rows[1:][row]
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    own = np.concatenate([grams[whole], T.range_hashes(words, rows[short], rows[short + 1], T.GRAM_BASES[1])])
+    row = np.concatenate([row[whole], short])
+    key = row.astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return T.mix(key & np.uint64((1 << 40) - 1)), (key >> np.uint64(40)).astype(np.int64)
+
+
+def _spread() -> np.ndarray:
+    """Of each byte a word in which its bits stand in bytes of their own."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(bits).view(np.uint64)[:, 0]
+
+
+def bit_counts(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """(rows, 64): how often each bit is set in the hashes of each row, which starts at its head. Eight counters share a word, of
+    at most 255 hashes each."""
+    size = np.diff(np.append(heads, len(hashes)))
+    pieces = -(-size // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(heads, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    spread, octets = _spread(), hashes.view(np.uint8).reshape(-1, 8)
+    out = np.empty((len(heads), 64), np.int64)
+    for k in range(8):
+        sums = np.add.reduceat(spread[octets[:, k]], cuts)
+        out[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return out
+
+
+def sketch_rows(size: int):
+    """(id, none, h, t, text) rows to (id, none, h, t, fp, bands): the wide fingerprint, and a hash of each band of minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = T.text_bytes(batch.column(4))
+            prints, bands = np.zeros((batch.num_rows, WIDE), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            for lo, hi in T.steps(offsets):
+                own, row = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                if not len(own):
+                    continue
+                heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                some, full = lo + row[heads], np.diff(np.append(heads, len(row)))
+                for k, side in enumerate(_SIDES):
+                    over = (2 * bit_counts(T.mix(own ^ np.uint64(side)), heads) > full[:, None]).astype(np.uint8)
+                    prints[some, k] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+                for band in range(BANDS):
+                    h = np.full(len(heads), band + 1, np.uint64)
+                    for m in _MINIMA[band * BAND : (band + 1) * BAND]:
+                        h = T.mix(h ^ np.minimum.reduceat((own ^ np.uint64(m >> 32)) * np.uint64(m), heads))
+                    bands[some, band] = h
+            flat = [pa.array(x.view(np.int64).ravel()) for x in (prints, bands)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, n, dtype=np.int32)), x) for x, n in zip(flat, (WIDE, BANDS), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *lists], ["id", "none", "h", "t", "fp", "bands"])
+
+    return run
+
+
+def near_planes(planes: np.ndarray, queries: np.ndarray, radius: int, at_once: int = 64) -> Iterator[np.ndarray]:
+    """Of each group of `at_once` queries (of several words) its (queries, blocks) words, whose bits stand for the fingerprints of the
+    planes that are at most `radius` bits away."""
+    levels, full = radius.bit_length(), ~np.uint64(0)
+    for q in range(0, len(queries), at_once):
+        own = queries[q : q + at_once]
+        live = np.arange(len(planes))
+        left = np.ascontiguousarray(planes.T)
+        counters = np.zeros((levels, len(own), len(live)), np.uint64)
+        over = np.zeros((len(own), len(live)), np.uint64)
+        for j in range(len(left)):
+            carry = left[j][None, :] ^ (full * ((own[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)))[:, None]
+            for level in range(levels):  # carry-save: one half adder a level
+                counters[level], carry = counters[level] ^ carry, counters[level] & carry
+            over |= carry
+            if j % 32 == 31:  # blocks leave once all their fingerprints are too far from all queries
+                keep = ((over | _above(counters, radius)) != full).any(axis=0)
+                if not keep.all():
+                    live, left, counters, over = live[keep], left[:, keep], counters[:, :, keep], over[:, keep]
+                    if not len(live):
+                        break
+        near = np.zeros((len(own), len(planes)), np.uint64)
+        if len(live):
+            near[:, live] = ~(over | _above(counters, radius))
+        yield near
+
+
+def similar_pairs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within WIDE_RADIUS among the fingerprints of a large bucket: a forest of surely similar pairs and, between its
+    trees, one of the others."""
+    n = len(fp)
+    tree = np.arange(n)
+    a, b = [], []
+    planes = np.concatenate([planes_of(np.ascontiguousarray(fp[:, k])) for k in range(fp.shape[1])], axis=1)
+    for radius in (SURE_RADIUS, WIDE_RADIUS):
+        for group, near in enumerate(near_planes(planes, fp, radius)):
+            hit = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :n]
+            for i in range(64 * group, 64 * group + len(hit)):
+                k = i + 1 + np.flatnonzero(hit[i % 64, i + 1 :])
+                k = k[tree[k] != tree[i]]
+                if not len(k):
+                    continue
+                k = k[np.unique(tree[k], return_index=True)[1]]
+                tree[np.isin(tree, tree[k])] = tree[i]
+                a.append(np.full(len(k), i))
+                b.append(k)
+    return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+
+
+def all_pairs(fp: np.ndarray, cuts: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within WIDE_RADIUS of the same small bucket (cut at `cuts`): the differences of many pairs stand in planes."""
+    ends = np.repeat(cuts[1:], np.diff(cuts))
+    partners = ends - np.arange(len(ends)) - 1  # later ones of the bucket
+    upto = np.cumsum(partners)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + at_once, "right")))
+        own = partners[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        k = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        lo = hi
+        if len(i):
+            planes = np.concatenate([planes_of(fp[i, w] ^ fp[k, w]) for w in range(fp.shape[1])], axis=1)
+            near = np.unpackbits(next(near_planes(planes, np.zeros((1, fp.shape[1]), np.uint64), WIDE_RADIUS)).view(np.uint8), bitorder="little")[: len(i)].astype(bool)
+            yield i[near], k[near]
+
+
+def pair_rows(most: int):
+    """(bucket, cls, fp) rows sorted by bucket to (a, b) classes that may be similar. Of buckets of up to SMALL classes all pairs are
+    compared; a larger one `most` classes at a time, the first of each piece going on to the next."""
+
+    def flush(bucket: np.ndarray, cls: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        size = np.diff(cuts)
+        small = np.flatnonzero(np.repeat(size <= SMALL, size))
+        found = [(small[i], small[k]) for i, k in all_pairs(fp[small], np.append(0, np.cumsum(size[size <= SMALL])))]
+        for c, n in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            for at in range(0, n, most):
+                own = np.unique(np.append(0, np.arange(at, min(n, at + most))))
+                i, k = similar_pairs(fp[c + own])
+                found.append((c + own[i], c + own[k]))
+        i, k = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*found, strict=True) if found else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[k])), pa.array(np.maximum(cls[i], cls[k]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, cls, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
+        for batch in batches:
+            bucket, cls = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((bucket, cls)))
+            fp = np.concatenate([fp, batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)])
+            if not len(bucket):
+                continue
+            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+            if not cut and len(bucket) > most:  # one bucket: its first class stays for what follows
+                yield flush(bucket, cls, fp)
+                bucket, cls, fp = bucket[:1], cls[:1], fp[:1]
+            elif cut >= most:
+                yield flush(bucket[:cut], cls[:cut], fp[:cut])
+                bucket, cls, fp = bucket[cut:], cls[cut:], fp[cut:]
+        if len(bucket):
+            yield flush(bucket, cls, fp)
+
+    return run
+
+
+def verified_pairs(size: int, similarity: float):
+    """(a, b, text, other) rows to the (a, b) whose shingle sets have the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sides = [T.text_bytes(batch.column(i)) for i in (2, 3)]
+            for r in range(batch.num_rows):
+                x, y = (shingle_hashes(d[o[r] : o[r + 1]], np.array([0, o[r + 1] - o[r]]), size)[0] for d, o in sides)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[r] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
 
-    Of rows that share their id one stays. Rows of a null id can't be told apart and stay all."""
-    found = saved(near_duplicates(docs, id_col, text_col, radius, size, seed).filter("doc_id is not null").select("doc_id", "component_id"))
-    own = docs.withColumn("_id", F.col(id_col).cast("long"))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    again = found.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
-    stays = own.join(gone, "_id", "left_anti")
+ROW = ["id", "none", "h", "t"]
+
+
+def similar_texts(rows: DataFrame, size: int = 5, similarity: float = 0.8, large: int = 4096) -> DataFrame:
+    """rows (id, none, h, t, text) to (id, none, h, t, component): components of texts whose distinct shingles of `size` words (A-Z in
+    lower case) have a Jaccard similarity of `similarity` or more. `similarity` is 0.8 or more: bands and radius are made for that.
+
+    Texts of equal fingerprints are one class and need no comparison. A bucket of more than `large` classes is dealt out again by each
+    of its classes' next bands, and all its classes are compared to its first one, which joins a large group of copies at once."""
+    prints = saved(rows.mapInArrow(sketch_rows(size), "id long, none boolean, h long, t long, fp array<long>, bands array<long>").withColumn("cls", F.xxhash64("fp")))
+    classes = saved(prints.groupBy("cls").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.min(F.struct("none", "id", "h", "t")).alias("first")))
+    dealt = classes.select("cls", "bands", F.posexplode("bands").alias("place", "bucket"))
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).filter("n > 1")
+    shared = saved(dealt.join(counts, "bucket").select("bucket", "cls", "n", "pivot", F.expr("transform(sequence(1, 4), i -> bands[(place + i) % size(bands)])").alias("next")))
+    usual = shared.filter(F.col("n") <= large).select("bucket", "cls")
+    wide = shared.filter(F.col("n") > large)
+    finer = wide.select("bucket", "cls", F.explode("next").alias("more")).select(F.xxhash64("bucket", "more").alias("bucket"), "cls")
+    met = usual.unionByName(finer).join(classes.select("cls", "fp"), "cls").select("bucket", "cls", "fp")
+    pairs = met.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(pair_rows(large), "a long, b long")
+    pairs = saved(pairs.unionByName(wide.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))).distinct())
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    firsts = classes.join(wanted, "cls").select("cls", "first.*")
+    texts = saved(rows.join(firsts, ROW).select("cls", "text").dropDuplicates(["cls"]))
+    both = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("other")), "b")
+    links = both.select("a", "b", "text", "other").mapInArrow(verified_pairs(size, similarity), "a long, b long")
+    joined = components(links).withColumnRenamed("node", "cls")
+    return prints.select(*ROW, "cls").join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("component"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns as they are, of one document a group of similar texts (`similar_texts`): the one of the smallest id,
+    null ids last; of rows that share it the one of the smallest hash of its text and columns.
+
+    Null and empty texts, and those without a word, are one group. Repeated rows are copies of each other. An empty table gives an
+    empty result."""
+    own, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    others = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keys = [F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), F.xxhash64(text).alias("h"), F.xxhash64(*others).alias("t")]
+    found = saved(similar_texts(docs.select(*keys, text.alias("text")), size, similarity))
+    stays = found.groupBy("component").agg(F.min(F.struct("none", "id", "h", "t")).alias("k")).select("k.*").withColumn("stays", F.lit(True))
+    gone = found.join(stays, ROW, "left").filter("stays is null").select(ROW).distinct()
+    again = found.groupBy(ROW).count().filter("count > 1").select(ROW)
+    packed = docs.select(F.struct("*").alias("row"), *keys).join(gone, ROW, "left_anti")
     if again.isEmpty():
-        return stays.select(docs.columns)
-    return stays.join(again, "_id", "left_anti").unionByName(stays.join(again, "_id", "left_semi").dropDuplicates(["_id"])).select(docs.columns)
+        return packed.select("row.*")
+    once = packed.join(again, ROW, "left_semi").dropDuplicates(ROW)
+    return packed.join(again, ROW, "left_anti").unionByName(once).select("row.*")

@@ -172,7 +172,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null and empty texts have no words. A null id counts as the largest id and comes back null. Rows that share an id never
     remove each other's words. Other columns of docs are ignored. An empty table gives an empty result."""
     w = Windows("word", width, min(5, width), True, hot)
-    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col))
+    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col)).drop("row")
     spans = repeated_windows(base, w, _shard(width))
     out = base.join(spans, ["_id", "_h"], "left").select("_id", "text", "spans")
     kept = out.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -151,8 +151,8 @@ def _digest(width: int):
     return run
 
 
-def _rewrite(width: int, at: int):
-    """Rows of documents, their spans last, to the same rows with what is left of their texts."""
+def _rewrite(width: int, at: int, names: list[str]):
+    """Rows of documents (their columns named `names`), their spans last, to the same rows with what is left of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +162,7 @@ def _rewrite(width: int, at: int):
             for r in np.flatnonzero(batch.column(last).is_valid().to_numpy(zero_copy_only=False)).tolist():
                 own = data[offsets[r] : offsets[r + 1]]
                 texts[r] = _keep(own, _removed(batch.column(last)[r], len(own), width))
-            columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(last)]))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(last)], names)
 
     return run
 
@@ -179,7 +178,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts are empty. Null ids are kept. Repeated rows count as separate occurrences, so that their long texts go
     from all of them. Other columns of docs are ignored. An empty table gives an empty result."""
-    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col))
+    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col)).drop("row")
     spans = repeated_windows(base, _windows(width, hot), _shard(width))
     out = base.join(spans, ["_id", "_h"], "left").select("_id", "text", "spans")
     kept = out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
@@ -187,9 +186,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 50_000) -> DataFrame:
-    """The rows of docs, other columns as they are, with what `remove_repeated_bytes` keeps of their texts; null texts stay null."""
-    repeat = ids_repeat(docs, id_col)
-    key = keyed(docs, id_col, text_col, repeat, "*")
-    spans = repeated_windows(keyed(docs, id_col, text_col, repeat), _windows(width, hot), _shard(width))
-    out = key.join(spans, ["_id", "_h"], "left").select(*(f"`{c}`" for c in docs.columns), "spans")
-    return out.mapInArrow(_rewrite(width, docs.columns.index(text_col)), docs.schema)
+    """The rows of docs, other columns as they are whatever their names, with what `remove_repeated_bytes` keeps of their texts; null
+    texts stay null."""
+    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col))
+    spans = repeated_windows(base.select("_id", "_h", "text"), _windows(width, hot), _shard(width))
+    out = base.join(spans, ["_id", "_h"], "left").select(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)), "spans")
+    return out.mapInArrow(_rewrite(width, docs.columns.index(text_col), docs.columns), docs.schema)

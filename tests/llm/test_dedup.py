@@ -173,8 +173,66 @@ def test_near_duplicates(spark, documents, real):
     ids = sorted(fp)
     want = classes(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 4])
     assert {r.doc_id: r.component_id for r in got} == want
-    kept = simhash.without_near_duplicates(documents(*rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and "anchor" in kept.columns
+
+
+def word_shingles(text, size=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, min(1, len(words))))}
+
+
+def similar_classes(texts):
+    """Classes of places whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets = [word_shingles(t) for t in texts]
+    near = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y) - 1e-9
+    return classes(range(len(sets)), [(i, k) for i, x in enumerate(sets) for k, y in enumerate(sets[:i]) if near(x, y)])
+
+
+def edited(words, n, rng):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_similar_texts(spark, documents, real):
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    rows += [(10_000 + i, edited(base, i % 14, rng)) for i in range(90)]  # similarities from 1 to 0.7
+    rows += [(-1, None), (-2, " \n"), (-3, "A b"), (-4, "a B"), (-4, "a B"), (-5, "Éa"), (-6, "éa"), (None, rows[3][1]), (None, "only here"), (None, "only here"), (1, "another text of a known id"), (20_000, "long " + " ".join(base) * 40)]
+    of = similar_classes([t for _, t in rows])
+    best = {}
+    for i, (k, t) in enumerate(rows):
+        best.setdefault(of[i], []).append((k is None, k or 0, t or ""))
+    want = sorted(str(min(x)[:2]) for x in best.values())
+    got = simhash.without_near_duplicates(documents(*rows))
+    assert sorted(str((r.doc_id is None, r.doc_id or 0)) for r in got.collect()) == want and got.columns == documents((1, "x")).columns
+    keys = documents(*rows).selectExpr("coalesce(doc_id, 0) as id", "doc_id is null as none", "xxhash64(coalesce(text, '')) as h", "1L as t", "coalesce(text, '') as text")
+    usual, finer = ({tuple(r) for r in simhash.similar_texts(keys, large=n).collect()} for n in (4096, 3))
+    assert len(finer) == len(usual) and len({r[-1] for r in finer}) == len({r[-1] for r in usual})
+
+
+def test_large_groups_are_one_tree():
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 1 << 63, simhash.WIDE, dtype=np.uint64)
+    group = np.repeat(one[None], 300, axis=0)
+    for x in group[1:]:
+        x[rng.integers(simhash.WIDE)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    other = rng.integers(0, 1 << 63, (200, simhash.WIDE), dtype=np.uint64)
+    a, b = simhash.similar_pairs(np.concatenate([group, other]))
+    assert len(a) == 299 and set(classes(range(500), zip(a.tolist(), b.tolist(), strict=True)).values()) == {0, *range(300, 500)}
+    fp = np.concatenate([group[:20], other[:5], group[20:30]])
+    pairs = [p for i, k in simhash.all_pairs(fp, np.array([0, 12, 25, 35]), at_once=9) for p in zip(i.tolist(), k.tolist(), strict=True)]
+    want = [(i, k) for lo, hi in ((0, 12), (12, 25), (25, 35)) for i in range(lo, hi) for k in range(i + 1, hi) if np.bitwise_count(fp[i] ^ fp[k]).sum() <= simhash.WIDE_RADIUS]
+    assert sorted(pairs) == want
+
+
+def test_clashing_columns_survive(spark):
+    odd = ["_id", "_h", "row", "spans", "id", "none", "h", "t", "cls", "c0", "text_", "component", "stays", "_letters"]
+    docs = spark.createDataFrame([(k, x, *[7 * k] * len(odd)) for k, x in ((1, "the same words stand here twice"), (2, "the same words stand here twice"), (3, "other words are in this one"))], ["doc_id", "text", *odd])
+    for out in (simhash.without_near_duplicates(docs), without_repeated_bytes(docs, width=20)):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) >= 2 and all(r[c] == 7 * r.doc_id for r in got for c in odd)
 
 
 def test_null_ids_join_components(spark, documents):

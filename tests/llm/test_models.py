@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -13,6 +16,7 @@ from millrace.llm.queries import op3_language_id, op4_quality_rules, op9_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIDDLE = "/root/testdata/sf0.01"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_language_of_held_out_documents(spark):
@@ -47,8 +51,8 @@ def test_odd_texts_have_no_language(spark, documents):
     docs = documents((1, None), (2, ""), (3, "123 !?"), (4, "the dog"), (5, "Der Hund"), (None, "the"), (6, "ж"), (4, "the dog"), (7, "the dog and " * 5000))
     got = sorted((str(r.doc_id), r.lang_pred) for r in language_id.identify(docs, model).collect())
     assert [x for x in got if x[0] != "6"] == [("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("4", "en"), ("5", "de"), ("7", "en"), ("None", "en")]
-    kept = language_id.accepted(docs, model)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "5", "6", "7", "None"]
+    kept = language_id.accepted(docs, model)  # no language explains a letter of another script
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "5", "7", "None"]
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(docs)).collect()} == {"und"}  # nothing labelled
     assert language_id.identify(docs.limit(0), model).count() == 0
 
@@ -61,6 +65,40 @@ def test_languages_of_long_documents_are_learnt(spark, documents):
     assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()} == {1: "en", 2: "en", 3: "de", 4: "de", 5: "en", 6: "de"}
 
 
+def test_texts_of_a_language_are_explained(spark):
+    """Phrases of held-out texts with a letter are far longer than the least; noise and other scripts are below it."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = language_id.train(docs.filter(~language_id.held_out("doc_id", 5, 0)))
+    bits = math.log2(model.automata[0].size)
+    rates = [r.rate for r in language_id.identify(docs, model).collect() if r.lang_pred != "und"]
+    assert bits / max(rates) > 1.5 * language_id.LEAST_PHRASE
+    noise = spark.createDataFrame([(1, "Ω≈ж привет мир это другой язык"), (2, "qxzj wvkq zxqv jjqz kxwq vvzq")], "doc_id long, text string")
+    assert language_id.accepted(noise, model).filter("doc_id = 1").count() == 0
+    assert language_id.accepted(docs, model).count() == docs.filter("text rlike '\\\\p{L}'").count()
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """A driver that alone can import the package: models reach the workers by value."""
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from millrace.llm import decontaminate, language_id, quality_classifier, quality_rules
+docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+print("ROWS", language_id.identify(docs, language_id.train(docs)).count(), quality_rules.apply_rules(docs, quality_rules.train(docs, labels)).count(),
+      quality_classifier.score(docs, quality_classifier.train(docs, labels)).count(),
+      decontaminate.contained_items(docs, spark.createDataFrame([(1, "the cat and the dog")], "item_id long, text string")).count())
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 2 2 2 1" in done.stdout, done.stderr[-2000:]
+
+
 def test_nothing_learnt_rejects_nothing(spark, documents):
     docs = documents((1, "the dog"), (2, "123"), (3, None), (4, "ж"))
     assert sorted(r.doc_id for r in language_id.accepted(docs, language_id.train(docs)).collect()) == [1, 4]

@@ -1,5 +1,6 @@
 """Operators 1, 2, 6 and 8, the pipeline, and the queries' registration."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -168,9 +169,10 @@ def test_pipeline(spark, small):
     named, single, cut, clean, mixed = tables[1:]
     assert all(sorted(t.columns) == sorted(docs.columns) for t in tables[:-1])
     assert named.count() == docs.filter("text rlike '\\\\p{L}'").count()
-    from millrace.llm.simhash import near_duplicates
+    from test_dedup import similar_classes
 
-    assert {r.doc_id for r in single.collect()} == {r.component_id for r in near_duplicates(named).collect()}
+    rows = named.select("doc_id", "text").orderBy("doc_id").collect()
+    assert sorted(r.doc_id for r in single.collect()) == sorted({rows[k].doc_id for k in similar_classes([r.text for r in rows]).values()})
     assert cut.count() == single.count() and cut.filter("n_chars <> length(text)").count() == 0
     bench = [shingles(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     bad = {r.doc_id for r in cut.collect() for s in [shingles(r.text)] if any(x and len(s & x) >= 0.8 * len(x) - 1e-9 for x in bench)}
@@ -179,6 +181,29 @@ def test_pipeline(spark, small):
     assert sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) == sorted(map(tuple, mixed.collect()))
 
 
+def test_pipeline_cuts_passages_of_fifty_words(spark, small):
+    """Passages of 51 words that several documents share go, the rest of the texts and clean documents stay."""
+    rng = random.Random(6)
+    words = [x for r in spark.read.parquet(f"{small}/documents.parquet").filter("lang = 'en'").collect() for x in r.text.split() if x.isalpha()]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [prose(51) for _ in range(8)]
+    rows = [(k, f"{prose(80)} {passages[k % 8] if k < 40 else prose(51)} {prose(80)}", "en", "s", 1) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_strings(spark, docs, small).collect()}
+    assert all(passages[k % 8] not in got[k] and got[k].split()[:79] == rows[k][1].split()[:79] for k in range(40))
+    assert all(got[k] == rows[k][1] for k in range(40, 80))
+
+
+def test_stages_leave_clashing_columns_alone(spark, small):
+    odd = ["_id", "_h", "row", "spans", "id", "none", "h", "t", "_letters", "letters", "own", "_row", "hash", "c0"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    more = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(odd)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, small)
+        assert out.columns == more.columns and all(r[c] == i for r in out.collect() for i, c in enumerate(odd))
+    assert corpus_pipeline.mix_sources(spark, more, small).count() == 60
+
+
 def test_pipeline_takes_odd_tables(spark, documents, small):
     docs = documents((None, None), (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "die katze und der hund", "de", None)).select("doc_id", "text", "lang", "source", "n_chars")
     for table in (docs, docs.limit(0)):
