@@ -1,10 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding, with DataFrame functions only.
 
 All documents of a source want the same number of copies, target over size. Its whole part is given to each; the fractional
-parts are rounded dependently: two units meet, randomly move their mass until one is integral, and the other goes on with what
-is left. Units meet within groups of similar size first, in the order of size, so that the words taken stay near the target as
-well as the copies; a group leaves one residual unit. The residuals of all groups form the next level of a reduction tree, and so
-on until each source has one, which is rounded by itself. Groups are salted to about GROUP units, whatever a source holds.
+parts are rounded dependently: two units meet and randomly move mass, counted in words, until one is integral, and the other goes on
+with what is left. What one loses the other gains, so that a meeting leaves the expected words as they are, and the chances are such
+that each unit keeps its probability. Units meet within groups of like size, salted to about GROUP units whatever a source holds; a
+group leaves one residual unit, and the residuals of all groups form the next level of a reduction tree, down to ROOT units a source.
+At the root a source's units are settled from the largest to the smallest: each gives the words by which its rounding was off to all
+smaller ones, in proportion to their size, so that the total misses the target by about the smallest of them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from ._tables import saved
 
 #: Units that meet in one group of a level.
 GROUP = 128
-#: Levels whose groups hold like sizes only: cuts of an octave of sizes by level.
-BANDS = (8.0, 2.0, 0.5)
+#: Units of a source that are settled at the root: more than the bands of sizes up to 2 ** 40.
+ROOT = 512
+#: Cuts of an octave of sizes; groups hold one band of sizes.
+CUTS = 8.0
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -46,43 +50,75 @@ def _uniform(level: int, seed: int, *keys: Column) -> Column:
 def _meet(level: int, seed: int):
     def step(acc: Column, x: Column) -> Column:
         a, b = acc["unit"], x
-        both = a["p"] + b["p"]
+        have_a, have_b = a["p"] * a["size"], b["p"] * b["size"]
+        room_a, room_b = a["size"] - have_a, b["size"] - have_b
+        to_b, to_a = F.least(have_a, room_b), F.least(have_b, room_a)  # words that may move either way
         u = _uniform(level, seed, a["key"], b["key"])
-        small = both < 1.0
-        a_first = u < F.when(small, a["p"] / F.greatest(both, F.lit(1e-300))).otherwise((1.0 - b["p"]) / F.greatest(2.0 - both, F.lit(1e-300)))
-        # below one: the first takes all and the other ends at 0; else the first ends at 1 and the other keeps the rest
-        stays = F.when(small == a_first, a).otherwise(b)
-        rest = F.when(small, both).otherwise(both - 1.0)
-        unit = F.struct(stays["size"].alias("size"), stays["key"].alias("key"), rest.alias("p"))
-        done = F.when(a_first, a["key"]).otherwise(b["key"])
-        return F.struct(unit.alias("unit"), F.when(small, acc["ones"]).otherwise(F.concat(acc["ones"], F.array(done))).alias("ones"))
+        gives = u * (to_a + to_b) < to_a  # the less there is to move, the likelier: no unit's chance changes
+        new_a = F.when(gives, have_a - to_b).otherwise(have_a + to_a)
+        new_b = F.when(gives, have_b + to_b).otherwise(have_b - to_a)
+        a_done = F.when(gives, have_a <= room_b).otherwise(room_a <= have_b)
+        a_up = ~gives
+        b_up = gives
+        stays = F.when(a_done, b).otherwise(a)
+        left = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(a_done, new_b / b["size"]).otherwise(new_a / a["size"])))
+        unit = F.struct(stays["size"].alias("size"), stays["key"].alias("key"), left.alias("p"))
+        done = F.when(a_done, a["key"]).otherwise(b["key"])
+        up = F.when(a_done, a_up).otherwise(b_up)
+        return F.struct(unit.alias("unit"), F.when(up, F.concat(acc["ones"], F.array(done))).otherwise(acc["ones"]).alias("ones"))
 
     return step
 
 
+def _none(of: Column) -> Column:
+    """An empty array of keys."""
+    return F.slice(F.transform(of, lambda x: x["key"]), 1, 0)
+
+
+def _settle(units: Column, level: int, seed: int) -> Column:
+    """The keys rounded up of a source's last units, from the largest on: a unit's own chance, shifted by the words that are owed."""
+
+    def step(acc: Column, x: Column) -> Column:
+        # what is owed is spread over this unit and all smaller ones, by size
+        rest = acc["rest"]
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["p"] + acc["owed"] / F.greatest(rest, F.lit(1.0))))
+        up = _uniform(level, seed, x["key"]) < p
+        # the last unit takes whatever brings the words nearer
+        up = F.when(rest <= x["size"], acc["owed"] + x["p"] * x["size"] > 0.5 * x["size"]).otherwise(up)
+        owed = acc["owed"] + x["p"] * x["size"] - F.when(up, x["size"].cast("double")).otherwise(0.0)
+        return F.struct(owed.alias("owed"), (rest - x["size"]).alias("rest"), F.when(up, F.concat(acc["ones"], F.array(x["key"]))).otherwise(acc["ones"]).alias("ones"))
+
+    total = F.aggregate(units, F.lit(0.0), lambda s, x: s + x["size"])
+    ordered = F.reverse(F.sort_array(units))
+    return F.aggregate(ordered, F.struct(F.lit(0.0).alias("owed"), total.alias("rest"), _none(units).alias("ones")), step)["ones"]
+
+
 def round_dependently(units: DataFrame, seed: int) -> DataFrame:
     """(source, size, key, p), keys unique and p from 0 to 1 exclusive, to the keys that are rounded up."""
     ups = None
     level = 0
     while True:
-        cut = BANDS[level] if level < len(BANDS) else 0.0
-        banded = units.withColumn("band", F.floor(F.log2(F.col("size")) * cut))
-        counts = banded.groupBy("source", "band").agg(F.count("*").alias("n")).withColumnRenamed("source", "s").withColumnRenamed("band", "b")
-        counts = counts.withColumn("one", F.sum("n").over(W.partitionBy("s")) <= GROUP).withColumn("salts", F.ceil(F.col("n") / GROUP))
-        salted = banded.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")))
-        salted = salted.withColumn("band", F.when(F.col("one"), F.lit(0)).otherwise(F.col("band")))  # a small source is one group
-        salted = salted.withColumn("salt", F.pmod(F.xxhash64(F.lit(level), "key"), F.col("salts")))
+        # sources of more units than the root takes go down one level, in groups of a band of sizes
+        banded = units.withColumn("band", F.floor(F.log2(F.col("size")) * CUTS))
+        counts = banded.groupBy("source", "band").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("all", F.sum("n").over(W.partitionBy("source"))).filter(F.col("all") > ROOT)
+        counts = saved(counts.select(F.col("source").alias("s"), F.col("band").alias("b"), F.ceil(F.col("n") / GROUP).alias("salts")))
+        if counts.isEmpty():
+            break
+        same = F.col("source").eqNullSafe(F.col("s"))
+        few = units.join(counts.select("s").distinct(), same, "left_anti")
+        salted = banded.join(counts, same & (F.col("band") == F.col("b"))).withColumn("salt", F.pmod(F.xxhash64(F.lit(level), "key"), F.col("salts")))
         groups = salted.groupBy("source", "band", "salt").agg(F.sort_array(F.collect_list(F.struct("size", "key", "p"))).alias("us"))
-        first = F.struct(F.element_at("us", 1).alias("unit"), F.slice(F.transform("us", lambda x: x["key"]), 1, 0).alias("ones"))
+        first = F.struct(F.element_at("us", 1).alias("unit"), _none(F.col("us")).alias("ones"))
         met = groups.select("source", F.aggregate(F.slice("us", F.lit(2), F.size("us")), first, _meet(level, seed)).alias("r"))
         met = saved(met.select("source", "r.unit", "r.ones"))
         settled = met.select(F.explode("ones").alias("key"))
-        units = met.select("source", "unit.size", "unit.key", "unit.p")
+        units = saved(met.select("source", "unit.size", "unit.key", "unit.p").unionByName(few))
         ups = settled if ups is None else ups.unionByName(settled)
         level += 1
-        if level >= len(BANDS) and met.groupBy("source").count().filter("count > 1").isEmpty():
-            last = units.filter(_uniform(level, seed, F.col("key")) < F.col("p")).select("key")
-            return ups.unionByName(last)
+    root = units.groupBy("source").agg(F.collect_list(F.struct("size", "key", "p")).alias("us"))  # ROOT at most
+    last = root.select(F.explode(_settle(F.col("us"), level, seed)).alias("key"))
+    return last if ups is None else ups.unionByName(last)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
@@ -108,17 +144,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ups = ups.withColumn("up", F.lit(1))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("up", F.lit(0))).otherwise(F.lit(0)).cast("long")
     out = wanted.join(ups, "key", "left").withColumn("copies", copies)
-    return repaired(saved(out)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def repaired(out: DataFrame) -> DataFrame:
-    """out with one document a source rounded the other way, where that brings the source's words nearer to its target.
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
-    With few documents, of which some are very long, the copies are right but the words may still be off by a document."""
-    off = out.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off")).withColumnRenamed("source", "of")
-    both = out.join(off, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    up = F.col("copies") > F.col("whole")
-    can = (F.col("size") > 0) & (F.col("p") > 0) & (up == (F.col("off") > 0)) & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
-    best = both.filter(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")), "key"))["key"].alias("key")).select("key", F.lit(True).alias("turn"))
-    turned = F.when(F.col("turn"), F.when(up, F.col("whole")).otherwise(F.col("whole") + 1)).otherwise(F.col("copies"))
-    return out.join(best, "key", "left").withColumn("copies", turned.cast("long"))

@@ -124,15 +124,31 @@ def test_mixing(spark, real, documents):
 
 
 def test_rounding_keeps_probabilities(spark):
-    """Over many seeds each unit goes up about as often as its fraction says."""
-    units = spark.range(40).selectExpr("'s' as source", "id + 1 as size", "struct(id as doc_id) as key", "0.3 as p").withColumn("p", F.col("p").cast("double"))
-    ups = defaultdict(int)
-    for seed in range(12):
-        got = [r.key.doc_id for r in mixing.round_dependently(units, seed).collect()]
-        assert len(got) == 12
-        for k in got:
-            ups[k] += 1
-    assert sum(ups.values()) == 144 and max(ups.values()) <= 10 and len(ups) >= 35
+    """Over many sources each unit goes up about as often as its fraction says, and every source's words meet their sum."""
+    units = spark.range(8000).selectExpr("cast(id div 40 as string) as source", "1 + id % 40 as size", "struct(id as doc_id) as key", "cast(0.3 as double) as p")
+    ups = [r.key.doc_id for r in mixing.round_dependently(units, 7).collect()]
+    words, rate = defaultdict(int), defaultdict(int)
+    for k in ups:
+        words[k // 40] += 1 + k % 40
+        rate[k % 40] += 1
+    assert len(ups) == len(set(ups)) and len(words) == 200
+    assert sum(abs(w - 246) for w in words.values()) / 200 <= 2 and max(abs(w - 246) for w in words.values()) <= 40
+    assert all(0.18 <= n / 200 <= 0.42 for n in rate.values()) and 0.28 <= len(ups) / 8000 <= 0.32
+
+
+def test_rounding_through_a_tree(spark):
+    """A source of many more units than the root takes, one of them huge, and small sources beside it."""
+    units = spark.range(5000).selectExpr("if(id < 4900, 'big', cast(id % 3 as string)) as source", "if(id = 7, 40000, 1 + (id * id) % 977) as size", "struct(id as doc_id) as key", "0.1 + 0.8 * (id % 7) / 7.0 as p").withColumn("p", F.col("p").cast("double"))
+    size, want = {}, defaultdict(float)
+    for r in units.collect():
+        size[r.key.doc_id] = (r.source, r.size)
+        want[r.source] += r.size * r.p
+    ups = [r.key.doc_id for r in mixing.round_dependently(units, 3).collect()]
+    got = defaultdict(int)
+    for k in ups:
+        got[size[k][0]] += size[k][1]
+    assert len(ups) == len(set(ups)) and abs(got["big"] - want["big"]) <= 0.001 * want["big"]
+    assert all(abs(got[s] - want[s]) <= 60 for s in "012")
 
 
 def shingles(text, n=5):
