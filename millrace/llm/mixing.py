@@ -26,20 +26,28 @@ CUTS = 8.0
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(source, source_size) to (source, source_size, target). Sources, one row each, are few: they are ranked in one window.
+    """(source, source_size), one row a source, to (source, source_size, target). Sources may be many: they are ranked by ranges.
 
     Sources by code point, null last, weigh `weights` in turn and share all sizes; no target exceeds `most` times its source's
-    size. Filling up to a common level: in order of limit over weight, sources whose limit is below the level of those not yet
-    limited keep their limit."""
-    ranked = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("place", F.row_number().over(W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())))
-    order = W.orderBy("place")
-    all_rows = W.partitionBy()
-    left = F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranked.withColumn("level", left / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
-    open_ = F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.struct("place", "level"))
-    ranked = ranked.withColumn("final", F.min(open_).over(all_rows)["level"])
-    return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("final") * F.col("weight"), F.lit(0.0))).alias("target"))
+    size. The level that all are filled up to is found by passes: sources whose limit is below it keep their limit, which raises
+    the level for the others."""
+    order = F.col("source").asc_nulls_last()
+    placed = saved(by_source.repartitionByRange(order).sortWithinPartitions(order).withColumn("spot", F.monotonically_increasing_id()))
+    part = F.shiftright("spot", 33)
+    before = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("spot").alias("first"))  # a row a partition
+    before = before.withColumn("shift", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).select("part", "shift")
+    rank = F.col("spot") + F.col("shift")
+    ranked = placed.join(F.broadcast(before), part == F.col("part")).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")))
+    ranked = saved(ranked.select("source", "source_size", "weight", (F.lit(most) * F.col("source_size")).alias("cap")))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, limited = 0.0, -1
+    while True:
+        full = F.col("cap") < level * F.col("weight")
+        found = ranked.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if found[0] == limited or not found[2]:
+            break
+        limited, level = found[0], (total - (found[1] or 0)) / found[2]
+    return ranked.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _uniform(level: int, seed: int, *keys: Column) -> Column:

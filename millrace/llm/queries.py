@@ -14,7 +14,7 @@ from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
 
-#: A public byte-level vocabulary.
+#: A public byte-level vocabulary, where the session's setting `spark.millrace.vocabulary` names no other.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -26,7 +26,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    vocabulary = vocabulary or spark.conf.get("spark.millrace.vocabulary", VOCABULARY)
     histogram = token_counts.length_histogram(_table(spark, sf_dir, "documents"), token_counts.load_ranks(spark, vocabulary))
     return token_counts.context_answers(token_counts.suffix_sums(histogram))
 
