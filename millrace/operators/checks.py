@@ -80,7 +80,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def run_checks(rules: list[Rule], models: dict[str, DataFrame], run_id: str, as_of: str) -> DataFrame:
     """One row a rule: failed or warning (by its severity) if any row breaks it. Rules that are row conditions of one model share a
     single pass over it."""
-    parts = []
     plain = {"not_null", "accepted_values", "non_negative", "end_after_start", "plan_overrun", "counts_reconcile"}
     by_model: dict[str, list[Rule]] = {}
     for r in rules:
@@ -91,14 +90,11 @@ def run_checks(rules: list[Rule], models: dict[str, DataFrame], run_id: str, as_
         pairs = F.array(*(F.struct(F.lit(r.check_id).alias("check_id"), count_where(_condition(r)).alias("n")) for r in own))
         counted.append(models[model].agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.*"))
     counted += [failing(r, models).agg(F.count("*").alias("n")).select(F.lit(r.check_id).alias("check_id"), "n") for r in rules if r.kind not in plain]
-    about = {r.check_id: r for r in rules}
-    for df in counted:
-        name = lambda f: F.element_at(F.create_map(*(x for k, r in about.items() for x in (F.lit(k), F.lit(f(r))))), F.col("check_id"))
-        bad = F.col("n") > 0
-        status = F.when(~bad, "passed").when(name(lambda r: r.severity) == "warning", "warning").otherwise("failed")
-        severity = F.when(~bad, "info").otherwise(name(lambda r: r.severity))
-        parts.append(df.select(*check_row(F.col("check_id"), name(lambda r: r.kind), "model_test", name(lambda r: r.model), status, severity, F.col("n"), "0 failing rows", run_id, at(as_of))))
-    return _union(parts)
+    about = models[rules[0].model].sparkSession.createDataFrame([(r.check_id, r.kind, r.model, r.severity) for r in rules], "check_id string, kind string, model string, severity string")
+    bad = F.col("n") > 0
+    status = F.when(~bad, "passed").when(F.col("severity") == "warning", "warning").otherwise("failed")
+    severity = F.when(~bad, "info").otherwise(F.col("severity"))
+    return _union(counted).join(about, "check_id").select(*check_row(F.col("check_id"), F.col("kind"), "model_test", F.col("model"), status, severity, F.col("n"), "0 failing rows", run_id, at(as_of)))
 
 
 def _condition(rule: Rule) -> Column:
@@ -183,6 +179,16 @@ def volume_anomaly(observed: DataFrame, history: DataFrame) -> DataFrame:
     return both.select("source_name", "observed_rows", F.coalesce("samples", F.lit(0)).alias("samples"), evaluated.alias("evaluated"), *map(bound, ("baseline", "mad", "lower_bound", "upper_bound")), status.alias("status"))
 
 
+def volume_checks(judged: DataFrame, run_id: str, as_of: str) -> DataFrame:
+    """Of `volume_anomaly` rows: a warning for a source whose rows are out of the bounds of its history."""
+    odd = F.col("status") == "warning"
+    bounds = F.when(F.col("evaluated"), F.concat(F.lit("from "), F.format_number("lower_bound", 1), F.lit(" to "), F.format_number("upper_bound", 1), F.lit(" rows"))).otherwise(F.lit("three healthy runs at least"))
+    evidence = F.concat(F.col("samples").cast("string"), F.lit(" earlier runs"))
+    return judged.select(
+        *check_row(F.concat(F.lit("volume:"), "source_name"), "row volume", "volume", F.col("source_name"), F.col("status"), F.when(odd, "warning").otherwise("info"), F.col("observed_rows"), bounds, run_id, at(as_of), evidence)
+    )
+
+
 def file_checks(decisions: DataFrame, run_id: str, as_of: str) -> DataFrame:
     """Of ledger decisions: duplicates pass as skipped; a changed logical file warns."""
     now = at(as_of)
@@ -205,6 +211,15 @@ def outcome_status(outcome: Column) -> Column:
     return F.when(outcome.isin("pass", "success"), "passed").when(outcome == "warn", "warning").otherwise("failed")
 
 
+def outcome_checks(outcomes: DataFrame, run_id: str, as_of: str) -> DataFrame:
+    """Outcomes of a test runner (test_id, test_name, outcome, failures, depends_on array) as check rows: errors unless they passed or
+    warned; the scope is the first of the test's dependencies, or the project."""
+    status = outcome_status(F.lower("outcome"))
+    severity = F.when(status == "passed", "info").when(status == "warning", "warning").otherwise("error")
+    scope = F.coalesce(F.array_min("depends_on"), F.lit("project"))
+    return outcomes.select(*check_row(F.col("test_id"), F.col("test_name"), "model_test", scope, status, severity, F.col("failures"), "0 failing rows", run_id, at(as_of), F.array_join(F.array_sort("depends_on"), ",")))
+
+
 def run_status(checks: DataFrame, quarantined: Column | None = None) -> DataFrame:
     """One row a run: failed with any failed check of severity error; else degraded with a warning or a quarantined row (column
     `quarantined`, if given by run); else healthy. freshness_status: the worst of its freshness checks."""

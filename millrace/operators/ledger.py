@@ -10,7 +10,7 @@ from .tables import latest, upsert
 
 #: A file in one of these states need not be loaded again.
 DONE = ("loaded", "quarantined", "skipped")
-RUN_FIELDS = ("status", "finished_at", "duration_seconds", "accepted_row_count", "quarantined_row_count", "passed_checks", "failed_checks", "freshness_status", "summary")
+RUN_FIELDS = ("status", "finished_at", "duration_seconds", "source_file_count", "source_row_count", "accepted_row_count", "quarantined_row_count", "skipped_file_count", "passed_checks", "failed_checks", "freshness_status", "summary")
 
 
 def ledger_decision(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -31,9 +31,10 @@ def file_status(loaded: Column, quarantined: Column, breaking: Column) -> Column
     return F.when((loaded == 0) & ((quarantined > 0) | breaking), "quarantined").otherwise("loaded")
 
 
-def mark_interrupted(ledger: DataFrame, run_id: str) -> DataFrame:
-    """Files that the run landed but never processed become failed, to be retried."""
-    stuck = (F.col("run_id") == run_id) & (F.col("status") == "landed") & F.col("processed_at").isNull()
+def mark_interrupted(ledger: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Files that the run (or any, if none is named) landed but never processed become failed, to be retried."""
+    own = F.lit(True) if run_id is None else F.col("run_id") == run_id
+    stuck = own & (F.col("status") == "landed") & F.col("processed_at").isNull()
     zero = F.when(stuck, F.lit(0))
     return ledger.select(
         *(
@@ -50,12 +51,20 @@ def upsert_stages(stages: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def finalise_run(runs: DataFrame, final: DataFrame) -> DataFrame:
-    """A running run's final fields (RUN_FIELDS, by run_id) put in its row; other columns stay."""
+    """A running run's final fields (those of RUN_FIELDS that `final` has, by run_id) put in its row; other columns stay."""
     fields = [c for c in RUN_FIELDS if c in final.columns]
     new = final.select("run_id", F.struct(*fields).alias("_final"))
     return runs.join(new, "run_id", "left").select(*(F.when(F.col("_final").isNotNull(), F.col(f"_final.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in runs.columns))
 
 
+def create_incident(incidents: DataFrame, incident: DataFrame, now: Column) -> DataFrame:
+    """incidents with one more, open; incident: (incident_id, title, failed_run_id). An id that is known already is an error."""
+    if not incidents.join(incident, "incident_id", "left_semi").isEmpty():
+        raise ValueError("an incident of this id exists")
+    given = {c: F.col(c) for c in incident.columns} | {"status": F.lit("open"), "created_at": now}
+    return incidents.unionByName(incident.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in incidents.dtypes)))
+
+
 def resolve_incident(incidents: DataFrame, incident_id: str, recovery_run_id: str, now: Column) -> DataFrame:
     """An open incident becomes resolved by a recovery run; it is an error if there is no such open incident."""
     hit = (F.col("incident_id") == incident_id) & (F.col("status") == "open")

@@ -93,6 +93,10 @@ def quality_trend_by_run(trends: DataFrame, limit: int = 100) -> DataFrame:
     return trends.orderBy(F.desc("quality_date"), "check_type", "scope").limit(limit)
 
 
+#: Counts of a run whose differences a comparison tells.
+RUN_COUNTS = ("source_file_count", "source_row_count", "accepted_row_count", "quarantined_row_count", "passed_checks", "failed_checks")
+
+
 def compare_runs(counts: DataFrame, left: str, right: str) -> DataFrame:
     """(run_id, model_row_counts map) of two runs: each model's counts and their difference; a model that one run lacks has no
     difference and is marked unavailable."""
@@ -103,6 +107,31 @@ def compare_runs(counts: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
+def compare_run_counts(runs: DataFrame, left: str, right: str) -> DataFrame:
+    """One row: the runs' statuses and, for each of RUN_COUNTS that runs has, right less left, nulls as 0. No row if a run is missing."""
+    names = [c for c in RUN_COUNTS if c in runs.columns]
+    one = lambda run, side: runs.filter(F.col("run_id") == checked_name(run)).select(F.struct("run_id", "status", *names).alias(side))
+    delta = lambda c: F.coalesce(F.col(f"b.{c}"), F.lit(0)) - F.coalesce(F.col(f"a.{c}"), F.lit(0))
+    return one(left, "a").crossJoin(one(right, "b")).select(  # one row each
+        F.col("a.run_id").alias("left_run_id"), F.col("b.run_id").alias("right_run_id"), F.col("a.status").alias("status_from"), F.col("b.status").alias("status_to"), *(delta(c).alias(f"{c}_delta") for c in names)
+    )
+
+
+def latest_models(models: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the catalogue: the newest row of each model, by name."""
+    return page(latest_by(models, ["model_name"], "discovered_at", "run_id"), F.col("model_name"), limit=limit, offset=offset)
+
+
+def model_by_name(models: DataFrame, name: str) -> DataFrame:
+    return latest_by(models.filter(F.col("model_name") == checked_name(name)), ["model_name"], "discovered_at", "run_id")
+
+
+def model_columns(models: DataFrame, columns: DataFrame, name: str) -> DataFrame:
+    """The columns of a model's newest version, in order."""
+    newest = model_by_name(models, name).select("run_id", "model_name")
+    return columns.join(newest, ["run_id", "model_name"], "left_semi").orderBy("ordinal_position")
+
+
 def direct_lineage(edges: DataFrame, name: str) -> DataFrame:
     """(direction, node): parents and children in one."""
     own = F.lit(checked_name(name))
@@ -122,17 +151,21 @@ def downstream(edges: DataFrame, roots: DataFrame, most_depth: int = 20) -> Data
     links = edges.select("parent", "child").distinct()
     seen = None
     frontier = roots.select(F.col("node")).distinct()
-    held = []
     for depth in range(1, most_depth + 1):
         reached = frontier.join(links, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         fresh = reached if seen is None else reached.join(seen.select("node"), "node", "left_anti")
         fresh = fresh.select("node", F.lit(depth).alias("depth")).persist()
-        held.append(fresh)
         if fresh.isEmpty():
-            break
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        frontier = fresh.select("node")
-    return held[0] if seen is None else seen
+            fresh.unpersist()
+            return fresh if seen is None else seen
+        # what was found before lives on in the new frame, which is filled before the old one is freed
+        seen, before = (fresh if seen is None else seen.unionByName(fresh)).persist(), seen
+        seen.count()
+        fresh.unpersist()
+        if before is not None:
+            before.unpersist()
+        frontier = seen.filter(F.col("depth") == depth).select("node")
+    return seen
 
 
 def affected_downstream(edges: DataFrame, checks: DataFrame) -> DataFrame:
@@ -141,46 +174,62 @@ def affected_downstream(edges: DataFrame, checks: DataFrame) -> DataFrame:
     return downstream(edges, roots).select("node", "depth")
 
 
-def incident_evidence(checks: DataFrame, reasons: DataFrame, drifts: DataFrame, deltas: DataFrame) -> DataFrame:
-    """(section, name, value): up to 100 failed or warning checks, reason counts as source:code, up to 50 drifts, and the row-count
-    differences of models that both runs have."""
-    bad = failed_checks(checks, limit=MOST_ROWS).select(F.lit("check").alias("section"), F.col("check_id").alias("name"), F.col("status").alias("value"))
-    counts = reasons.select(F.lit("reason").alias("section"), F.concat_ws(":", "source_name", "code").alias("name"), F.col("row_count").cast("string").alias("value"))
-    drift = drifts.orderBy("source_name").limit(50).select(F.lit("schema").alias("section"), F.col("source_name").alias("name"), F.col("change_type").alias("value"))
-    delta = deltas.filter("not unavailable").select(F.lit("delta").alias("section"), F.col("model_name").alias("name"), F.col("delta").cast("string").alias("value"))
-    return bad.unionByName(counts).unionByName(drift).unionByName(delta)
+def incident_evidence(checks: DataFrame, reasons: DataFrame, drifts: DataFrame, deltas: DataFrame, affected: DataFrame | None = None) -> DataFrame:
+    """(section, kind, name, value): up to 100 failed or warning checks (kind: their type), reason counts as source:code (kind: the
+    code), up to 50 drifts, the row-count differences of models that both runs have, and up to 20 models (node) that lineage marks."""
+    row = lambda df, section, kind, name, value: df.select(F.lit(section).alias("section"), kind.alias("kind"), name.alias("name"), value.cast("string").alias("value"))
+    parts = [
+        row(failed_checks(checks, limit=MOST_ROWS), "check", F.col("check_type"), F.col("check_id"), F.col("status")),
+        row(reasons, "reason", F.col("code"), F.concat_ws(":", "source_name", "code"), F.col("row_count")),
+        row(drifts.orderBy("source_name").limit(50), "schema", F.col("change_type"), F.col("source_name"), F.col("change_type")),
+        row(deltas.filter("not unavailable"), "delta", F.lit("rows"), F.col("model_name"), F.col("delta")),
+    ]
+    if affected is not None:
+        parts.append(row(affected.select("node").distinct().orderBy("node").limit(20), "lineage", F.lit("model"), F.col("node"), F.lit("downstream")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-#: Words in a piece of evidence, the hypothesis they suggest and the step to take; `{}` is the evidence's name.
+#: By section and kind of a piece of evidence ("*": any kind): what may lie behind it, and where to look; `{}` is the evidence's name.
 CLUES = (
-    ("check", "fresh|stale", "A source or machine may have stopped delivering, or a batch came late.", "Look at the newest file and event times of {}."),
-    ("check", "production|quantity|overrun", "An order export may hold quantities beyond what planning allows.", "Compare planned and actual quantities for {}."),
-    ("reason", "duplicate", "The source may have sent a key twice in one delivery.", "Compare repeated keys and their row numbers for {}."),
-    ("reason", "range|measurement|enum", "A mapping or a sensor export may give values outside the contract.", "Look at the rejected column and its limits for {}."),
-    ("schema", ".", "The producer may have changed its export before the contract followed.", "Compare the header of {} with its contract."),
+    ("check", "freshness", "Deliveries may have paused or be running late.", "See when {} last delivered."),
+    ("check", "timeliness", "Readings may be held back before they are sent.", "See how long readings wait in {}."),
+    ("check", "volume", "A delivery may be partial, doubled or of another scope.", "Hold the row count behind {} against the days before."),
+    ("check", "model_test", "Accepted rows may break a rule that spans columns or tables.", "Read the rows that {} counts."),
+    ("reason", "duplicate_identifier", "A delivery may contain the same record more than once.", "List the row numbers that share a key in {}."),
+    ("reason", "out_of_range", "A unit or a scale may have changed at the origin.", "Hold the rejected numbers of {} against the contract's limits."),
+    ("reason", "invalid_enum", "The origin may use a value that the contract doesn't know.", "List the new values in {}."),
+    ("reason", "invalid_type", "A column may have moved or changed its format.", "Look at the rejected cells of {}."),
+    ("reason", "referential_integrity_violation", "A parent record may be missing or rejected.", "Look for the parents that {} refers to."),
+    ("schema", "*", "An export may have changed ahead of its contract.", "Hold the header of {} against the contract."),
+    ("delta", "*", None, "Decide whether the change of {} fits what the batch was to cover."),
+    ("lineage", "*", None, "Once the cause is mended, rebuild and test {}."),
 )
+NO_FACT = "Nothing was recorded: no check, reason, schema change or row count speaks of this run."
+NO_STEP = "Begin with what the run recorded, check by check."
 
 
 def incident_report(evidence: DataFrame) -> DataFrame:
     """(section, ordinal, text): facts from evidence, hypotheses and next steps by CLUES, each once, in order; at most 30, 20 and 20.
+    Without evidence one fact says so, and one step says where to begin.
 
     Hypotheses never become facts."""
-    e = evidence.select("section", "name", F.concat_ws(" ", "name", "value").alias("all"), "value")
-    order = F.element_at(F.create_map(*(x for i, s in enumerate(("check", "reason", "schema", "delta")) for x in (F.lit(s), F.lit(i)))), F.col("section"))
-    fact = F.concat(F.initcap("section"), F.lit(" "), "name", F.lit(" recorded "), F.col("value"), F.lit("."))
-    text = lambda kind, o, t, on=None: F.when(F.lit(True) if on is None else on, F.struct(F.lit(kind).alias("section"), o.alias("o"), t.alias("text")))
-    found = [text("fact", order, fact)]
-    for i, (section, words, guess, step) in enumerate(CLUES):
-        hit = (F.col("section") == section) & F.lower("all").rlike(words)
-        before, after = step.split("{}")
-        found.append(text("hypothesis", F.lit(i), F.lit(guess), hit))
-        found.append(text("next_step", F.lit(i), F.concat(F.lit(before), F.col("name"), F.lit(after)), hit))
-    rows = e.select("name", F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*", "name")
-    once = rows.groupBy("section", "text").agg(F.min(F.struct("o", "name")).alias("first"))
+    sections = ("check", "reason", "schema", "delta", "lineage")
+    order = F.array_position(F.array(*map(F.lit, sections)), F.col("section")).cast("int")
+    facts = evidence.select(F.lit("fact").alias("section"), order.alias("o"), "name", F.concat(F.initcap("section"), F.lit(" "), "name", F.lit(" recorded "), F.col("value"), F.lit(".")).alias("text"))
+    clues = evidence.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CLUES)], "o int, of string, clue string, guess string, step string")
+    met = evidence.join(clues, (F.col("section") == F.col("of")) & ((F.col("clue") == "*") | (F.col("clue") == F.col("kind"))))
+    guesses = met.filter("guess is not null").select(F.lit("hypothesis").alias("section"), "o", "name", F.col("guess").alias("text"))
+    steps = met.select(F.lit("next_step").alias("section"), "o", "name", F.replace("step", F.lit("{}"), F.col("name")).alias("text"))
+    last = evidence.sparkSession.createDataFrame([("fact", 99, "", NO_FACT), ("next_step", 99, "", NO_STEP)], "section string, o int, name string, text string")
+    once = facts.unionByName(guesses).unionByName(steps).unionByName(last).groupBy("section", "text").agg(F.min(F.struct("o", "name")).alias("first"))
     # evidence is bounded, and so is what one section holds
     nth = F.row_number().over(W.partitionBy("section").orderBy("first", "text"))
     most = F.when(F.col("section") == "fact", 30).otherwise(20)
-    return once.withColumn("ordinal", nth).filter(F.col("ordinal") <= most).select("section", "ordinal", "text")
+    spare = (F.col("first.o") == 99) & (F.col("ordinal") > 1)
+    return once.withColumn("ordinal", nth).filter((F.col("ordinal") <= most) & ~spare).select("section", "ordinal", "text")
 
 
 def incident_by_id(incidents: DataFrame, incident_id: str) -> DataFrame:

@@ -115,9 +115,11 @@ def table_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(model_name, row_count) of up to 100 tables; parquet counts come from footers."""
+    """(model_name, row_count) of up to 100 tables, more are an error; parquet counts come from footers."""
+    if len(tables) > 100:
+        raise ValueError(f"{len(tables)} tables, more than 100")
     out = None
-    for name, df in sorted(tables.items())[:100]:
+    for name, df in sorted(tables.items()):
         part = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("model_name"), "row_count")
         out = part if out is None else out.unionByName(part)
     return out

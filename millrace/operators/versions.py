@@ -3,6 +3,9 @@
 A commit writes each changed table to a new folder and then one manifest that names the folder of every table; readers go by the
 newest manifest. A commit that fails before its manifest leaves nothing that a reader sees, and may be repeated. Files are reached
 by Hadoop's file system, so that any store Spark can write to will do; publication needs its rename of a file to be atomic.
+
+A table is one folder, or parts, each a folder of its own: a hash bucket of its key, or a day. A merge reads and writes the parts that
+its rows fall in, and the new manifest names the others as before, so that a batch's cost follows the batch and not the store.
 """
 
 from __future__ import annotations
@@ -10,7 +13,24 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The column by which parts are written; readers don't see it.
+PART = "_part"
+Entry = str | dict[str, str]
+
+
+def bucket(key: str, buckets: int = 32) -> Column:
+    """The hash bucket of a key as a part."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string")
+
+
+def day(clock: str) -> Column:
+    """The day of a time as a part."""
+    return F.coalesce(F.date_format(clock, "yyyy-MM-dd"), F.lit("none"))
 
 
 class Store:
@@ -29,26 +49,55 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
 
-    def manifest(self, version: int | None = None) -> dict[str, str]:
+    def manifest(self, version: int | None = None) -> dict[str, Entry]:
         version = self.version() if version is None else version
         if not version:
             return {}
         rows = self.spark.read.text(f"{self.home}/manifests/{version:012d}.json", wholetext=True).collect()
         return json.loads(rows[0][0])
 
+    def open(self, entry: Entry) -> DataFrame:
+        folders = [entry] if isinstance(entry, str) else list(entry.values())
+        return self.spark.read.parquet(*(f"{self.home}/{f}" for f in folders))
+
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        folder = self.manifest(version).get(table)
-        return None if folder is None else self.spark.read.parquet(f"{self.home}/{folder}")
+        entry = self.manifest(version).get(table)
+        return None if not entry else self.open(entry)
 
-    def stage(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
-        """Writes new versions that no reader sees yet."""
-        out = {}
+    def stage(self, tables: dict[str, DataFrame]) -> dict[str, Entry]:
+        """Writes new versions, whole, that no reader sees yet."""
+        out: dict[str, Entry] = {}
         for name, df in tables.items():
             out[name] = f"data/{name}/{uuid.uuid4().hex}"
-            df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.home}/{out[name]}")
+            df.write.parquet(f"{self.home}/{out[name]}")
         return out
 
-    def publish(self, staged: dict[str, str]) -> int:
+    def stage_merge(self, name: str, incoming: DataFrame, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], also: DataFrame | None = None) -> dict[str, Entry]:
+        """Writes new versions of the parts of a table that incoming rows fall in: what `merge` makes of those parts and the rows.
+
+        `part` gives a row's part, letters, digits and hyphens only, few in number; `also` (with the table's columns) holds stored rows
+        whose parts have to be merged too. A merge must leave stored rows in their part."""
+        rows = incoming.withColumn(PART, part).persist()
+        hit = {r[0] for r in rows.select(PART).distinct().collect()}  # parts are few
+        if also is not None:
+            hit |= {r[0] for r in also.select(part.alias(PART)).distinct().collect()}
+        if bad := [x for x in hit if not x or not x.replace("-", "").isalnum()]:
+            raise ValueError(f"no names of parts: {bad[:3]}")
+        stored = self.manifest().get(name, {})
+        if isinstance(stored, str):
+            raise ValueError(f"{name} is stored whole")
+        if not hit:
+            out = {"empty": next(iter(self.stage({name: incoming}).values()))} if not stored else stored
+        else:
+            old = {k: f for k, f in stored.items() if k in hit}
+            new = merge(self.open(old), rows.drop(PART)) if old else rows.drop(PART)
+            folder = f"data/{name}/{uuid.uuid4().hex}"
+            new.withColumn(PART, part).hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.home}/{folder}")
+            out = stored | {k: f"{folder}/{PART}={k}" for k in hit}
+        rows.unpersist()
+        return {name: out}
+
+    def publish(self, staged: dict[str, Entry]) -> int:
         """Makes staged tables the current ones, all together; fails if another commit came first."""
         version = self.version() + 1
         text = json.dumps(self.manifest() | staged, sort_keys=True)
@@ -61,5 +110,5 @@ class Store:
             raise RuntimeError(f"version {version} was published by another commit")
         return version
 
-    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-        return self.publish(self.stage(tables, partition_by))
+    def commit(self, tables: dict[str, DataFrame]) -> int:
+        return self.publish(self.stage(tables))

@@ -45,25 +45,61 @@ PARENTS = {
 }
 
 
+LINEAGE = ("_batch_id", "_source_file_id", "_source_row_number", "_ingested_at", "_record_checksum")
+#: Tests of models beside their keys (each not null and unique): columns that are not null, those never below zero, and references.
+TESTED = {
+    "int_machine_context": ("machine_id", ["factory_id"], [], {}),
+    "int_machine_telemetry": ("telemetry_id", [], [], {}),
+    "int_order_performance": ("production_order_id", [], [], {}),
+    "int_downtime_durations": ("downtime_event_id", [], ["downtime_minutes"], {}),
+    "int_machine_failure_intervals": ("downtime_event_id", [], [], {}),
+    "int_inspection_defects": ("quality_inspection_id", [], [], {}),
+    "dim_factory": ("factory_id", [], [], {}),
+    "dim_production_line": ("production_line_id", [], [], {"factory_id": "dim_factory"}),
+    "dim_machine": ("machine_id", [], [], {"production_line_id": "dim_production_line"}),
+    "fct_production_output": ("production_order_id", ["_source_file_id"], ["planned_quantity", "actual_quantity"], {}),
+    "fct_downtime": ("downtime_event_id", [], ["downtime_minutes"], {}),
+    "fct_quality_inspections": ("quality_inspection_id", [], [], {}),
+    "fct_machine_telemetry_daily": (None, [], [], {"machine_id": "dim_machine"}),
+    "factory_performance": ("factory_id", [], ["unplanned_downtime_hours"], {}),
+    "machine_reliability": ("machine_id", [], ["resolved_breakdown_count"], {}),
+    "maintenance_backlog": ("maintenance_work_order_id", [], ["backlog_age_days"], {}),
+    "downtime_by_reason": (None, [], ["downtime_hours"], {}),
+    "data_freshness": ("source_name", [], [], {}),
+    "data_quality_trends": (None, [], ["failed_check_count", "error_check_count"], {}),
+    "machine_history": (None, ["machine_id", "valid_from"], [], {}),
+}
+#: Of raw and staged tables beside keys and parents.
+RAW_NOT_NULL = {"factories": ["factory_name"], "machines": ["updated_at"], "machine_telemetry": ["event_timestamp"]}
+STAGED_NOT_NULL = {"factories": ["_source_file_id"], "machines": ["updated_at"], "machine_telemetry": ["event_timestamp"]}
+STAGED_NOT_NEGATIVE = {"production_orders": ["planned_quantity", "actual_quantity"], "quality_inspections": ["failed_units"], "product_defects": ["defect_count"]}
+
+
 def rules() -> list[Rule]:
-    """The declared tests of sources and models."""
-    out = [Rule("not_null", f"stg_{s}", c) for s, columns in STAGING.items() for c in columns if c not in ("actual_start_at", "actual_end_at", "ended_at", "completed_at") or s == "shifts"]
-    out += [Rule("unique", f"stg_{s}", k) for s, k in KEYS.items()]
-    out += [Rule("relationships", f"stg_{s}", c, parent=(f"stg_{p}", KEYS[p])) for s, (c, p) in PARENTS.items()]
-    out += [
+    """The declared tests: 91 of raw tables, 31 of staged ones, 14 of intermediate models, 34 of dimensions, facts and marts, 2 of the
+    history, and 2 of single statements."""
+    out = []
+
+    def add(model: str, key: str | None, filled: list[str], positive: list[str], parents: dict[str, tuple[str, str]]) -> None:
+        out.extend(Rule("not_null", model, c) for c in [*([key] if key else []), *filled])
+        out.extend(Rule("unique", model, c) for c in [key] if c)
+        out.extend(Rule("non_negative", model, c) for c in positive)
+        out.extend(Rule("relationships", model, c, parent=p) for c, p in parents.items())
+
+    for s, key in KEYS.items():
+        c, parent = PARENTS.get(s, (None, None))
+        add(f"raw_{s}", key, [*LINEAGE, *RAW_NOT_NULL.get(s, []), *([c] if c else [])], [], {c: (f"raw_{parent}", KEYS[parent])} if c else {})
+        above = {c: (f"stg_{parent}", KEYS[parent])} if s in ("production_lines", "machines") else {}
+        add(f"stg_{s}", key, STAGED_NOT_NULL.get(s, []), STAGED_NOT_NEGATIVE.get(s, []), above)
+    for model, (key, filled, positive, parents) in TESTED.items():
+        add(model, key, filled, positive, {c: (p, c) for c, p in parents.items()})
+    return out + [
+        Rule("end_after_start", "stg_shifts", "ended_at", other="started_at"),
         Rule("end_after_start", "stg_downtime_events", "ended_at", other="started_at"),
-        Rule("end_after_start", "stg_production_orders", "actual_end_at", other="actual_start_at"),
+        Rule("accepted_values", "data_freshness", "freshness_status", values=("missing", "fresh", "warning", "stale")),
         Rule("plan_overrun", "fct_production_output", "actual_quantity", other="planned_quantity"),
-        Rule("counts_reconcile", "stg_quality_inspections", "sample_size"),
-        Rule("accepted_values", "data_freshness", "freshness_status", values=("fresh", "warning", "stale", "missing")),
-        Rule("unique", "int_machine_telemetry", "telemetry_id"),
-        Rule("unique", "fct_downtime", "downtime_event_id"),
-        Rule("unique", "dim_machine", "machine_id"),
-        Rule("unique", "factory_performance", "factory_id"),
-        Rule("unique", "machine_reliability", "machine_id"),
+        Rule("counts_reconcile", "fct_quality_inspections", "sample_size"),
     ]
-    out += [Rule("non_negative", m, c) for m, c in (("fct_downtime", "downtime_minutes"), ("stg_production_orders", "planned_quantity"), ("stg_production_orders", "actual_quantity"), ("stg_quality_inspections", "failed_units"), ("stg_product_defects", "defect_count"), ("factory_performance", "planned_units"), ("factory_performance", "actual_units"), ("factory_performance", "downtime_hours"), ("factory_performance", "inspected_units"), ("machine_reliability", "breakdown_count"), ("machine_reliability", "total_downtime_hours"), ("maintenance_backlog", "backlog_age_days"), ("fct_machine_telemetry_daily", "sample_count"), ("inspection_outcomes", "inspected_units"))]
-    return out
 
 
 def edges(spark: SparkSession) -> DataFrame:
@@ -71,7 +107,21 @@ def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, m) for m, (_, parents) in GRAPH.items() for p in parents], "parent string, child string")
 
 
+#: What people and services read, by the models each depends on.
+EXPOSURES = {
+    "operations_dashboard": ["factory_performance", "machine_reliability", "data_freshness", "data_quality_trends"],
+    "operational_api": ["fct_production_output", "factory_performance", "machine_reliability", "maintenance_backlog", "downtime_by_reason", "inspection_outcomes", "data_freshness"],
+    "context_surface": ["fct_production_output", "factory_performance", "machine_reliability", "data_quality_trends"],
+}
+
+
+def edges_with_exposures(spark: SparkSession) -> DataFrame:
+    """(parent, child) of the graph and of what is exposed, for the question of what a failure affects."""
+    return edges(spark).unionByName(spark.createDataFrame([(p, e) for e, parents in EXPOSURES.items() for p in parents], "parent string, child string"))
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
+    """(model_name, materialization, depends_on) of every model."""
     return spark.createDataFrame([(m, kind, p) for m, (kind, p) in GRAPH.items()], "model_name string, materialization string, depends_on array<string>")
 
 

@@ -1,12 +1,17 @@
 """A batch from files to published tables, models, checks and ledgers.
 
-All tables a run changes are staged first and published by one manifest, so that readers see a whole run or none of it, and a run
-that broke off can simply be repeated: its files aren't done, so they come again as retries.
+A run begins with a first commit: its row says running, its files are landed, and files that a broken-off run left behind have failed
+and come again as retries. All else it changes is staged and published by a second commit, so that readers see a whole run or none.
+Raw tables, quarantine and ledgers are merged part by part (`Store.stage_merge`), telemetry by days from the lookback on.
 """
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +19,24 @@ from pyspark.sql import functions as F
 from ..functions.expressions import at, record_checksum
 from ..operators import checks as C
 from ..operators.contracts import CONTRACTS
-from ..operators.ledger import file_status, ledger_decision
-from ..operators.tables import row_counts, upsert, upsert_current
+from ..operators.ledger import file_status, finalise_run, healthy_volumes, ledger_decision, mark_interrupted, upsert_stages
+from ..operators.tables import delete_insert, incremental_slice, insert_absent, row_counts, scd2, upsert, upsert_checks, upsert_current
 from ..operators.validation import ROW, Validated, drift_frame, typed, validate_batch
-from ..operators.versions import Store
+from ..operators.versions import Store, bucket, day
 from ..sources.csv_batch import file_identity, read_batch
-from .graph import rules
+from . import graph
 from .models import STAGING, Models
 
 FILES = "file_id string, run_id string, batch_id string, source_name string, logical_key string, checksum string, object_key string, size_bytes long, row_count long, accepted_count long, quarantined_count long, status string, created_at timestamp_ntz, processed_at timestamp_ntz"
-RUNS = "run_id string, batch_id string, status string, started_at timestamp_ntz, accepted_row_count long, quarantined_row_count long, skipped_file_count long, passed_checks long, failed_checks long, freshness_status string"
+RUNS = "run_id string, batch_id string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_seconds double, source_file_count long, source_row_count long, accepted_row_count long, quarantined_row_count long, skipped_file_count long, passed_checks long, failed_checks long, freshness_status string, summary string"
+STAGES = "run_id string, stage_name string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_seconds double"
 QUARANTINE = "file_id string, source_name string, _source_row_number long, raw_payload map<string,string>, reasons array<struct<code:string,column:string,check:string,message:string,value:string>>"
 CHECKS = "check_id string, run_id string, check_name string, check_type string, scope string, status string, severity string, observed_value string, expected string, evidence string, occurred_at timestamp_ntz"
 DRIFTS = "run_id string, source_name string, change_type string, expected_columns array<string>, actual_columns array<string>, missing_columns array<string>, unexpected_columns array<string>"
+#: Parts of ledgers, which are small tables.
+FEW = 8
+#: Models stored whole; the telemetry is stored by days, the history by itself.
+STORED = [m for m, (kind, _) in graph.GRAPH.items() if kind == "table" and m != "data_quality_trends"]
 
 
 @dataclass
@@ -61,19 +71,96 @@ def _loadable(v: Validated, source: str, batch_id: str, file_id: str, as_of: str
     )
 
 
-def run_batch(spark: SparkSession, store: Store, folder: str, batch_id: str, run_id: str, as_of: str, build: bool = True) -> Outcome:
+class Stages:
+    """What a run's stages took, as rows of the stage ledger."""
+
+    def __init__(self, run_id: str, clock: Callable[[], float]) -> None:
+        self.run_id, self.clock = run_id, clock
+        self.rows: list[tuple[str, str, str, float, float]] = []
+
+    def __call__(self, name: str, began: float) -> float:
+        now = self.clock()
+        self.rows.append((self.run_id, name, "succeeded", began, now))
+        return now
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = spark.createDataFrame(self.rows, "run_id string, stage_name string, status string, s double, f double")
+        moment = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+        return rows.select("run_id", "stage_name", "status", moment("s").alias("started_at"), moment("f").alias("finished_at"))
+
+
+def begin(store: Store, files: DataFrame, ledger: DataFrame, batch_id: str, run_id: str, as_of: str) -> DataFrame:
+    """Publishes the running run and its landed files; gives the ledger's decisions, with the file_id of each.
+
+    Runs that still say running broke off: they and the files they landed have failed."""
+    spark = store.spark
+    ledger = mark_interrupted(ledger)
+    known = ledger_decision(files, ledger)
+    decisions = known.withColumn("file_id", F.coalesce("known_file_id", F.concat_ws("-", F.lit(run_id), "source_name"))).persist()
+    landed = decisions.filter("decision <> 'duplicate'").select("file_id", F.lit(run_id).alias("run_id"), F.lit(batch_id).alias("batch_id"), "source_name", "logical_key", "checksum", "object_key", "size_bytes", F.lit("landed").alias("status"), at(as_of).alias("created_at"))
+    rows = landed.select(*((F.col(c) if c in landed.columns else F.lit(None)).cast(t).alias(c) for c, t in ledger.dtypes))
+    broken = mark_interrupted(_stored(store, "source_files", FILES)).filter("status = 'failed'").join(rows.select("file_id"), "file_id", "left_anti")
+    staged = store.stage_merge("source_files", rows.unionByName(broken), bucket("file_id", FEW), lambda old, new: upsert(old, new, ["file_id"]))
+    runs = _stored(store, "pipeline_runs", RUNS)
+    own = spark.range(1).select(*((F.lit(run_id) if c == "run_id" else F.lit(batch_id) if c == "batch_id" else F.lit("running") if c == "status" else at(as_of) if c == "started_at" else F.lit(None)).cast(t).alias(c) for c, t in runs.dtypes))
+    lost = runs.filter((F.col("status") == "running") & (F.col("run_id") != run_id)).withColumn("status", F.lit("failed")).withColumn("summary", F.lit("The run broke off."))
+    staged |= store.stage_merge("pipeline_runs", own.unionByName(lost), bucket("run_id", FEW), lambda old, new: upsert(old, new, ["run_id"]))
+    store.publish(staged)
+    return decisions
+
+
+def build_models(store: Store, staged: dict, raw: dict[str, DataFrame], run_id: str, as_of: str, lookback_hours: int = 48, start: str | None = None, end: str | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """All models by name, and what was staged of them: telemetry from the lookback (or of [start, end)) in place of its days, the
+    machines' history, and every table model whole."""
+    m = Models(raw, as_of, _stored(store, "quality_results", CHECKS))
+    stored = store.read("int_machine_telemetry")
+    rows = m.telemetry_rows(incremental_slice(m.stg("machine_telemetry"), "event_timestamp", stored, lookback_hours, start, end))
+    older = None if stored is None else stored.join(rows.select("telemetry_id"), "telemetry_id", "left_semi")
+    staged = staged | store.stage_merge("int_machine_telemetry", rows, day("event_timestamp"), lambda old, new: delete_insert(old, new, "telemetry_id"), older)
+    m.store("int_machine_telemetry", store.open(staged["int_machine_telemetry"]))
+    history = scd2(store.read("machine_history"), m.stg("machines").select(*STAGING["machines"]), "machine_id", "updated_at", as_of)
+    staged |= store.stage({"machine_history": history})
+    models = {f"raw_{s}": raw[s] for s in STAGING} | {f"stg_{s}": m.stg(s) for s in STAGING} | {"machine_history": store.open(staged["machine_history"])}
+    for name in graph.GRAPH:
+        if name in STORED:
+            staged |= store.stage({name: getattr(m, name)})
+            m.store(name, store.open(staged[name]))
+        if name not in models:
+            models[name] = getattr(m, name)
+    return models, staged
+
+
+def stage_metadata(store: Store, models: dict[str, DataFrame], run_id: str, as_of: str) -> dict:
+    """The catalogue, columns and lineage of a run's models: models and columns are upserted, edges inserted if absent."""
+    spark = store.spark
+    mark = [F.lit(run_id).alias("run_id"), at(as_of).alias("discovered_at")]
+    own = {k: df for k, df in models.items() if k in graph.GRAPH}
+    part, by = bucket("run_id", FEW), lambda *key: lambda old, new: upsert(old, new, ["run_id", *key])
+    out = store.stage_merge("models", graph.catalogue(spark).select(*mark, "*"), part, by("model_name"))
+    out |= store.stage_merge("model_columns", graph.model_columns(spark, own).select(*mark, "*"), part, by("model_name", "column_name"))
+    return out | store.stage_merge("lineage_edges", graph.edges(spark).select(*mark, "*"), part, lambda old, new: insert_absent(old, new, ["run_id", "parent", "child"]))
+
+
+def batch_kind(batch_id: str) -> str | None:
+    """The kind in ids like 2024-01-31-historical-clean: volumes are compared within a kind."""
+    found = re.match(r"\d{4}-\d{2}-\d{2}-([a-z]+)-", batch_id)
+    return found[1] if found else None
+
+
+def run_batch(spark: SparkSession, store: Store, folder: str, batch_id: str, run_id: str, as_of: str, build: bool = True, clock: Callable[[], float] = time.time) -> Outcome:
     """Loads a folder of source files into the store. Every source is validated with the whole batch as its parents; files that are
-    known and done are skipped. Rows offered count as accepted, changed or not."""
-    ledger = _stored(store, "source_files", FILES)
-    files = file_identity(spark, folder, batch_id)
-    decisions = ledger_decision(files, ledger).persist()
+    known and done are skipped. Rows offered count as accepted, changed or not. `clock` only times the stages."""
+    stages, began = Stages(run_id, clock), clock()
+    start = began
+    sources = read_batch(spark, folder, most_bytes=None, most_rows=None)
+    decisions = begin(store, file_identity(spark, folder, batch_id), _stored(store, "source_files", FILES), batch_id, run_id, as_of)
     plan = {r["source_name"]: r for r in decisions.collect()}  # one row a source
-    valid = validate_batch(read_batch(spark, folder, most_bytes=None, most_rows=None), as_of)
-    changed: dict[str, DataFrame] = {}
+    start = stages("register", start)
+    valid = validate_batch(sources, as_of)
+    staged: dict = {}
     ledger_rows, quarantine, checks, accepted, quarantined, skipped = [], [], [], 0, 0, 0
     for source, v in valid.items():
         file = plan[source]
-        file_id = file["known_file_id"] or f"{run_id}-{source}"
         if file["decision"] == "duplicate":
             skipped += 1
             continue
@@ -81,42 +168,82 @@ def run_batch(spark: SparkSession, store: Store, folder: str, batch_id: str, run
         v = Validated(rows, v.drift)
         ok, bad = rows.agg(C.count_where(F.size("reasons") == 0), C.count_where(F.size("reasons") > 0)).first()
         accepted, quarantined = accepted + ok, quarantined + bad
-        incoming = _loadable(v, source, batch_id, file_id, as_of)
-        target = store.read(f"raw_{source}")
-        changed[f"raw_{source}"] = incoming if target is None else upsert_current(target, incoming, next(iter(STAGING[source])))
-        quarantine.append(v.quarantined.select(F.lit(file_id).alias("file_id"), "source_name", ROW, "raw_payload", "reasons"))
+        key = next(iter(STAGING[source]))
+        staged |= store.stage_merge(f"raw_{source}", _loadable(v, source, batch_id, file["file_id"], as_of), bucket(key), lambda old, new, key=key: upsert_current(old, new, key))
+        quarantine.append(v.quarantined.select(F.lit(file["file_id"]).alias("file_id"), "source_name", ROW, "raw_payload", "reasons"))
         checks.append(C.contract_checks(rows, source, run_id, as_of))
         status = spark.range(1).select(file_status(F.lit(ok), F.lit(bad), F.lit(v.drift.kind == "breaking"))).first()[0]
-        ledger_rows.append((file_id, run_id, batch_id, source, file["logical_key"], file["checksum"], file["object_key"], file["size_bytes"], ok + bad, ok, bad, status))
+        ledger_rows.append((file["file_id"], run_id, batch_id, source, file["logical_key"], file["checksum"], file["object_key"], file["size_bytes"], ok + bad, ok, bad, status))
+    start = stages("load", start)
     drifts = drift_frame(spark, [valid[s].drift for s in valid if plan[s]["decision"] != "duplicate"]).select(F.lit(run_id).alias("run_id"), "*")
     checks += [C.file_checks(decisions, run_id, as_of), C.drift_checks(drifts, run_id, as_of)]
     if ledger_rows:
         new = spark.createDataFrame(ledger_rows, FILES.split(", created_at")[0]).select("*", at(as_of).alias("created_at"), at(as_of).alias("processed_at"))
-        changed["source_files"] = upsert(ledger, new, ["file_id"])
-        changed["quarantine"] = upsert(_stored(store, "quarantine", QUARANTINE), C._union(quarantine), ["file_id", ROW])
-        changed["schema_changes"] = _stored(store, "schema_changes", DRIFTS).unionByName(drifts)
-    staged = store.stage(changed)
-    raw = {s: spark.read.parquet(f"{store.home}/{staged[f'raw_{s}']}") if f"raw_{s}" in staged else store.read(f"raw_{s}") for s in STAGING}
+        history = healthy_volumes(_stored(store, "source_files", FILES), _stored(store, "pipeline_runs", RUNS), at(as_of), batch_kind(batch_id))
+        checks.append(C.volume_checks(C.volume_anomaly(new.select("source_name", F.col("row_count").alias("observed_rows")), history), run_id, as_of))
+        staged |= store.stage_merge("source_files", new, bucket("file_id", FEW), lambda old, new: upsert(old, new, ["file_id"]))
+        staged |= store.stage_merge("quarantine", C._union(quarantine), bucket("file_id"), lambda old, new: upsert(old, new, ["file_id", ROW]))
+        staged |= store.stage_merge("schema_changes", drifts, bucket("run_id", FEW), lambda old, new: old.unionByName(new))
+    raw = {s: store.open(staged[f"raw_{s}"]) if f"raw_{s}" in staged else store.read(f"raw_{s}") for s in STAGING}
     if build and all(df is not None for df in raw.values()):
-        m = Models(raw, as_of)
-        models = {f"stg_{s}": m.stg(s) for s in STAGING} | {k: getattr(m, k) for k in dir(Models) if k.startswith(("int_", "dim_", "fct_")) or k in ("factory_performance", "machine_reliability", "maintenance_backlog", "inspection_outcomes", "data_freshness")}
-        checks += [C.run_checks(rules(), models, run_id, as_of), C.freshness_checks(m.data_freshness, run_id, as_of)]
+        models, staged = build_models(store, staged, raw, run_id, as_of)
+        start = stages("build", start)
+        checks += [C.run_checks(graph.rules(), models, run_id, as_of), C.freshness_checks(models["data_freshness"], run_id, as_of)]
         if "raw_machine_telemetry" in staged:
             checks.append(C.late_arrivals(raw["machine_telemetry"].filter(F.col("_batch_id") == batch_id), run_id, as_of))
-        marts = {k: getattr(m, k) for k in ("factory_performance", "machine_reliability", "maintenance_backlog", "downtime_by_reason", "inspection_outcomes", "data_freshness")}
-        staged |= store.stage(marts)
-        counts = row_counts({k: spark.read.parquet(f"{store.home}/{staged[k]}") for k in marts})
-        staged |= store.stage({"model_row_counts": counts.select(F.lit(run_id).alias("run_id"), "*")})
+        counts = row_counts({k: models[k] for k in [*STORED, "int_machine_telemetry", "machine_history"]})
+        staged |= store.stage_merge("model_row_counts", counts.select(F.lit(run_id).alias("run_id"), "*"), bucket("run_id", FEW), lambda old, new: upsert(old, new, ["run_id", "model_name"]))
+        staged |= stage_metadata(store, models, run_id, as_of)
     else:
         checks.append(C.build_skipped(spark, run_id, as_of))
     rows = C._union([c.select(*C.CHECK_COLUMNS) for c in checks])
-    staged |= store.stage({"quality_results": upsert(_stored(store, "quality_results", CHECKS), rows, ["run_id", "check_id"])})
-    own = spark.read.parquet(f"{store.home}/{staged['quality_results']}").filter(F.col("run_id") == run_id)
-    verdict = C.run_status(own, F.lit(quarantined > 0)).first()
-    run = [(run_id, batch_id, verdict["run_status"], accepted, quarantined, skipped, verdict["passed_checks"], verdict["failed_checks"], verdict["freshness_status"] or "unknown")]
-    new = spark.createDataFrame(run, RUNS.replace("started_at timestamp_ntz, ", "")).withColumn("started_at", at(as_of))
-    runs = _stored(store, "pipeline_runs", RUNS)
-    staged |= store.stage({"pipeline_runs": upsert(runs, new.select(runs.columns), ["run_id"])})
+    staged |= store.stage_merge("quality_results", rows, bucket("run_id", FEW), upsert_checks)
+    results = store.open(staged["quality_results"])
+    verdict = C.run_status(results.filter(F.col("run_id") == run_id), F.lit(quarantined > 0))
+    facts = verdict.join(C.run_facts(verdict), "run_id").first()
+    staged |= store.stage({"data_quality_trends": Models({}, as_of, results).data_quality_trends})
+    stages("check", start)
+    final = [(run_id, facts["run_status"], float(clock() - began), len(valid), accepted + quarantined, accepted, quarantined, skipped, facts["passed_checks"], facts["failed_checks"], facts["freshness_status"] or "unknown", facts["fact"])]
+    fields = "run_id string, status string, duration_seconds double, source_file_count long, source_row_count long, accepted_row_count long, quarantined_row_count long, skipped_file_count long, passed_checks long, failed_checks long, freshness_status string, summary string"
+    new = spark.createDataFrame(final, fields).withColumn("finished_at", at(as_of))
+    staged |= store.stage_merge("pipeline_runs", new, bucket("run_id", FEW), finalise_run)
+    took = stages.frame(spark).withColumn("duration_seconds", F.lit(None).cast("double"))
+    nothing = spark.createDataFrame([], STAGES)
+    staged |= store.stage_merge("pipeline_stages", upsert_stages(nothing, took), bucket("run_id", FEW), upsert_stages)
     version = store.publish(staged)
     spark.catalog.clearCache()
-    return Outcome(run_id, verdict["run_status"], accepted, quarantined, skipped, verdict["failed_checks"], verdict["freshness_status"] or "unknown", version)
+    return Outcome(run_id, facts["run_status"], accepted, quarantined, skipped, facts["failed_checks"], facts["freshness_status"] or "unknown", version)
+
+
+def rebuild_day(store: Store, start: str, as_of: str) -> str:
+    """Builds and tests all models again, with the telemetry of one day read anew, and publishes them; gives the status of its checks."""
+    raw = {s: store.read(f"raw_{s}") for s in STAGING}
+    if any(df is None for df in raw.values()):
+        raise LookupError("raw tables are missing")
+    run_id = f"backfill-{start}"
+    end = (date.fromisoformat(start) + timedelta(days=1)).isoformat()
+    models, staged = build_models(store, {}, raw, run_id, as_of, start=f"{start} 00:00:00", end=f"{end} 00:00:00")
+    rows = C.run_checks(graph.rules(), models, run_id, as_of).select(*C.CHECK_COLUMNS)
+    staged |= store.stage_merge("quality_results", rows, bucket("run_id", FEW), upsert_checks)
+    status = C.run_status(store.open(staged["quality_results"]).filter(F.col("run_id") == run_id)).first()["run_status"]
+    store.publish(staged)
+    return status
+
+
+def backfill(store: Store, start: str, end: str, as_of: str, force: bool = False) -> list[tuple[str, str]]:
+    """(day, status) of the days from start to end, both included, each rebuilt in turn; it stops at the first that isn't healthy.
+
+    At most 31 days; more than 7 only by force."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    days = (last - first).days + 1
+    if not 1 <= days <= 31:
+        raise ValueError("a backfill takes 1 to 31 days")
+    if days > 7 and not force:
+        raise ValueError("a backfill of more than 7 days needs force")
+    done: list[tuple[str, str]] = []
+    for k in range(days):
+        own = (first + timedelta(days=k)).isoformat()
+        done.append((own, rebuild_day(store, own, as_of)))
+        if done[-1][1] != "healthy":
+            break
+    return done

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +57,12 @@ class Models:
     def __init__(self, raw: dict[str, DataFrame], as_of: str, checks: DataFrame | None = None) -> None:
         self.raw, self.as_of, self.checks = raw, at(as_of), checks
         self._staged: dict[str, DataFrame] = {}
+        self.stored: set[str] = set()
+
+    def store(self, name: str, table: DataFrame) -> None:
+        """A model's stored table, which the models below read from now on."""
+        self.__dict__[name] = table
+        self.stored.add(name)
 
     def stg(self, source: str) -> DataFrame:
         if source not in self._staged:
@@ -70,24 +76,29 @@ class Models:
         f = self.stg("factories").select("factory_id", "factory_name", "country_code", "timezone", F.col("status").alias("factory_status"))
         return m.join(line, "production_line_id").join(f, "factory_id")
 
-    @cached_property
-    def int_downtime_durations(self) -> DataFrame:
-        d = self.stg("downtime_events").select("downtime_event_id", "machine_id", "started_at", "ended_at", "downtime_type", "reason_code", *KEPT)
-        joined = d.join(self.int_machine_context.select("machine_id", *CONTEXT), "machine_id")
-        return joined.select(
+    def _downtime(self, events: DataFrame) -> DataFrame:
+        return events.select(
             "*",
             minutes_between(F.col("started_at"), F.coalesce("ended_at", self.as_of)).alias("downtime_minutes"),
             ((F.col("downtime_type") == "unplanned") & (F.col("reason_code") == "breakdown")).alias("is_failure"),
             F.col("ended_at").isNull().alias("is_open"),
         )
 
+    @cached_property
+    def int_downtime_durations(self) -> DataFrame:
+        d = self.stg("downtime_events").select("downtime_event_id", "machine_id", "started_at", "ended_at", "downtime_type", "reason_code", *KEPT)
+        return self._downtime(d.join(self.int_machine_context.select("machine_id", *CONTEXT), "machine_id"))
+
     @cached_property
     def int_machine_failure_intervals(self) -> DataFrame:
+        return self._failures(self.int_downtime_durations, "factory_id", "production_line_id")
+
+    def _failures(self, downtime: DataFrame, *more: str) -> DataFrame:
         before = F.lag("ended_at").over(W.partitionBy("machine_id").orderBy("started_at", "downtime_event_id"))
         gap = F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0.0), hours_between(F.col("_before"), F.col("started_at"))))
         return (
-            self.int_downtime_durations.filter("is_failure")
-            .select("downtime_event_id", "machine_id", "factory_id", "production_line_id", "started_at", "ended_at", F.col("downtime_minutes").alias("repair_minutes"), before.alias("_before"))
+            downtime.filter("is_failure")
+            .select("downtime_event_id", "machine_id", *more, "started_at", "ended_at", F.col("downtime_minutes").alias("repair_minutes"), before.alias("_before"))
             .withColumn("hours_since_previous_failure", gap)
             .drop("_before")
         )
@@ -134,11 +145,12 @@ class Models:
     def telemetry_rows(self, telemetry: DataFrame) -> DataFrame:
         """Staged telemetry, all or a slice, with its machine's context and its lag."""
         return telemetry.join(self.int_machine_context.select("machine_id", *CONTEXT), "machine_id").select(
-            "*",
-            hours_between(F.col("event_timestamp"), F.col("_ingested_at")).alias("arrival_lag_hours"),
-            (F.col("event_timestamp") < F.col("_ingested_at") - hours(24)).alias("is_late_arrival"),
+            "*", hours_between(F.col("event_timestamp"), F.col("_ingested_at")).alias("arrival_lag_hours"), self._is_late().alias("is_late_arrival")
         )
 
+    def _is_late(self) -> Column:
+        return F.col("event_timestamp") < F.col("_ingested_at") - hours(24)
+
     @cached_property
     def int_machine_telemetry(self) -> DataFrame:
         return self.telemetry_rows(self.stg("machine_telemetry"))
@@ -228,19 +240,26 @@ class Models:
 
     @cached_property
     def machine_reliability(self) -> DataFrame:
+        # facts are aggregated by machine before they meet the dimension, which alone decides on machines: where the facts aren't
+        # stored tables, their context isn't joined for it
         closed = F.col("ended_at").isNotNull()
-        failures = self.int_machine_failure_intervals.groupBy("machine_id").agg(
+        events = self.fct_downtime if "fct_downtime" in self.stored else self._downtime(self.stg("downtime_events"))
+        failures = self._failures(events).groupBy("machine_id").agg(
             F.count("*").alias("breakdowns"),
             count_where(closed).alias("resolved"),
             (F.avg(F.when(closed, F.col("repair_minutes"))) / 60.0).alias("mean_time_to_repair_hours"),
             F.avg("hours_since_previous_failure").alias("mean_time_between_failures_hours"),
         )
-        downtime = self.fct_downtime.groupBy("machine_id").agg(
+        downtime = events.groupBy("machine_id").agg(
             (F.sum("downtime_minutes") / 60.0).alias("down"),
             (sum_where(F.col("downtime_minutes"), F.col("downtime_type") == "unplanned") / 60.0).alias("unplanned"),
             count_where(F.col("is_open")).alias("open_events"),
         )
-        telemetry = self.fct_machine_telemetry_daily.groupBy("machine_id").agg(
+        if "fct_machine_telemetry_daily" in self.stored:
+            daily = self.fct_machine_telemetry_daily
+        else:
+            daily = self.stg("machine_telemetry").select("machine_id", F.lit(1).alias("sample_count"), self._is_late().cast("int").alias("late_arrival_count"), F.col("event_timestamp").alias("latest_event_at"), F.col("_ingested_at").alias("latest_ingested_at"))
+        telemetry = daily.groupBy("machine_id").agg(
             F.sum("sample_count").alias("samples"), F.sum("late_arrival_count").alias("late"), F.max("latest_event_at").alias("latest_telemetry_at"), F.max("latest_ingested_at").alias("latest_telemetry_ingested_at")
         )
         zero = lambda c, name, none=0: F.coalesce(F.col(c), F.lit(none)).alias(name)

@@ -534,7 +534,7 @@ def lineage_direct(spark, sf_dir):
   UNION ALL SELECT 'reason', 'machine_telemetry:' || code, count(DISTINCT r)::VARCHAR FROM parented GROUP BY code
   UNION ALL SELECT 'delta', a.event_type, (b.n - a.n)::VARCHAR FROM (SELECT event_type, count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-02' GROUP BY 1) a JOIN (SELECT event_type, count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-03' GROUP BY 1) b USING (event_type))""")
 def incident_evidence(spark, sf_dir):
-    return _evidence(spark, sf_dir)
+    return _evidence(spark, sf_dir).drop("kind")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,11 +542,101 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.incident_evidence(_checks(spark, sf_dir), quarantine_summary(spark, sf_dir), drifts, run_compare(spark, sf_dir))
 
 
-@query(None)
+_CLUES = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in c)]) + ")" for i, c in enumerate(O.CLUES))
+
+
+@query(f"""SELECT * FROM (WITH {_DIRTY}, {_COUNTS}, e(section, kind, name, value) AS (
+    SELECT 'check', check_type, check_id, status FROM judged WHERE status <> 'passed'
+    UNION ALL SELECT 'reason', code, 'machine_telemetry:' || code, count(DISTINCT r)::VARCHAR FROM parented GROUP BY code
+    UNION ALL SELECT 'delta', 'rows', a.event_type, (b.n - a.n)::VARCHAR FROM (SELECT event_type, count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-02' GROUP BY 1) a JOIN (SELECT event_type, count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-03' GROUP BY 1) b USING (event_type)),
+  clues(o, part, clue, guess, step) AS (VALUES {_CLUES}),
+  met AS (SELECT * FROM e JOIN clues ON part = section AND (clue = '*' OR clue = kind)),
+  rows AS (SELECT 'fact' AS section, list_position(['check', 'reason', 'schema', 'delta', 'lineage'], section) AS o, name, upper(section[1]) || section[2:] || ' ' || name || ' recorded ' || value || '.' AS text FROM e
+    UNION ALL SELECT 'hypothesis', o, name, guess FROM met WHERE guess IS NOT NULL UNION ALL SELECT 'next_step', o, name, replace(step, '{{}}', name) FROM met),
+  firsts AS (SELECT section, text, min(row(o, name)) AS f FROM rows GROUP BY ALL)
+  SELECT section, ordinal, text FROM (SELECT section, text, row_number() OVER (PARTITION BY section ORDER BY f, text) AS ordinal FROM firsts) WHERE ordinal <= CASE section WHEN 'fact' THEN 30 ELSE 20 END)""")
 def incident_report(spark, sf_dir):
     return O.incident_report(_evidence(spark, sf_dir))
 
 
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's events as a run, their types as its stages."""
+    per = _events(spark, sf_dir).groupBy(F.concat(F.lit("run-"), F.to_date("ts").cast("string")).alias("run_id"), F.col("event_type").alias("stage_name"))
+    rows = per.agg(F.lit("succeeded").alias("status"), F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"))
+    return L.upsert_stages(rows.limit(0).withColumn("duration_seconds", F.lit(0.0)), rows)
+
+
+@query("""SELECT 'run-2024-01-03' AS run_id, event_type AS stage_name, 'succeeded' AS status, min(ts) AS started_at, max(ts) AS finished_at, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds
+  FROM events WHERE ts::DATE = DATE '2024-01-03' GROUP BY event_type ORDER BY started_at, stage_name""")
+def run_stages(spark, sf_dir):
+    return O.run_stages(_stages(spark, sf_dir), "run-2024-01-03")
+
+
+def _counted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_type")
+    per = _events(spark, sf_dir).groupBy(F.concat(F.lit("run-"), F.to_date("ts").cast("string")).alias("run_id")).agg(
+        F.countDistinct("event_type").alias("source_file_count"), F.count("*").alias("source_row_count"), C.count_where(e != "error").alias("accepted_row_count"), C.count_where(e == "error").alias("quarantined_row_count"),
+        C.count_where(e == "view").alias("passed_checks"), C.count_where(e == "click").alias("failed_checks"),
+    )
+    return per.withColumn("status", F.when(F.col("quarantined_row_count") * 5 > F.col("source_row_count"), "failed").otherwise("healthy"))
+
+
+_COUNTED = """(SELECT 'run-' || ts::DATE AS run_id, CASE WHEN count(*) FILTER (event_type = 'error') * 5 > count(*) THEN 'failed' ELSE 'healthy' END AS status, count(DISTINCT event_type) AS f, count(*) AS n, count(*) FILTER (event_type <> 'error') AS a,
+    count(*) FILTER (event_type = 'error') AS q, count(*) FILTER (event_type = 'view') AS p, count(*) FILTER (event_type = 'click') AS x FROM events GROUP BY 1, ts::DATE)"""
+
+
+@query(f"""SELECT a.run_id AS left_run_id, b.run_id AS right_run_id, a.status AS status_from, b.status AS status_to, b.f - a.f AS source_file_count_delta, b.n - a.n AS source_row_count_delta, b.a - a.a AS accepted_row_count_delta,
+  b.q - a.q AS quarantined_row_count_delta, b.p - a.p AS passed_checks_delta, b.x - a.x AS failed_checks_delta FROM {_COUNTED} a, {_COUNTED} b WHERE a.run_id = 'run-2024-01-02' AND b.run_id = 'run-2024-01-03'""")
+def run_count_deltas(spark, sf_dir):
+    return O.compare_run_counts(_counted_runs(spark, sf_dir), "run-2024-01-02", "run-2024-01-03")
+
+
+@query(f"SELECT run_id, status, n AS source_row_count FROM {_COUNTED} WHERE run_id = 'run-2024-01-05'")
+def run_by_id(spark, sf_dir):
+    return O.run_by_id(_counted_runs(spark, sf_dir), "run-2024-01-05").select("run_id", "status", "source_row_count")
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users as models that each event describes anew; a version's columns are its event's fields."""
+    e = _events(spark, sf_dir)
+    mark = [F.format_string("run-%012d", "event_id").alias("run_id"), F.col("ts").alias("discovered_at"), F.format_string("model_%06d", "user_id").alias("model_name")]
+    columns = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("content"), F.lit(i + 1).alias("ordinal_position")) for i, c in enumerate(("event_type", "event_id")))))
+    return e.select(*mark, F.col("event_type").alias("materialization")), e.select(*mark, columns.alias("c")).select("run_id", "model_name", "c.*")
+
+
+_NEWEST = "(SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
+
+
+@query(f"SELECT 'run-' || lpad(event_id::VARCHAR, 12, '0') AS run_id, ts AS discovered_at, 'model_' || lpad(user_id::VARCHAR, 6, '0') AS model_name, event_type AS materialization FROM {_NEWEST} ORDER BY model_name LIMIT 20 OFFSET 10")
+def model_catalogue_page(spark, sf_dir):
+    return O.latest_models(_catalogue(spark, sf_dir)[0], limit=20, offset=10)
+
+
+@query(f"""SELECT * FROM (WITH m AS (SELECT * FROM {_NEWEST} WHERE user_id = (SELECT min(user_id) FROM events WHERE user_id < 100)) SELECT 'run-' || lpad(event_id::VARCHAR, 12, '0') AS run_id, 'model_' || lpad(user_id::VARCHAR, 6, '0') AS model_name, 'event_type' AS column_name,
+    event_type AS content, 1 AS ordinal_position FROM m UNION ALL SELECT 'run-' || lpad(event_id::VARCHAR, 12, '0'), 'model_' || lpad(user_id::VARCHAR, 6, '0'), 'event_id', event_id::VARCHAR, 2 FROM m)""")
+def model_columns_latest(spark, sf_dir):
+    """The newest version's columns of the model of the smallest user."""
+    models, columns = _catalogue(spark, sf_dir)
+    least = _events(spark, sf_dir).filter("user_id < 100").agg(F.min("user_id")).first()[0]
+    return O.model_columns(models, columns, f"model_{least or 0:06d}")
+
+
+@query("""SELECT ts::DATE AS quality_date, event_type AS check_type, 'events' AS scope, count(*) AS check_count FROM events GROUP BY ALL ORDER BY quality_date DESC, check_type, scope LIMIT 12""")
+def quality_trend_page(spark, sf_dir):
+    """Newest days first."""
+    trends = _events(spark, sf_dir).groupBy(F.to_date("ts").alias("quality_date"), F.col("event_type").alias("check_type"), F.lit("events").alias("scope")).agg(F.count("*").alias("check_count"))
+    return O.quality_trend_by_run(trends, limit=12)
+
+
+@query(f"""SELECT * FROM (WITH RECURSIVE {_EDGES}, roots AS (SELECT DISTINCT production_line_id AS node FROM production_orders WHERE actual_quantity > 1.5 * planned_quantity),
+    walk(node, depth) AS (SELECT child, 1 FROM edges WHERE parent IN (FROM roots) UNION SELECT e.child, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 20)
+  SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node)""")
+def affected_downstream(spark, sf_dir):
+    """What hangs on the lines whose orders exceed their plan: those lines as scopes of failed checks."""
+    over = _raw(spark, sf_dir, "production_orders").filter("actual_quantity > 1.5 * planned_quantity").select(F.col("production_line_id").alias("scope")).distinct()
+    return O.affected_downstream(_edges(spark, sf_dir), over.withColumn("status", F.lit("failed")))
+
+
 @query(f"SELECT * FROM (WITH {_COUNTS} SELECT run_id, 'Run run-1 ended ' || s || ' with ' || f || ' failed and ' || w || ' warning checks.' AS fact, CASE WHEN f + w > 0 THEN 'Inspect failed checks, quarantine reasons and the parents of the models concerned.' ELSE 'Nothing to do; keep the run as a baseline.' END AS next_step FROM (SELECT 'run-1' AS run_id, CASE WHEN bool_or(status = 'failed' AND severity = 'error') THEN 'failed' WHEN bool_or(status = 'warning') THEN 'degraded' ELSE 'healthy' END AS s, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'warning') AS w FROM judged))")
 def run_facts(spark, sf_dir):
     return C.run_facts(C.run_status(_checks(spark, sf_dir)))
@@ -554,7 +644,7 @@ def run_facts(spark, sf_dir):
 
 @query("SELECT production_line_id, factory_id, line_name, product_family, nominal_capacity_per_hour::VARCHAR AS nominal_capacity_per_hour, status, row_number() OVER (ORDER BY production_line_id) + 1 AS _source_row_number FROM production_lines")
 def csv_round_trip(spark, sf_dir):
-    """Lines exported as one csv file in the shared folder and read back, with their row numbers."""
+    """Lines exported as sorted csv files in the shared folder and read back, with their row numbers."""
     import uuid
 
     from ..sources.csv_batch import read_source
@@ -563,7 +653,7 @@ def csv_round_trip(spark, sf_dir):
     home = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     path = f"{home}/csv-{uuid.uuid4().hex}"
     lines = _raw(spark, sf_dir, "production_lines").select("production_line_id", "factory_id", "line_name", "product_family", "nominal_capacity_per_hour", "status")
-    lines.orderBy("production_line_id").coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    lines.repartitionByRange("production_line_id").sortWithinPartitions("production_line_id").write.option("header", True).option("escape", '"').csv(path)
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return read_source(spark, path, most_rows=None)

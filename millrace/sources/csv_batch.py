@@ -34,15 +34,30 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+def _numbered(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """df with `_source_row_number`, how many rows it has, and how many of them have more fields than the header.
+
+    Rows are numbered in the JVM: within a block of a file by their increasing ids, blocks by the counts of those before them, files
+    by their names. The rows are persisted, so that counts and numbers stand on the same blocks and the file is parsed once."""
+    spot = df.select("*", F.monotonically_increasing_id().alias("_spot"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).persist()
+    blocks = spot.groupBy("_file", "_block").agg(F.count("*"), F.count("_more"), F.min("_spot")).collect()  # one a block of 128 MB
+    offsets, total = [], 0
+    for file, block, n, _, first in sorted(blocks):
+        offsets.append((file, block, total + 2 - first))
+        total += n
+    shift = df.sparkSession.createDataFrame(offsets, "_file string, _block long, _shift long")
+    rows = spot.join(shift, ["_file", "_block"]).select(*df.columns, (F.col("_spot") + F.col("_shift")).alias(ROW))
+    return rows, total, sum(r[3] for r in blocks)
+
+
 def read_source(spark: SparkSession, path: str, multiline: bool = False, most_rows: int | None = MOST_ROWS) -> DataFrame:
-    """A source file as text columns with `_source_row_number`, from 2 on, in the file's order. Empty cells are null; short rows end
+    """A source file as text columns with `_source_row_number`, from 2 on, in the file's order (of a
+    folder's files in the order of their names). Empty cells are null; short rows end
     in nulls; rows with too many fields are an error. `multiline` allows newlines in cells, at the price of an unsplit file."""
     header = header_of(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_more"]])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 2))
-    rows = spark.createDataFrame(numbered, T.StructType([*schema, T.StructField(ROW, T.LongType())]))
-    most, more = rows.agg(F.count("*"), F.count("_more")).first()
+    rows, most, more = _numbered(df)
     if more:
         raise BatchError(f"{path} has rows of more than {len(header)} fields")
     if most_rows is not None and most > most_rows:

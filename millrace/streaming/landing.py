@@ -14,7 +14,7 @@ from ..functions.expressions import at, record_checksum
 from ..operators.contracts import CONTRACTS
 from ..operators.tables import latest, upsert_current
 from ..operators.validation import ROW, typed, validate
-from ..operators.versions import Store
+from ..operators.versions import Store, bucket
 
 
 def land_stream(spark: SparkSession, source: str, folder: str, store: Store, checkpoint: str, as_of: str) -> StreamingQuery:
@@ -38,7 +38,6 @@ def land_stream(spark: SparkSession, source: str, folder: str, store: Store, che
             record_checksum(list(contract.columns)).alias("_record_checksum"),
         )
         incoming = latest(incoming, [contract.key], F.desc("updated_at"), F.asc(ROW))
-        target = store.read(f"raw_{source}")
-        store.commit({f"raw_{source}": incoming if target is None else upsert_current(target, incoming, contract.key)})
+        store.publish(store.stage_merge(f"raw_{source}", incoming, bucket(contract.key), lambda old, new: upsert_current(old, new, contract.key)))
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,9 +1,14 @@
 """Files to tables: healthy, replay, incident, recovery; and files that aren't a batch."""
 
 import pytest
-
-from millrace.operators.versions import Store
-from millrace.plans.lifecycle import run_batch
+from pyspark.sql import functions as F
+
+from millrace.operators import checks
+from millrace.operators.ledger import create_incident, resolve_incident
+from millrace.operators.tables import upsert_checks
+from millrace.operators.versions import Store, bucket
+from millrace.plans import graph, lifecycle
+from millrace.plans.lifecycle import backfill, run_batch
 from millrace.sources import csv_batch
 
 HEADERS = {
@@ -67,6 +72,97 @@ def test_lifecycle(spark, tmp_path):
     assert store.read("raw_production_orders").first()["actual_quantity"] == 95
     assert store.read("factory_performance").first()["actual_units"] == 95
     assert [r[0] for r in store.read("pipeline_runs").orderBy("run_id").select("status").collect()] == ["healthy", "healthy", "failed", "healthy"]
+    # every check of every run is there; the run's own row is final
+    ended = {r["run_id"]: r for r in store.read("pipeline_runs").collect()}
+    assert ended["run-3"]["source_row_count"] == 7 and ended["run-3"]["finished_at"] is not None and ended["run-3"]["failed_checks"] == 2
+    kinds = {r[0]: r[1] for r in store.read("quality_results").filter("run_id = 'run-4'").groupBy("check_type").count().collect()}
+    assert kinds["model_test"] == 174 and kinds["freshness"] == 10 and kinds["volume"] == 1
+    assert {r[0] for r in store.read("pipeline_stages").filter("run_id = 'run-4' and duration_seconds >= 0").select("stage_name").collect()} == {"register", "load", "build", "check"}
+    # the catalogue and its lineage are stored once a run
+    assert store.read("models").filter("run_id = 'run-4'").count() == 31 and store.read("lineage_edges").filter("run_id = 'run-4'").count() == graph.edges(spark).count()
+    assert "not_null" in store.read("model_columns").filter("run_id = 'run-4' and model_name = 'dim_machine' and column_name = 'machine_id'").first()["tests"]
+    for model in ("dim_factory", "fct_production_output", "fct_machine_telemetry_daily", "machine_history", "data_quality_trends", "int_machine_telemetry"):
+        assert store.read(model).count() > 0
+    assert store.read("fct_production_output").first()["actual_quantity"] == 95
+
+
+def test_two_batches_keep_history_and_increments(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    run_batch(spark, store, write(tmp_path / "one", ROWS), "2024-01-31-historical-clean", "run-1", NOW)
+    before = store.manifest()
+    later = "2024-02-01T10:00:00Z"
+    telemetry = [f"TEL-101,MCH-001,2024-02-01T08:00:00Z,21,1,3,9,running,{later}", f"TEL-001,MCH-001,2024-01-31T01:00:00Z,33,1.25,3,1,running,{later}", f"TEL-102,MCH-001,2023-12-01T08:00:00Z,21,1,3,9,running,{later}"]
+    rows = ROWS | {"machine_telemetry": telemetry, "machines": [ROWS["machines"][0].replace("active", "retired").replace(T, later)]}
+    out = run_batch(spark, store, write(tmp_path / "two", rows), "2024-02-01-incremental-clean", "run-2", "2024-02-01 12:00:00")
+    assert (out.accepted, out.skipped) == (4, 8)
+    after = store.manifest()
+    # a batch of three readings writes their parts only
+    changed = {k for k in after["raw_machine_telemetry"] if after["raw_machine_telemetry"][k] != before["raw_machine_telemetry"].get(k)}
+    hit = {r[0] for r in store.read("raw_machine_telemetry").filter("_batch_id like '2024-02-01%'").select(bucket("telemetry_id")).distinct().collect()}
+    assert changed == hit and after["raw_shifts"] == before["raw_shifts"] and after["raw_factories"] == before["raw_factories"]
+    assert store.read("raw_machine_telemetry").count() == 5
+    # the lookback takes the corrected reading and the new one, not the one of December
+    built = {r["telemetry_id"]: float(r["temperature_c"]) for r in store.read("int_machine_telemetry").collect()}
+    assert built == {"TEL-001": 33.0, "TEL-002": 20.5, "TEL-003": 20.5, "TEL-101": 21.0}
+    versions = sorted((r["status"], r["valid_to"] is None) for r in store.read("machine_history").collect())
+    assert versions == [("active", False), ("retired", True)]
+    # a backfill brings it in, day by day
+    assert [d for d, _ in backfill(store, "2023-12-01", "2023-12-01", "2024-02-01 12:00:00")] == ["2023-12-01"]
+    assert store.read("int_machine_telemetry").filter("telemetry_id = 'TEL-102'").count() == 1
+    stops = iter(["healthy", "degraded"])
+    monkeypatch.setattr(lifecycle, "rebuild_day", lambda *a: next(stops))
+    assert backfill(store, "2024-01-01", "2024-01-09", NOW, force=True) == [("2024-01-01", "healthy"), ("2024-01-02", "degraded")]
+    for days, force in ((("2024-01-01", "2024-01-09"), False), (("2024-01-01", "2024-02-15"), True), (("2024-01-02", "2024-01-01"), False)):
+        with pytest.raises(ValueError):
+            backfill(store, *days, NOW, force)
+
+
+def test_a_broken_run_is_told_and_its_files_come_again(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    folder = write(tmp_path / "good", ROWS)
+    with monkeypatch.context() as m:
+        m.setattr(lifecycle, "validate_batch", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            run_batch(spark, store, folder, "2024-01-31-historical-clean", "run-1", NOW, build=False)
+    assert [r["status"] for r in store.read("pipeline_runs").collect()] == ["running"] and {r["status"] for r in store.read("source_files").collect()} == {"landed"}
+    out = run_batch(spark, store, folder, "2024-01-31-historical-clean", "run-2", NOW, build=False)
+    assert out.accepted == 12 and {r["run_id"]: r["status"] for r in store.read("pipeline_runs").collect()} == {"run-1": "failed", "run-2": "degraded"}
+    files = store.read("source_files").collect()
+    assert len(files) == 10 and {r["status"] for r in files} == {"loaded"} and {r["file_id"].split("-")[1] for r in files} == {"1"}  # under their old ids
+
+
+def test_checks_keep_their_names_and_outcomes_are_mapped(spark):
+    columns = "check_id string, run_id string, check_name string, check_type string, scope string, status string, severity string, observed_value string, expected string, evidence string, occurred_at timestamp_ntz"
+    old = spark.createDataFrame([("c", "r", "name", "kind", "s", "failed", "error", "3", "0", None, None)], columns)
+    new = spark.createDataFrame([("c", "r", "other", "other", "o", "passed", "info", "0", "1", "e", None)], columns)
+    got = upsert_checks(old, new).first()
+    assert (got["check_name"], got["severity"], got["status"], got["observed_value"]) == ("name", "error", "passed", "0")
+    tests = spark.createDataFrame([("t1", "a", "pass", 0, ["m2", "m1"]), ("t2", "b", "warn", 2, ["m1"]), ("t3", "c", "skipped", None, []), ("t4", "d", "Fail", 1, None)], "test_id string, test_name string, outcome string, failures int, depends_on array<string>")
+    got = {r["check_id"]: (r["status"], r["severity"], r["scope"]) for r in checks.outcome_checks(tests, "r", NOW).collect()}
+    assert got == {"t1": ("passed", "info", "m1"), "t2": ("warning", "warning", "m1"), "t3": ("failed", "error", "project"), "t4": ("failed", "error", "project")}
+
+
+def test_rows_are_numbered_over_many_blocks(spark, tmp_path):
+    folder = tmp_path / "split"
+    folder.mkdir()
+    for name, k in (("a.csv", 0), ("b.csv", 500)):
+        (folder / name).write_text("n,t\n" + "".join(f"{i},{'x' * (i % 37)}\n" for i in range(k, k + 500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = csv_batch.read_source(spark, f"file://{folder}").select("_source_row_number", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r[0], int(r[1])) for r in got) == [(i + 2, i) for i in range(1000)]
+
+
+def test_incidents(spark):
+    schema = "incident_id string, title string, status string, failed_run_id string, recovery_run_id string, explanation string, created_at timestamp_ntz, resolved_at timestamp_ntz"
+    one = spark.createDataFrame([("i1", "late", "r1")], "incident_id string, title string, failed_run_id string")
+    open_ = create_incident(spark.createDataFrame([], schema), one, F.lit(NOW).cast("timestamp_ntz"))
+    assert open_.first()["status"] == "open" and resolve_incident(open_, "i1", "r2", F.lit(NOW).cast("timestamp_ntz")).first()["recovery_run_id"] == "r2"
+    with pytest.raises(ValueError):
+        create_incident(open_, one, F.lit(NOW).cast("timestamp_ntz"))
 
 
 def test_a_failed_run_leaves_nothing_and_can_be_repeated(spark, tmp_path, monkeypatch):

@@ -144,9 +144,36 @@ def test_latest_edges(spark):
 
 
 def test_report_has_facts_hypotheses_and_steps(spark):
-    e = spark.createDataFrame([("reason", "s:duplicate_identifier", "2"), ("reason", "s:out_of_range", "1"), ("schema", "s", "breaking"), ("delta", "m", "-3")], "section string, name string, value string")
+    schema = "section string, kind string, name string, value string"
+    e = spark.createDataFrame([("reason", "duplicate_identifier", "s:duplicate_identifier", "2"), ("reason", "out_of_range", "s:out_of_range", "1"), ("schema", "breaking", "s", "breaking"), ("delta", "rows", "m", "-3"), ("lineage", "model", "m2", "downstream")], schema)
     got = rows(O.incident_report(e), "section", "ordinal", "text")
-    assert [x[:2] for x in got] == [("fact", 1), ("fact", 2), ("fact", 3), ("fact", 4), ("hypothesis", 1), ("hypothesis", 2), ("hypothesis", 3), ("next_step", 1), ("next_step", 2), ("next_step", 3)]
+    assert [x[:2] for x in got] == [*(("fact", i) for i in range(1, 6)), *(("hypothesis", i) for i in range(1, 4)), *(("next_step", i) for i in range(1, 6))]
+    assert not any(O.NO_FACT == x[2] or O.NO_STEP == x[2] for x in got)
+    assert rows(O.incident_report(e.limit(0)), "section", "text") == [("fact", O.NO_FACT), ("next_step", O.NO_STEP)]
+
+
+def test_evidence_takes_lineage(spark):
+    checks = spark.createDataFrame([("c", "kind", "failed", "error", None, "m")], "check_id string, check_type string, status string, severity string, occurred_at timestamp_ntz, scope string")
+    none = spark.createDataFrame([], "source_name string, code string, row_count long, change_type string, model_name string, delta long, unavailable boolean")
+    edges = graph.edges_with_exposures(spark)
+    below = O.affected_downstream(edges, checks.withColumn("scope", F.lit("fct_downtime")))
+    assert {"operations_dashboard", "factory_performance", "downtime_by_reason"} <= {r["node"] for r in below.collect()}
+    got = O.incident_evidence(checks, none, none, none, below)
+    assert {r["section"] for r in got.collect()} == {"check", "lineage"} and got.columns == ["section", "kind", "name", "value"]
+
+
+def test_catalogue_reads(spark):
+    models = spark.createDataFrame([("r1", "a", "view", 1), ("r2", "a", "table", 2), ("r1", "b", "view", 1)], "run_id string, model_name string, materialization string, discovered_at int")
+    columns = spark.createDataFrame([("r1", "a", "x", 1), ("r2", "a", "z", 2), ("r2", "a", "y", 1)], "run_id string, model_name string, column_name string, ordinal_position int")
+    assert rows(O.latest_models(models), "model_name", "materialization") == [("a", "table"), ("b", "view")]
+    assert rows(O.model_by_name(models, "a"), "run_id") == [("r2",)]
+    assert [r["column_name"] for r in O.model_columns(models, columns, "a").collect()] == ["y", "z"]
+    runs = spark.createDataFrame([("r1", "failed", 3, None), ("r2", "healthy", 5, 2)], "run_id string, status string, accepted_row_count int, failed_checks int")
+    assert tuple(O.compare_run_counts(runs, "r1", "r2").first()) == ("r1", "r2", "failed", "healthy", 2, 2)
+    assert O.compare_run_counts(runs, "r1", "none").count() == 0
+    assert O.single_check(spark.createDataFrame([("c", "r1", 1), ("c", "r2", 2), ("d", "r2", 3)], "check_id string, run_id string, occurred_at int"), "c").first()["run_id"] == "r2"
+    incidents = spark.createDataFrame([("i1", "t", "open", "r1", None, "why")], "incident_id string, title string, status string, failed_run_id string, recovery_run_id string, explanation string")
+    assert O.handoff(incidents, "i1").first()["explanation"] == "why" and O.total(incidents).first()[0] == 1
 
 
 def test_expressions(spark):
