@@ -554,7 +554,7 @@ _CLUES = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else "'" + x.r
   rows AS (SELECT 'fact' AS section, list_position(['check', 'reason', 'schema', 'delta', 'lineage'], section) AS o, name, upper(section[1]) || section[2:] || ' ' || name || ' recorded ' || value || '.' AS text FROM e
     UNION ALL SELECT 'hypothesis', o, name, guess FROM met WHERE guess IS NOT NULL UNION ALL SELECT 'next_step', o, name, replace(step, '{{}}', name) FROM met),
   firsts AS (SELECT section, text, min(row(o, name)) AS f FROM rows GROUP BY ALL)
-  SELECT section, ordinal, text FROM (SELECT section, text, row_number() OVER (PARTITION BY section ORDER BY f, text) AS ordinal FROM firsts) WHERE ordinal <= CASE section WHEN 'fact' THEN 30 ELSE 20 END)""")
+  SELECT section, ordinal, text FROM (SELECT section, text, row_number() OVER (PARTITION BY section ORDER BY f, text)::INTEGER AS ordinal FROM firsts) WHERE ordinal <= CASE section WHEN 'fact' THEN 30 ELSE 20 END)""")
 def incident_report(spark, sf_dir):
     return O.incident_report(_evidence(spark, sf_dir))
 
