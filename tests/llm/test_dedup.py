@@ -166,7 +166,7 @@ def classes(nodes, linked):
 
 
 def test_near_duplicates(spark, documents, real):
-    rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()] + [(-1, None), (-2, " \n"), (-3, "A b"), (-4, "a B"), (-4, "a B"), (-5, "Éa"), (-6, "éa")]
+    rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()] + [(-1, None), (-2, " \n"), (-3, "A b"), (-4, "a B"), (-4, "a B"), (-5, "Éa"), (-6, "éa"), (-7, "a very long text " * 40_000)]
     got = simhash.near_duplicates(documents(*rows)).collect()
     fp = {k: fingerprint(t) for k, t in rows}
     assert len(got) == len(rows) and all(r.fingerprint == format(fp[r.doc_id], "016x") for r in got)

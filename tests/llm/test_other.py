@@ -73,6 +73,10 @@ def test_token_counts(spark, real):
     for q in (0.1, 0.5, 0.99, 1.0):
         assert token_counts.quantile(answers, q).first()[0] == next(x for i, x in enumerate(lengths) if (i + 1) / len(lengths) >= q - 1e-12)
     assert token_counts.truncated_total(sums, 333).first()[0] == sum(min(x, 333) for x in lengths)
+    clashing = docs.select("text", *(F.lit(1).alias(c) for c in ("n_tokens", "n_docs", "tokens", "bucket")))
+    assert sorted(map(tuple, token_counts.length_histogram(clashing, ranks).collect())) == sorted(map(tuple, token_counts.length_histogram(docs, ranks).collect()))
+    twice = {r.n_tokens: r.n_docs for r in token_counts.length_histogram(docs.unionByName(docs), ranks).collect()}
+    assert sum(twice.values()) == 2 * len(lengths) and all(twice[x] == 2 * lengths.count(x) for x in twice)
     none = token_counts.length_histogram(docs.limit(0), ranks)
     assert none.count() == 0 and token_counts.truncated_total(token_counts.suffix_sums(none), 5).first()[0] == 0
 
