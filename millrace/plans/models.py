@@ -6,6 +6,7 @@ they meet a dimension, so that no join multiplies them; small dimensions are lef
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,7 @@ def stage(source: str, raw: DataFrame) -> DataFrame:
 
 
 class Models:
-    def __init__(self, raw: dict[str, DataFrame], as_of: str, checks: DataFrame | None = None) -> None:
+    def __init__(self, raw: Mapping[str, DataFrame], as_of: str, checks: DataFrame | None = None) -> None:
         self.raw, self.as_of, self.checks = raw, at(as_of), checks
         self._staged: dict[str, DataFrame] = {}
         self.stored: set[str] = set()

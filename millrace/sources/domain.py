@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,10 +210,32 @@ def maintenance_work_orders(t: Callable[[str], DataFrame]) -> DataFrame:
 SOURCES = (factories, production_lines, machines, shifts, production_orders, machine_telemetry, downtime_events, maintenance_work_orders, quality_inspections, product_defects)
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Every source by name; each is lazy and reads only the columns it needs."""
+class Sources(Mapping[str, DataFrame]):
+    """Every source by name, made when it is first asked for; a query pays for those it reads. A table's schema is read once."""
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._home = spark, sf_dir
+        self._made = {f.__name__: f for f in SOURCES}
+        self._tables: dict[str, DataFrame] = {}
+        self._found: dict[str, DataFrame] = {}
 
-    return {f.__name__: f(table) for f in SOURCES}
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._spark.read.parquet(f"{self._home}/{name}.parquet")
+        return self._tables[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._found:
+            self._found[name] = self._made[name](self._table)
+        return self._found[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._made)
+
+    def __len__(self) -> int:
+        return len(self._made)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> Sources:
+    """The sources over the tables of a folder; each is lazy and reads only the columns it needs."""
+    return Sources(spark, sf_dir)
