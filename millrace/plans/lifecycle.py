@@ -94,12 +94,12 @@ def begin(store: Store, files: DataFrame, ledger: DataFrame, batch_id: str, run_
 
     Runs that still say running broke off: they and the files they landed have failed."""
     spark = store.spark
-    ledger = mark_interrupted(ledger)
-    known = ledger_decision(files, ledger)
+    stuck = ledger.filter("status = 'landed' and processed_at is null")
+    known = ledger_decision(files, mark_interrupted(ledger))
     decisions = known.withColumn("file_id", F.coalesce("known_file_id", F.concat_ws("-", F.lit(run_id), "source_name"))).persist()
     landed = decisions.filter("decision <> 'duplicate'").select("file_id", F.lit(run_id).alias("run_id"), F.lit(batch_id).alias("batch_id"), "source_name", "logical_key", "checksum", "object_key", "size_bytes", F.lit("landed").alias("status"), at(as_of).alias("created_at"))
     rows = landed.select(*((F.col(c) if c in landed.columns else F.lit(None)).cast(t).alias(c) for c, t in ledger.dtypes))
-    broken = mark_interrupted(_stored(store, "source_files", FILES)).filter("status = 'failed'").join(rows.select("file_id"), "file_id", "left_anti")
+    broken = mark_interrupted(stuck).join(rows.select("file_id"), "file_id", "left_anti")
     staged = store.stage_merge("source_files", rows.unionByName(broken), bucket("file_id", FEW), lambda old, new: upsert(old, new, ["file_id"]))
     runs = _stored(store, "pipeline_runs", RUNS)
     own = spark.range(1).select(*((F.lit(run_id) if c == "run_id" else F.lit(batch_id) if c == "batch_id" else F.lit("running") if c == "status" else at(as_of) if c == "started_at" else F.lit(None)).cast(t).alias(c) for c, t in runs.dtypes))
