@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, merkle, quality_classifier, quality_rules, token_counts
+from . import html_extract, language_id, merkle, prefix_trie, quality_classifier, quality_rules, token_counts
 from .decontaminate import contained_items
 from .mixing import mix
 from .simhash import near_duplicates
-from .sql import OP13
+from .sql import OP12, OP13
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
 
@@ -73,6 +73,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return merkle.manifest(_table(spark, sf_dir, "documents"), tampered)
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_benchmark_decontamination,
             op9_quality_classifier,
             op10_simhash_near_dedup,
+            op12_prefix_trie,
             op13_merkle_manifest,
             pipeline,
         )
@@ -142,4 +147,4 @@ FROM ds JOIN bs USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HA
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5, "op8_benchmark_decontamination": OP8, "op13_merkle_manifest": OP13}
+    return {"op5_substring_dedup": OP5, "op8_benchmark_decontamination": OP8, "op12_prefix_trie": OP12, "op13_merkle_manifest": OP13}

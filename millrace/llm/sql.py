@@ -47,3 +47,35 @@ WITH RECURSIVE leaves AS (
 )
 SELECT doc_id, place::BIGINT AS place, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
+
+#: op12: prefixes as digests of lists of turns; totals by every node's own prefixes.
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list({{'v': md5(len(role) || ':' || role || text), 'n': strlen(text)}} ORDER BY turn NULLS FIRST, role, md5(len(role) || ':' || role || text)) AS w,
+    {CRC.format("(conv_id::VARCHAR)")} % 9 AS h
+  FROM t GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.w[1:c.h], []), c.w[c.h + 1:]) AS w
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5
+), paths AS (
+  SELECT conv_id, d, len(w) = d AS ends, sha256(coalesce(array_to_string(list_transform(w[1:d], lambda x: x.v), ''), '')) AS p, CASE WHEN d > 0 THEN w[d].n ELSE 0 END AS n
+  FROM rebuilt, unnest(range(0, len(w) + 1)) AS r(d)
+), nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, p
+), named AS (
+  SELECT x.*, up.conv_id AS parent_conv_id FROM nodes x
+  LEFT JOIN paths q ON q.conv_id = x.conv_id AND q.d = x.d - 1 LEFT JOIN nodes up ON up.d = q.d AND up.p = q.p
+), kids AS (
+  SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM named WHERE d > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT named.*, coalesce(n_children, 0) AS n_children FROM named LEFT JOIN kids USING (conv_id, d)
+), totals AS (
+  SELECT q.d, q.p, sum((u.n_children = 0)::BIGINT) AS n_leaves, sum((u.n_convs - 1) * u.n) AS saved_tokens
+  FROM full_nodes u JOIN paths q ON q.conv_id = u.conv_id AND q.d <= u.d GROUP BY q.d, q.p
+)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM full_nodes JOIN totals USING (d, p)
+"""
