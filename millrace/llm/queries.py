@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, merkle, prefix_trie, quality_classifier, quality_rules, token_counts
+from . import html_extract, language_id, merkle, packing, prefix_trie, quality_classifier, quality_rules, token_counts
 from .decontaminate import contained_items
 from .mixing import mix
 from .simhash import near_duplicates
@@ -17,6 +17,8 @@ from .suffix_dedup import remove_repeated_bytes
 
 #: A public byte-level vocabulary, where the session's setting `spark.millrace.vocabulary` names no other.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The same for packing, where the setting is `spark.millrace.packing.vocabulary`.
+PACKED = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    ranks = packing.load_vocabulary(spark, vocabulary or spark.conf.get("spark.millrace.packing.vocabulary", PACKED))
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), ranks)
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -102,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_benchmark_decontamination,
             op9_quality_classifier,
             op10_simhash_near_dedup,
+            op11_packing,
             op12_prefix_trie,
             op13_merkle_manifest,
             pipeline,
