@@ -41,6 +41,35 @@ def test_main_text(source, text):
     assert html_extract.main_text(source) == text
 
 
+ARTICLE = "<h1>T</h1>" + "".join(f"<p>{'word ' * 70}{i}.</p>" for i in range(3))
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+@pytest.mark.parametrize("outer", ['<div class="layout-sidebar-right">', '<div class="page menu-open">', '<div id="app" class="cookie-accepted">', '<section class="topic-social-policy">', '<form id="aspnetForm">', '<div class="sidebar">', '<div class="comments">'])
+def test_no_name_around_the_content_loses_it(inner, outer):
+    page = "<html><body><nav><a href=x>menu</a></nav>{}<div class='site-footer'>foot</div><form><input>Search</form></body></html>"
+    bare = html_extract.main_text(page.format(inner.format(ARTICLE)))
+    assert bare.startswith("T\nword word") and bare.endswith("2.") and len(bare) == 1060
+    assert html_extract.main_text(page.format(f"{outer}{inner.format(ARTICLE)}</{outer[1:].split()[0]}>")) == bare
+
+
+def test_names_within_the_content():
+    page = "<body><article><p>Long enough text of it.<p class='share-price'>Price<p id=notice-of-motion>Motion<div class=share-buttons>Share it</div><p class=notice>Cookies</article></body>"
+    assert html_extract.main_text(page) == "Long enough text of it.\nPrice\nMotion"
+    page = "<body><div class=comments><article class=comment><p>{}</p></article></div><article>{}</article></body>"
+    assert html_extract.main_text(page.format("c " * 2000, ARTICLE)).startswith("T\nword")
+
+
+@pytest.mark.parametrize("bad", ["a<b ", '<b ">" ', "<div>", "<!-- ", "</title ", "<script ", "<b '", '<a x=">'])
+def test_time_follows_the_page(bad):
+    import time
+
+    start = time.process_time()
+    html_extract.main_text("<title>" + bad * (200_000 // len(bad)))
+    html_extract.main_text("<p>" + bad * (200_000 // len(bad)) + ">")
+    assert time.process_time() - start < 15
+
+
 def test_real_pages(spark, small):
     import html
 
