@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,12 +58,17 @@ def lookback_start(target: DataFrame, clock: str, lookback_hours: int = 48):
     return target.agg((F.max(clock) - hours(lookback_hours)).alias("t")).first()[0]
 
 
-def incremental_slice(source: DataFrame, clock: str, target: DataFrame | None = None, lookback_hours: int = 48, start: str | None = None, end: str | None = None) -> DataFrame:
-    """What a run reads: [start, end) if a start is given (else the end is ignored), the lookback of a stored table, or everything."""
+def incremental_slice(source: DataFrame, clock: str, target: DataFrame | None = None, lookback_hours: int = 48, start: str | None = None, end: str | None = None, latest: str | None = None) -> DataFrame:
+    """What a run reads: [start, end) if a start is given (else the end is ignored), the lookback of a stored table, or everything.
+
+    `latest`, where it is known (from a store's zones), saves the look for the latest stored event."""
     if start is not None:
         part = source.filter(F.col(clock) >= at(start))
         return part if end is None else part.filter(F.col(clock) < at(end))
-    since = lookback_start(target, clock, lookback_hours) if target is not None else None
+    if latest is not None:
+        since = datetime.fromisoformat(latest) - timedelta(hours=lookback_hours)
+    else:
+        since = lookback_start(target, clock, lookback_hours) if target is not None else None
     return source if since is None else source.filter(F.col(clock) >= F.lit(since))
 
 
@@ -76,28 +82,38 @@ def scd2(history: DataFrame | None, source: DataFrame, key: str, clock: str, as_
 
     A key whose clock is later than its current version's start gets a new version, and the old one ends there; a vanished key's
     version ends at `as_of`; all else stays."""
-    now = at(as_of)
-    columns = source.columns
-    fresh = source.select(*columns, F.col(clock).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
     if history is None:
-        return fresh
+        return scd2_changes(None, source, key, clock, as_of)
     current, closed = history.filter("valid_to is null"), history.filter("valid_to is not null")
-    old = current.select(key, F.struct(*history.columns).alias("old"))
+    opened = _versions(current, source, key, clock, as_of, F.lit(True))
+    return closed.select(opened.columns).unionByName(opened)
+
+
+def scd2_changes(history: DataFrame | None, source: DataFrame, key: str, clock: str, as_of: str) -> DataFrame:
+    """Only the versions that `scd2` adds or ends, by (key, valid_from): what is put on top of a stored history."""
+    if history is None:
+        return source.select("*", F.col(clock).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    return _versions(history.filter("valid_to is null"), source, key, clock, as_of, F.lit(False))
+
+
+def _versions(current: DataFrame, source: DataFrame, key: str, clock: str, as_of: str, unchanged: Column) -> DataFrame:
+    """The current versions as they end or, where `unchanged` holds, go on, and the new ones."""
+    columns = source.columns
+    old = current.select(key, F.struct(*current.columns).alias("old"))
     new = source.select(key, F.struct(*columns).alias("new"))
     both = old.join(new, key, "full_outer")
     newer = F.col("old").isNotNull() & (F.col(f"new.{clock}") > F.col("old.valid_from"))
-    end = F.when(F.col("new").isNull(), now).when(newer, F.col(f"new.{clock}"))
+    end = F.when(F.col("new").isNull(), at(as_of)).when(newer, F.col(f"new.{clock}"))
     versions = F.array_compact(
         F.array(
-            F.when(F.col("old").isNotNull(), F.struct(*(F.col(f"old.{c}").alias(c) for c in columns), F.col("old.valid_from").alias("valid_from"), end.cast("timestamp_ntz").alias("valid_to"))),
+            F.when(F.col("old").isNotNull() & (unchanged | end.isNotNull()), F.struct(*(F.col(f"old.{c}").alias(c) for c in columns), F.col("old.valid_from").alias("valid_from"), end.cast("timestamp_ntz").alias("valid_to"))),
             F.when(
                 F.coalesce(F.col("old").isNull() | newer, F.lit(False)),
                 F.struct(*(F.col(f"new.{c}").alias(c) for c in columns), F.col(f"new.{clock}").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to")),
             ),
         )
     )
-    opened = both.select(F.explode(versions).alias("v")).select("v.*")
-    return closed.select(opened.columns).unionByName(opened)
+    return both.select(F.explode(versions).alias("v")).select("v.*")
 
 
 def table_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

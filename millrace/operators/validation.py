@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import at, bounded_text
@@ -65,7 +64,7 @@ def _presence(contract: Contract, header: list[str]) -> Column:
         else:
             out.append(_reason("required_value_missing", c, "not_null", f"{c} is required", F.col(c).isNull()))
     if contract.key in header:
-        out.append(_reason("duplicate_identifier", contract.key, "unique", f"{contract.key} repeats an earlier row of the file", F.col("_nth") > 1, F.col(contract.key)))
+        out.append(_reason("duplicate_identifier", contract.key, "unique", f"{contract.key} repeats an earlier row of the file", F.col(ROW) > F.col("_first"), F.col(contract.key)))
     return _kept(*out)
 
 
@@ -111,18 +110,18 @@ def _row_rules(contract: Contract) -> Column:
 def validate(df: DataFrame, contract: Contract, as_of: str, header: list[str] | None = None) -> DataFrame:
     """The contract's columns (absent ones null, others dropped) and row number, with `reasons`, empty for accepted rows.
 
-    A key counts as used from its first row on, even if that row is rejected; null keys use none, and are dealt out by row so that
-    they don't meet in one task."""
+    A key counts as used from its first row on, even if that row is rejected; null keys use none. Rows meet only the first rows of
+    keys that repeat, so that a key of any number of rows is no task of its own."""
     header = [c for c in df.columns if c != ROW] if header is None else header
     present = [c for c in contract.columns if c in header]
     out = df.select(ROW, *(F.col(c).cast("string").alias(c) if c in present else F.lit(None).cast("string").alias(c) for c in contract.columns))
-    key = F.col(contract.key)
-    nth = F.row_number().over(W.partitionBy(key, F.when(key.isNull(), F.col(ROW))).orderBy(ROW))
-    out = out.withColumn("_nth", F.when(key.isNotNull(), nth)).withColumn("reasons", _presence(contract, header))
+    # the first row of keys that repeat; partial minima are made before the shuffle, so that no key is gathered
+    firsts = out.filter(F.col(contract.key).isNotNull()).groupBy(F.col(contract.key).alias("_key")).agg(F.min(ROW).alias("_first"), F.max(ROW).alias("_last"))
+    out = out.join(firsts.filter("_last > _first").drop("_last"), F.col(contract.key) == F.col("_key"), "left").drop("_key").withColumn("reasons", _presence(contract, header))
     clean = F.size("reasons") == 0
     out = out.withColumn("reasons", F.when(clean, _column_rules(contract, header, at(as_of))).otherwise(F.col("reasons")))
     out = out.withColumn("reasons", F.when(clean, _row_rules(contract)).otherwise(F.col("reasons")))
-    return out.drop("_nth")
+    return out.drop("_first")
 
 
 def with_parents(df: DataFrame, contract: Contract, accepted: dict[str, DataFrame]) -> DataFrame:
@@ -169,8 +168,12 @@ class Validated:
 
     @property
     def quarantined(self) -> DataFrame:
+        return self.quarantined_with()
+
+    def quarantined_with(self, *more: str) -> DataFrame:
+        """Rejected rows with their payload and reasons, and more of their columns."""
         payload = F.create_map(*(x for c in self.drift.expected for x in (F.lit(c), F.col(c))))
-        return self.rows.filter(F.size("reasons") > 0).select(F.lit(self.drift.source).alias("source_name"), ROW, payload.alias("raw_payload"), "reasons")
+        return self.rows.filter(F.size("reasons") > 0).select(F.lit(self.drift.source).alias("source_name"), ROW, payload.alias("raw_payload"), "reasons", *more)
 
 
 def validate_batch(batch: dict[str, DataFrame], as_of: str) -> dict[str, Validated]:
@@ -184,9 +187,9 @@ def validate_batch(batch: dict[str, DataFrame], as_of: str) -> dict[str, Validat
     return out
 
 
-def typed(df: DataFrame, contract: Contract) -> DataFrame:
-    """Accepted rows with their columns parsed."""
-    return df.select(ROW, *(parsed(c, r).alias(c) for c, r in contract.columns.items()))
+def typed(df: DataFrame, contract: Contract, *more: str) -> DataFrame:
+    """Accepted rows with their columns parsed, and more columns as they are."""
+    return df.select(ROW, *more, *(parsed(c, r).alias(c) for c, r in contract.columns.items()))
 
 
 def reason_rows(df: DataFrame) -> DataFrame:

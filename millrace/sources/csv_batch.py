@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,46 +26,97 @@ def _list(spark: SparkSession, folder: str) -> dict[str, int]:
     return {s.getPath().getName(): s.getLen() for s in fs.listStatus(path) if s.isFile()}
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The header: given, without empty or repeated names."""
-    first = spark.read.option("header", False).option("escape", '"').csv(path).limit(1).collect()
-    if not first:
+def _checked(path: str, cells: list[str | None] | None) -> list[str]:
+    if not cells:
         raise BatchError(f"{path} has no header")
-    names = [c if c is None else c.strip("﻿") for c in first[0]]
+    names = [c if c is None else c.strip("\ufeff") for c in cells]
     if any(not c for c in names) or len(set(names)) < len(names):
         raise BatchError(f"{path} has empty or repeated column names")
     return names
 
 
-def _numbered(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """df with `_source_row_number`, how many rows it has, and how many of them have more fields than the header.
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """A file's header: given, without empty or repeated names. Only the file's first line is read, by the driver."""
+    if path.endswith((".gz", ".bz2", ".zst", ".xz")):
+        first = spark.read.option("header", False).option("escape", '"').csv(path).limit(1).collect()
+        return _checked(path, list(first[0]) if first else None)
+    jvm, where = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return _checked(path, next(csv.reader([line]), None) if line else None)
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The path itself if it is a file, else the files of the folder in the order of their names; hidden ones don't count."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(where).isDirectory():
+        return [path]
+    found = sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isFile())
+    return [f for f in found if not f.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def by_header(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(header, files) for each header that the files have, so that every file is read by its own."""
+    groups: dict[tuple, list[str]] = {}
+    for p in paths:
+        groups.setdefault(tuple(header_of(spark, p)), []).append(p)
+    return [(list(h), files) for h, files in groups.items()]
+
+
+def _numbered(frames: list[DataFrame], each: bool = False) -> tuple[list[DataFrame], int, int]:
+    """The frames with `_source_row_number`, how many rows they have, and how many of them have more fields than their header.
+
+    Rows are numbered in the JVM, by files in the order of their names, or in each file from 2 on: within a block of a file by their
+    increasing ids, blocks by the counts of those before them, a small row a block. The rows are persisted, so that counts and numbers
+    stand on the same blocks and a file is parsed once."""
+    spots = [df.select("*", F.monotonically_increasing_id().alias("_spot"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).persist() for df in frames]
+    blocks = None
+    for i, spot in enumerate(spots):
+        own = spot.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.count("_more").alias("_over"), F.min("_spot").alias("_first")).withColumn("_of", F.lit(i))
+        blocks = own if blocks is None else blocks.unionByName(own)
+    total = blocks.agg(F.sum("_n"), F.sum("_over")).first()
+    before = (W.partitionBy("_file").orderBy("_block") if each else W.orderBy("_file", "_block")).rowsBetween(W.unboundedPreceding, -1)
+    shifts = blocks.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 2 - F.col("_first"))
+    out = []
+    for i, (df, spot) in enumerate(zip(frames, spots, strict=True)):
+        own = shifts.filter(F.col("_of") == i).select("_file", "_block", "_shift")
+        out.append(spot.join(own, ["_file", "_block"]).select(*df.columns, "_file", (F.col("_spot") + F.col("_shift")).alias(ROW)))
+    return out, total[0] or 0, total[1] or 0
+
+
+def _parsed(spark: SparkSession, header: list[str], paths: list[str], multiline: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_more"]])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").csv(paths)
+
 
-    Rows are numbered in the JVM: within a block of a file by their increasing ids, blocks by the counts of those before them, files
-    by their names. The rows are persisted, so that counts and numbers stand on the same blocks and the file is parsed once."""
-    spot = df.select("*", F.monotonically_increasing_id().alias("_spot"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).persist()
-    blocks = spot.groupBy("_file", "_block").agg(F.count("*"), F.count("_more"), F.min("_spot")).collect()  # one a block of 128 MB
-    offsets, total = [], 0
-    for file, block, n, _, first in sorted(blocks):
-        offsets.append((file, block, total + 2 - first))
-        total += n
-    shift = df.sparkSession.createDataFrame(offsets, "_file string, _block long, _shift long")
-    rows = spot.join(shift, ["_file", "_block"]).select(*df.columns, (F.col("_spot") + F.col("_shift")).alias(ROW))
-    return rows, total, sum(r[3] for r in blocks)
+def read_files(spark: SparkSession, header: list[str], paths: list[str], multiline: bool = False) -> DataFrame:
+    """Files of one header as text columns, with `_file` and the row's number in its file; rows with too many fields are an error."""
+    (rows,), _, more = _numbered([_parsed(spark, header, paths, multiline)], each=True)
+    if more:
+        raise BatchError(f"of {paths} some have rows of more than {len(header)} fields")
+    return rows.drop("_more")
 
 
 def read_source(spark: SparkSession, path: str, multiline: bool = False, most_rows: int | None = MOST_ROWS) -> DataFrame:
-    """A source file as text columns with `_source_row_number`, from 2 on, in the file's order (of a
-    folder's files in the order of their names). Empty cells are null; short rows end
+    """A source file as text columns with `_source_row_number`, from 2 on, in the file's order (of a folder's files in the order of
+    their names, each read by its own header: columns meet by name, and what a file lacks is null). Empty cells are null; short rows end
     in nulls; rows with too many fields are an error. `multiline` allows newlines in cells, at the price of an unsplit file."""
-    header = header_of(spark, path)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_more"]])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    rows, most, more = _numbered(df)
+    groups = by_header(spark, files_of(spark, path))
+    if not groups:
+        raise BatchError(f"{path} has no header")
+    frames, most, more = _numbered([_parsed(spark, header, files, multiline) for header, files in groups])
     if more:
-        raise BatchError(f"{path} has rows of more than {len(header)} fields")
+        raise BatchError(f"{path} has rows of more fields than their header")
     if most_rows is not None and most > most_rows:
         raise BatchError(f"{path} has {most} rows, more than {most_rows}")
-    return rows.drop("_more")
+    out = frames[0].drop("_more", "_file")
+    for df in frames[1:]:
+        out = out.unionByName(df.drop("_more", "_file"), allowMissingColumns=True)
+    return out
 
 
 def read_batch(spark: SparkSession, folder: str, most_bytes: int | None = MOST_BYTES, most_rows: int | None = MOST_ROWS) -> dict[str, DataFrame]:

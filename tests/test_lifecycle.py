@@ -1,12 +1,14 @@
 """Files to tables: healthy, replay, incident, recovery; and files that aren't a batch."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import checks
 from millrace.operators.ledger import create_incident, resolve_incident
 from millrace.operators.tables import upsert_checks
-from millrace.operators.versions import Store, bucket
+from millrace.operators.versions import Store
 from millrace.plans import graph, lifecycle
 from millrace.plans.lifecycle import backfill, run_batch
 from millrace.sources import csv_batch
@@ -96,10 +98,13 @@ def test_two_batches_keep_history_and_increments(spark, tmp_path, monkeypatch):
     out = run_batch(spark, store, write(tmp_path / "two", rows), "2024-02-01-incremental-clean", "run-2", "2024-02-01 12:00:00")
     assert (out.accepted, out.skipped) == (4, 8)
     after = store.manifest()
-    # a batch of three readings writes their parts only
-    changed = {k for k in after["raw_machine_telemetry"] if after["raw_machine_telemetry"][k] != before["raw_machine_telemetry"].get(k)}
-    hit = {r[0] for r in store.read("raw_machine_telemetry").filter("_batch_id like '2024-02-01%'").select(bucket("telemetry_id")).distinct().collect()}
-    assert changed == hit and after["raw_shifts"] == before["raw_shifts"] and after["raw_factories"] == before["raw_factories"]
+    # a batch of three readings writes three rows; sources that were skipped are as before
+    added = after["raw_machine_telemetry"]["deltas"][len(before["raw_machine_telemetry"]["deltas"]) :]
+    assert [d["rows"] for d in added] == [3] and after["raw_shifts"] == before["raw_shifts"] and after["raw_factories"] == before["raw_factories"]
+    # only the days that changed are made again, and only the versions that changed are added
+    days = lambda m, t: {k for k in m[t]["parts"] if m[t]["parts"][k] != before[t]["parts"].get(k)}
+    assert days(after, "int_machine_telemetry") == {"2024-01-31", "2024-02-01"} == days(after, "fct_machine_telemetry_daily")
+    assert after["machine_history"]["deltas"][-1]["rows"] == 2
     assert store.read("raw_machine_telemetry").count() == 5
     # the lookback takes the corrected reading and the new one, not the one of December
     built = {r["telemetry_id"]: float(r["temperature_c"]) for r in store.read("int_machine_telemetry").collect()}
@@ -206,18 +211,71 @@ def test_landing_and_export(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/out/t").filter("s = 'a\"b'").count() == 5
 
 
-def test_stream_keeps_late_rows_and_repeats_nothing(spark, tmp_path):
-    from millrace.streaming.landing import land_stream
+def test_stream(spark, tmp_path):
+    """Late rows are kept; rejected ones go to quarantine; files are read by their own headers; keys meet across micro-batches; a repeated
+    micro-batch or file changes nothing."""
+    from millrace.streaming import landing
 
     folder = tmp_path / "in"
     folder.mkdir()
     store = Store(spark, f"file://{tmp_path}/store")
+    header, names = HEADERS["machine_telemetry"], HEADERS["machine_telemetry"].split(",")
 
-    def feed(name, lines):
-        (folder / name).write_text("\n".join([HEADERS["machine_telemetry"], *lines]) + "\n")
-        land_stream(spark, "machine_telemetry", str(folder), store, f"{tmp_path}/checkpoint", NOW).awaitTermination()
+    def feed(name, lines, header=header):
+        (folder / name).write_text("\n".join([header, *lines]) + "\n")
+        landing.land_stream(spark, "machine_telemetry", str(folder), store, f"{tmp_path}/checkpoint", NOW).awaitTermination()
 
     feed("1.csv", ROWS["machine_telemetry"])
-    feed("2.csv", [f"TEL-100,MCH-001,2023-06-01T00:00:00Z,20,1,3,1,running,{T}", "TEL-101,MCH-001,bad,20,1,3,1,running," + T, ROWS["machine_telemetry"][0]])
-    got = {r["telemetry_id"]: r["_batch_id"] for r in store.read("raw_machine_telemetry").collect()}
-    assert got == {"TEL-001": "stream-0", "TEL-002": "stream-0", "TEL-003": "stream-0", "TEL-100": "stream-1"}
+    late = f"TEL-100,MCH-001,2023-06-01T00:00:00Z,20,1,3,1,running,{T}"
+    feed("2.csv", [late, "TEL-101,MCH-001,bad,20,1,3,1,running," + T, ROWS["machine_telemetry"][0], late])
+    read = lambda: {r["telemetry_id"]: (r["_batch_id"], float(r["temperature_c"])) for r in store.read("raw_machine_telemetry").collect()}
+    assert read() == {"TEL-001": ("stream-0", 20.5), "TEL-002": ("stream-0", 20.5), "TEL-003": ("stream-0", 20.5), "TEL-100": ("stream-1", 20.0)}
+    bad = {r["_source_row_number"]: (r["reasons"][0]["code"], r["raw_payload"]["telemetry_id"]) for r in store.read("quarantine").collect()}
+    assert bad == {3: ("invalid_timestamp", "TEL-101"), 5: ("duplicate_identifier", "TEL-100")}
+    # columns in another order, one more and a newer version of a known key
+    turned = ",".join([names[1], names[0], *names[2:], "colour"])
+    newer = "2024-01-31T11:00:00Z"
+    feed("3.csv", [f"MCH-001,TEL-001,2024-01-31T01:00:00Z,99.5,1.25,3,1,running,{newer},red"], turned)
+    assert read()["TEL-001"] == ("stream-2", 99.5) and "MCH-001" not in read()
+    drift = store.read("schema_changes").collect()
+    assert [(r["change_type"], r["unexpected_columns"]) for r in drift] == [("additive", ["colour"])]
+    # an older version in a later file is left alone; a file without a header fails, others go on
+    (folder / "4.csv").write_text("a,a\n1,2\n")
+    feed("5.csv", [f"TEL-001,MCH-001,2024-01-31T01:00:00Z,1.5,1.25,3,1,running,{T}"])
+    assert read()["TEL-001"] == ("stream-2", 99.5)
+    files = {r["logical_key"].rsplit("/", 1)[1]: (r["status"], r["accepted_count"], r["quarantined_count"]) for r in store.read("source_files").collect()}
+    assert files == {"1.csv": ("loaded", 3, 0), "2.csv": ("loaded", 2, 2), "3.csv": ("loaded", 1, 0), "4.csv": ("failed", 0, 0), "5.csv": ("loaded", 1, 0)}
+    # the last micro-batch again, as after a failure between its commit and the checkpoint's; and known bytes under a new name
+    before = store.version()
+    os.remove(f"{tmp_path}/checkpoint/commits/3")
+    crc = f"{tmp_path}/checkpoint/commits/.3.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    landing.land_stream(spark, "machine_telemetry", str(folder), store, f"{tmp_path}/checkpoint", NOW).awaitTermination()
+    assert store.version() == before
+    feed("6.csv", ROWS["machine_telemetry"])
+    assert store.read("source_files").count() == 5 and len(read()) == 4
+
+
+def test_files_of_a_folder_have_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    (folder / "b.csv").write_text("v,k,more\nz,3,m\n")
+    (folder / "c.csv").write_text("k,v\n4,w\n")
+    got = csv_batch.read_source(spark, f"file://{folder}").select("_source_row_number", "k", "v", "more").collect()
+    assert sorted(map(tuple, got)) == [(2, "1", "x", None), (3, "2", "y", None), (4, "3", "z", "m"), (5, "4", "w", None)]
+    assert csv_batch.header_of(spark, f"file://{folder}/b.csv") == ["v", "k", "more"]
+
+
+def test_a_run_that_gives_signs_of_life_is_left_alone(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    folder = write(tmp_path / "good", ROWS)
+    files = csv_batch.file_identity(spark, folder, "b1")
+    status = lambda: {r["run_id"]: r["status"] for r in store.read("pipeline_runs").collect()}
+    with store.lease("run-1"):
+        lifecycle.begin(store, files, "b1", "run-1", NOW)
+        lifecycle.begin(store, files, "b1", "run-2", NOW)
+        assert status() == {"run-1": "running", "run-2": "running"}
+    lifecycle.begin(store, files, "b1", "run-3", NOW)
+    assert status() == {"run-1": "failed", "run-2": "failed", "run-3": "running"}
