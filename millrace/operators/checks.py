@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import at, bounded_text, count_where, hours_between
@@ -79,17 +80,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def run_checks(rules: list[Rule], models: dict[str, DataFrame], run_id: str, as_of: str) -> DataFrame:
     """One row a rule: failed or warning (by its severity) if any row breaks it. Rules that are row conditions of one model share a
-    single pass over it."""
-    plain = {"not_null", "accepted_values", "non_negative", "end_after_start", "plan_overrun", "counts_reconcile"}
+    single pass over it, and so does that of its unique key: rows are counted by the key, partial counts first."""
     by_model: dict[str, list[Rule]] = {}
     for r in rules:
-        if r.kind in plain:
-            by_model.setdefault(r.model, []).append(r)
+        by_model.setdefault(r.model, []).append(r)
     counted = []
     for model, own in by_model.items():
-        pairs = F.array(*(F.struct(F.lit(r.check_id).alias("check_id"), count_where(_condition(r)).alias("n")) for r in own))
-        counted.append(models[model].agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.*"))
-    counted += [failing(r, models).agg(F.count("*").alias("n")).select(F.lit(r.check_id).alias("check_id"), "n") for r in rules if r.kind not in plain]
+        plain = [r for r in own if r.kind in PLAIN]
+        keys = [r for r in own if r.kind == "unique"]
+        if plain and keys:
+            key = F.col(keys[0].column)
+            by_key = models[model].groupBy(key.alias("_key")).agg(F.count("*").alias("_rows"), *(count_where(_condition(r)).alias(f"_c{i}") for i, r in enumerate(plain)))
+            repeated = count_where(F.col("_key").isNotNull() & (F.col("_rows") > 1))
+            sums = [(keys[0], repeated), *((r, F.coalesce(F.sum(f"_c{i}"), F.lit(0))) for i, r in enumerate(plain))]
+            counted.append(_listed(by_key, sums))
+            keys = keys[1:]
+        elif plain:
+            counted.append(_listed(models[model], [(r, count_where(_condition(r))) for r in plain]))
+        rest = [*keys, *(r for r in own if r.kind not in PLAIN and r.kind != "unique")]
+        counted += [failing(r, models).agg(F.count("*").alias("n")).select(F.lit(r.check_id).alias("check_id"), "n") for r in rest]
     about = models[rules[0].model].sparkSession.createDataFrame([(r.check_id, r.kind, r.model, r.severity) for r in rules], "check_id string, kind string, model string, severity string")
     bad = F.col("n") > 0
     status = F.when(~bad, "passed").when(F.col("severity") == "warning", "warning").otherwise("failed")
@@ -97,6 +106,16 @@ def run_checks(rules: list[Rule], models: dict[str, DataFrame], run_id: str, as_
     return _union(counted).join(about, "check_id").select(*check_row(F.col("check_id"), F.col("kind"), "model_test", F.col("model"), status, severity, F.col("n"), "0 failing rows", run_id, at(as_of)))
 
 
+#: Kinds of rules that are conditions of a row.
+PLAIN = ("not_null", "accepted_values", "non_negative", "end_after_start", "plan_overrun", "counts_reconcile")
+
+
+def _listed(df: DataFrame, counts: list[tuple[Rule, Column]]) -> DataFrame:
+    """(check_id, n) of one pass over df."""
+    pairs = F.array(*(F.struct(F.lit(r.check_id).alias("check_id"), n.cast("long").alias("n")) for r, n in counts))
+    return df.agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 def _condition(rule: Rule) -> Column:
     c = F.col(rule.column)
     return {
@@ -220,6 +239,20 @@ def outcome_checks(outcomes: DataFrame, run_id: str, as_of: str) -> DataFrame:
     return outcomes.select(*check_row(F.col("test_id"), F.col("test_name"), "model_test", scope, status, severity, F.col("failures"), "0 failing rows", run_id, at(as_of), F.array_join(F.array_sort("depends_on"), ",")))
 
 
+def skip_below(results: DataFrame, ancestors: dict[str, list[str]]) -> DataFrame:
+    """Results of a run's tests where those of models below a failed one count as skipped: a failed test of severity error on a model
+    leaves the tests of all models that read it, directly or not, without an outcome, and so failed.
+
+    `ancestors` names what each scope reads, over any number of steps; a model's own tests don't skip each other. One pass: the failed
+    scopes of a run, as many as it has rules at most, are gathered beside its rows."""
+    failed = F.collect_set(F.when((F.col("status") == "failed") & (F.col("severity") == "error"), F.col("scope"))).over(W.partitionBy("run_id"))
+    above = F.create_map(*(x for k, v in ancestors.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    skipped = F.coalesce(F.arrays_overlap("_failed", above[F.col("scope")]), F.lit(False))
+    marked = results.withColumn("_failed", failed).withColumn("_skipped", skipped)
+    new = {"status": outcome_status(F.lit("skipped")), "severity": F.lit("error"), "observed_value": F.lit("skipped")}
+    return marked.select(*(F.when(F.col("_skipped"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in results.columns))
+
+
 def run_status(checks: DataFrame, quarantined: Column | None = None) -> DataFrame:
     """One row a run: failed with any failed check of severity error; else degraded with a warning or a quarantined row (column
     `quarantined`, if given by run); else healthy. freshness_status: the worst of its freshness checks."""

@@ -129,7 +129,7 @@ def model_by_name(models: DataFrame, name: str) -> DataFrame:
 def model_columns(models: DataFrame, columns: DataFrame, name: str) -> DataFrame:
     """The columns of a model's newest version, in order."""
     newest = model_by_name(models, name).select("run_id", "model_name")
-    return columns.join(newest, ["run_id", "model_name"], "left_semi").orderBy("ordinal_position")
+    return columns.join(newest, ["run_id", "model_name"], "left_semi").orderBy(F.asc_nulls_last("ordinal_position"))
 
 
 def direct_lineage(edges: DataFrame, name: str) -> DataFrame:
@@ -218,13 +218,14 @@ def incident_report(evidence: DataFrame) -> DataFrame:
     Hypotheses never become facts."""
     sections = ("check", "reason", "schema", "delta", "lineage")
     order = F.array_position(F.array(*map(F.lit, sections)), F.col("section")).cast("int")
-    facts = evidence.select(F.lit("fact").alias("section"), order.alias("o"), "name", F.concat(F.initcap("section"), F.lit(" "), "name", F.lit(" recorded "), F.col("value"), F.lit(".")).alias("text"))
-    clues = evidence.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CLUES)], "o int, of string, clue string, guess string, step string")
-    met = evidence.join(clues, (F.col("section") == F.col("of")) & ((F.col("clue") == "*") | (F.col("clue") == F.col("kind"))))
-    guesses = met.filter("guess is not null").select(F.lit("hypothesis").alias("section"), "o", "name", F.col("guess").alias("text"))
-    steps = met.select(F.lit("next_step").alias("section"), "o", "name", F.replace("step", F.lit("{}"), F.col("name")).alias("text"))
+    clues = evidence.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CLUES)], "_rank int, of string, clue string, guess string, step string")
+    met = evidence.join(F.broadcast(clues), (F.col("section") == F.col("of")) & ((F.col("clue") == "*") | (F.col("clue") == F.col("kind"))), "left")  # CLUES, a fixed list
+    line = lambda section, o, text: F.when(text.isNotNull(), F.struct(F.lit(section).alias("section"), o.alias("o"), F.col("name"), text.alias("text")))
+    fact = F.concat(F.initcap("section"), F.lit(" "), "name", F.lit(" recorded "), F.col("value"), F.lit("."))
+    said = F.array_compact(F.array(line("fact", order, fact), line("hypothesis", F.col("_rank"), F.col("guess")), line("next_step", F.col("_rank"), F.replace("step", F.lit("{}"), F.col("name")))))
+    lines = met.select(F.explode(said).alias("x")).select("x.*")  # evidence is made once
     last = evidence.sparkSession.createDataFrame([("fact", 99, "", NO_FACT), ("next_step", 99, "", NO_STEP)], "section string, o int, name string, text string")
-    once = facts.unionByName(guesses).unionByName(steps).unionByName(last).groupBy("section", "text").agg(F.min(F.struct("o", "name")).alias("first"))
+    once = lines.unionByName(last).groupBy("section", "text").agg(F.min(F.struct("o", "name")).alias("first"))
     # evidence is bounded, and so is what one section holds
     nth = F.row_number().over(W.partitionBy("section").orderBy("first", "text"))
     most = F.when(F.col("section") == "fact", 30).otherwise(20)

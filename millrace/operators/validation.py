@@ -12,27 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import at, bounded_text
-from .contracts import CONTRACTS, ColumnRule, Contract
+from .contracts import CELL, CONTRACTS, PRESENCE, Contract, Predicate
+from .contracts import ROW as ROWS
 
 REASON = "array<struct<code:string,column:string,check:string,message:string,value:string>>"
 ROW = "_source_row_number"
-#: How far a timestamp may lie ahead of the clock; dates may not at all.
-TOLERANCE_MINUTES = 5
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
 
 
-def parsed(name: str, rule: ColumnRule) -> Column:
+def parsed(name: str, kind: str) -> Column:
     """The typed value of a text column, null where it can't be read."""
     c = F.col(name).cast("string")
-    if rule.kind == "integer":
+    if kind == "integer":
         return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("long"))
-    if rule.kind == "number":
+    if kind == "number":
         n = F.trim(c).try_cast("double")
         return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
-    if rule.kind == "date":
+    if kind == "date":
         return F.when(c.rlike(ISO_DAY), c.try_cast("date"))
-    if rule.kind == "timestamp":
+    if kind == "timestamp":
         text = F.regexp_replace(F.regexp_replace(c, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
         utc = F.when(c.rlike(ISO_TIME), text.try_cast("timestamp"))
         return F.to_utc_timestamp(utc, F.current_timezone()).cast("timestamp_ntz")
@@ -56,55 +55,42 @@ def _kept(*reasons: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*reasons))) if reasons else F.array().cast(REASON)
 
 
-def _presence(contract: Contract, header: list[str]) -> Column:
+class _Cells:
+    """A source's rows as predicates see them."""
+
+    def __init__(self, contract: Contract, now: Column) -> None:
+        self.kinds, self.now = contract.kinds, now
+
+    def text(self, name: str) -> Column:
+        return F.col(name).cast("string")
+
+    def value(self, name: str) -> Column:
+        return parsed(name, self.kinds[name])
+
+
+def _presence(contract: Contract, header: list[str], cells: _Cells) -> Column:
     out = []
-    for c in contract.required:
-        if c not in header:
-            out.append(_reason("missing_required_column", c, "column_present", f"{c} is not in the file", F.lit(True)))
+    for p in (p for p in contract.predicates if p.stage == PRESENCE):
+        if p.columns[0] in header:
+            out.append(_asked(p, cells))
         else:
-            out.append(_reason("required_value_missing", c, "not_null", f"{c} is required", F.col(c).isNull()))
+            out.append(_reason("missing_required_column", p.columns[0], "column_present", f"{p.columns[0]} is not in the file", F.lit(True)))
     if contract.key in header:
         out.append(_reason("duplicate_identifier", contract.key, "unique", f"{contract.key} repeats an earlier row of the file", F.col(ROW) > F.col("_first"), F.col(contract.key)))
     return _kept(*out)
 
 
-def _column_rules(contract: Contract, header: list[str], clock: Column) -> Column:
-    out = []
-    for name, rule in contract.columns.items():
-        if name not in header:
-            continue
-        c, typed = F.col(name).cast("string"), parsed(name, rule)
-        given = c.isNotNull()
-
-        def add(code: str, check: str, message: str, broken: Column, given: Column = given, name: str = name, c: Column = c) -> None:
-            out.append(_reason(code, name, check, message, given & broken, c))
-
-        if rule.kind in ("integer", "number"):
-            add("invalid_type", "type", f"{name} must be of type {rule.kind}", typed.isNull())
-        else:
-            add("blank_value", "not_blank", f"{name} must not be blank", F.trim(F.regexp_replace(c, r"\s", " ")) == "")
-            add("invalid_text_encoding", "no_nul", f"{name} must not hold a NUL character", F.instr(c, "\0") > 0)
-        if rule.values:
-            add("invalid_enum", "accepted_values", f"{name} must be one of {', '.join(rule.values)}", ~c.isin(*rule.values))
-        if rule.bounds:
-            low, high = rule.bounds
-            add("out_of_range", "accepted_range", f"{name} must lie from {low:g} to {high:g}", ~typed.between(low, high))
-        if rule.pattern:
-            add("invalid_identifier", "identifier_format", f"{name} must be an upper-case identifier", ~c.rlike(rule.pattern))
-        if rule.kind == "date":
-            add("invalid_date", "iso_date", f"{name} must be an ISO 8601 date", typed.isNull())
-            if rule.past:
-                add("future_timestamp", "not_in_future", f"{name} must not lie in the future", typed > clock.cast("date"))
-        if rule.kind == "timestamp":
-            add("invalid_timestamp", "iso_timestamp", f"{name} must be an ISO 8601 timestamp with an offset", typed.isNull())
-            if rule.past:
-                add("future_timestamp", "not_in_future", f"{name} must not lie in the future", typed > clock + F.expr(f"INTERVAL '{TOLERANCE_MINUTES}' MINUTE"))
-    return _kept(*out)
+def _asked(p: Predicate, cells: _Cells) -> Column:
+    """A predicate's reason, with the cell as evidence if it is about one that is given."""
+    if p.stage != CELL:
+        return _reason(p.code, ",".join(p.columns), p.check, p.message, p.broken(cells))
+    text = cells.text(p.columns[0])
+    return _reason(p.code, p.columns[0], p.check, p.message, text.isNotNull() & p.broken(cells), text)
 
 
-def _row_rules(contract: Contract) -> Column:
-    typed = lambda name: parsed(name, contract.columns[name])
-    return _kept(*(_reason(r.code, ",".join(r.columns), "row_rule", r.message, r.broken(typed)) for r in contract.row_rules))
+def _stage(contract: Contract, stage: int, header: list[str], cells: _Cells) -> Column:
+    """All reasons of a stage; cells of columns that the file lacks aren't asked."""
+    return _kept(*(_asked(p, cells) for p in contract.predicates if p.stage == stage and (stage != CELL or p.columns[0] in header)))
 
 
 def validate(df: DataFrame, contract: Contract, as_of: str, header: list[str] | None = None) -> DataFrame:
@@ -113,29 +99,29 @@ def validate(df: DataFrame, contract: Contract, as_of: str, header: list[str] |
     A key counts as used from its first row on, even if that row is rejected; null keys use none. Rows meet only the first rows of
     keys that repeat, so that a key of any number of rows is no task of its own."""
     header = [c for c in df.columns if c != ROW] if header is None else header
-    present = [c for c in contract.columns if c in header]
+    present, cells = [c for c in contract.columns if c in header], _Cells(contract, at(as_of))
     out = df.select(ROW, *(F.col(c).cast("string").alias(c) if c in present else F.lit(None).cast("string").alias(c) for c in contract.columns))
     # the first row of keys that repeat; partial minima are made before the shuffle, so that no key is gathered
     firsts = out.filter(F.col(contract.key).isNotNull()).groupBy(F.col(contract.key).alias("_key")).agg(F.min(ROW).alias("_first"), F.max(ROW).alias("_last"))
-    out = out.join(firsts.filter("_last > _first").drop("_last"), F.col(contract.key) == F.col("_key"), "left").drop("_key").withColumn("reasons", _presence(contract, header))
+    out = out.join(firsts.filter("_last > _first").drop("_last"), F.col(contract.key) == F.col("_key"), "left").drop("_key").withColumn("reasons", _presence(contract, header, cells))
     clean = F.size("reasons") == 0
-    out = out.withColumn("reasons", F.when(clean, _column_rules(contract, header, at(as_of))).otherwise(F.col("reasons")))
-    out = out.withColumn("reasons", F.when(clean, _row_rules(contract)).otherwise(F.col("reasons")))
+    out = out.withColumn("reasons", F.when(clean, _stage(contract, CELL, header, cells)).otherwise(F.col("reasons")))
+    out = out.withColumn("reasons", F.when(clean, _stage(contract, ROWS, header, cells)).otherwise(F.col("reasons")))
     return out.drop("_first")
 
 
 def with_parents(df: DataFrame, contract: Contract, accepted: dict[str, DataFrame]) -> DataFrame:
     """Stage (d): rows without a reason whose parent isn't accepted in the same batch get one."""
-    for fk in contract.foreign_keys:
+    for column, parent in contract.parents.items():
         clean = F.size("reasons") == 0
-        if fk.parent not in accepted:
-            reason = _reason("missing_parent_source", fk.column, "foreign_key", f"{fk.parent} is not in the batch", F.lit(True), F.col(fk.column))
+        if parent not in accepted:
+            reason = _reason("missing_parent_source", column, "foreign_key", f"{parent} is not in the batch", F.lit(True), F.col(column))
             df = df.withColumn("reasons", F.when(clean, F.array(reason)).otherwise(F.col("reasons")))
             continue
-        parents = accepted[fk.parent].select(F.col(fk.parent_column).alias("_parent"))
-        reason = _reason("referential_integrity_violation", fk.column, "foreign_key", f"{fk.column} has no accepted row in {fk.parent}", F.lit(True), F.col(fk.column))
+        parents = accepted[parent].select(F.col(CONTRACTS[parent].key).alias("_parent"))
+        reason = _reason("referential_integrity_violation", column, "foreign_key", f"{column} has no accepted row in {parent}", F.lit(True), F.col(column))
         # a rejected row needs no parent; without its key it doesn't crowd the join
-        df = df.withColumn("_child", F.when(clean, F.col(fk.column))).join(parents, F.col("_child") == F.col("_parent"), "left")
+        df = df.withColumn("_child", F.when(clean, F.col(column))).join(parents, F.col("_child") == F.col("_parent"), "left")
         df = df.withColumn("reasons", F.when(clean & F.col("_parent").isNull(), F.array(reason)).otherwise(F.col("reasons"))).drop("_child", "_parent")
     return df
 
@@ -189,7 +175,7 @@ def validate_batch(batch: dict[str, DataFrame], as_of: str) -> dict[str, Validat
 
 def typed(df: DataFrame, contract: Contract, *more: str) -> DataFrame:
     """Accepted rows with their columns parsed, and more columns as they are."""
-    return df.select(ROW, *more, *(parsed(c, r).alias(c) for c, r in contract.columns.items()))
+    return df.select(ROW, *more, *(parsed(c, kind).alias(c) for c, kind in contract.kinds.items()))
 
 
 def reason_rows(df: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ GONE, SEQ = "_gone", "_seq"
 BITS = 20
 #: Rows of a part of a log before it is split, deltas of a log and their share of its rows before it is compacted.
 MOST_ROWS, MOST_DELTAS, MOST_SHARE = 4_000_000, 8, 0.25
+#: Keys that a search gives to the scan.
+MOST_KEYS = 10_000
 #: Types whose bounds are kept.
 ZONED = (T.TimestampNTZType, T.DateType, T.LongType, T.IntegerType)
 #: Seconds between signs of life of a run, and after which it counts as dead.
@@ -164,20 +166,29 @@ class Store:
         rows = self.spark.read.text(f"{self.home}/manifests/{version:012d}.json", wholetext=True).collect()
         return json.loads(rows[0][0])
 
-    def _put(self, name: str, df: DataFrame, zoned: bool = True) -> Piece:
+    @staticmethod
+    def _filtered(df: DataFrame, keys: Iterable[str]):
+        """A writer that puts a Bloom filter of each key column into the files, by which a search for keys leaves them alone."""
+        writer = df.write
+        for k in keys:
+            if isinstance(df.schema[k].dataType, T.StringType | T.LongType | T.IntegerType):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+        return writer
+
+    def _put(self, name: str, df: DataFrame, keys: Iterable[str] = ()) -> Piece:
         """Writes a folder; its rows and bounds are observed meanwhile."""
         at = f"data/{name}/{uuid.uuid4().hex}"
-        zones = [f.name for f in df.schema if zoned and isinstance(f.dataType, ZONED)]
+        zones = [f.name for f in df.schema if isinstance(f.dataType, ZONED)]
         seen = Observation()
         bounds = [x for c in zones for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]
-        df.observe(seen, F.count("*").alias("rows"), *bounds).hint("rebalance").write.parquet(f"{self.home}/{at}")
+        self._filtered(df.observe(seen, F.count("*").alias("rows"), *bounds).hint("rebalance"), keys).parquet(f"{self.home}/{at}")
         got = seen.get
         return {"at": at, "rows": got["rows"], "zones": {c: [_text(got[f"min_{c}"]), _text(got[f"max_{c}"])] for c in zones if got["rows"]}}
 
-    def _put_parts(self, name: str, df: DataFrame) -> dict[str, Piece]:
+    def _put_parts(self, name: str, df: DataFrame, keys: Iterable[str] = ()) -> dict[str, Piece]:
         """Writes df in folders by its column PART; counts and bounds come from those columns of what was written."""
         at = f"data/{name}/{uuid.uuid4().hex}"
-        df.hint("rebalance", PART).write.partitionBy(PART).parquet(f"{self.home}/{at}")
+        self._filtered(df.hint("rebalance", PART), keys).partitionBy(PART).parquet(f"{self.home}/{at}")
         zones = [f.name for f in df.schema if isinstance(f.dataType, ZONED)]
         schema = T.StructType([*(f for f in df.schema if f.name != PART), T.StructField(PART, T.StringType())])
         written = self.spark.read.schema(schema).parquet(f"{self.home}/{at}")
@@ -231,6 +242,16 @@ class Store:
         entry = entry.get("entry", entry)
         return self._load(entry, [p for k in parts if (p := entry["parts"].get(k))])
 
+    def find(self, entry: Entry, parts: Iterable[str], key: str, wanted: DataFrame) -> DataFrame:
+        """The rows of some parts whose key is among those of `wanted`. Up to MOST_KEYS of them are given to the scan, which leaves out
+        row groups by their filters and bounds; more are joined."""
+        rows = self.open_parts(entry, parts)
+        keys = [r[0] for r in wanted.select(key).distinct().limit(MOST_KEYS + 1).collect()]
+        if len(keys) > MOST_KEYS:
+            return rows.join(wanted.select(key), key, "left_semi")
+        self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", MOST_KEYS)
+        return rows.filter(F.col(key).isin([k for k in keys if k is not None]))
+
     def read(self, table: str, version: int | None = None, where: dict[str, tuple] | None = None) -> DataFrame | None:
         entry = self.manifest(version).get(table)
         return None if not entry else self.open(entry, where)
@@ -263,15 +284,16 @@ class Store:
         entry = self.manifest().get(name)
         if entry and ("deltas" not in entry or (entry["key"], entry["rule"]) != (key, rule)):
             raise ValueError(f"{name} is kept in another way")
-        piece = self._put(name, rows) if gone is None else self._put(name, rows.withColumn(GONE, F.lit(False)).unionByName(gone.select(*key, F.lit(True).alias(GONE)), allowMissingColumns=True))
+        written = rows if gone is None else rows.withColumn(GONE, F.lit(False)).unionByName(gone.select(*key, F.lit(True).alias(GONE)), allowMissingColumns=True)
+        piece = self._put(name, written, key)
         start = entry or {"schema": rows.schema.json(), "key": key, "rule": rule, "parts": {}, "deltas": []}
         return {name: {"entry": start | {"deltas": [*start["deltas"], piece]}, "base": entry, "added": [piece]}}
 
-    def stage_merge(self, name: str, incoming: DataFrame, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], also: Iterable[str] = ()) -> Staged:
+    def stage_merge(self, name: str, incoming: DataFrame, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], also: Iterable[str] = (), keys: Iterable[str] = ()) -> Staged:
         """Writes new versions of the parts of a table that incoming rows fall in: what `merge` makes of those parts and the rows.
 
-        `part` gives a row's part, letters, digits and hyphens only, few in number; `also` names parts that have to be merged too. A
-        merge must leave stored rows in their part."""
+        `part` gives a row's part, letters, digits and hyphens only, few in number; `also` names parts that have to be merged too; the
+        files get a filter for each of `keys`. A merge must leave stored rows in their part."""
         rows = incoming.withColumn(PART, part).persist()
         hit = {r[0] for r in rows.select(PART).distinct().collect()} | set(also)  # parts are few
         if bad := [x for x in hit if not x or not x.replace("-", "").isalnum()]:
@@ -283,7 +305,7 @@ class Store:
         if hit:
             old = [p for k, p in entry["parts"].items() if k in hit]
             new = merge(self._load(entry, old), rows.drop(PART)) if old else rows.drop(PART)
-            written = self._put_parts(name, new.withColumn(PART, part))
+            written = self._put_parts(name, new.withColumn(PART, part), keys)
             entry = entry | {"parts": {k: p for k, p in entry["parts"].items() if k not in hit} | written}
         rows.unpersist()
         return {name: {"entry": entry, "base": base, "touched": sorted(hit)}}
@@ -317,7 +339,7 @@ class Store:
                 mine = F.substring(bits, 1, length).isin(own) if length else F.lit(True)
                 named = F.when(mine, F.concat(F.lit("p"), F.substring(bits, 1, length + more) if length + more else F.lit(""))).otherwise(named)
         touched = base | {"parts": {f"p{p}": held[p] for p in hit if held[p]}}
-        written = self._put_parts(name, self.open(touched).withColumn(PART, named))
+        written = self._put_parts(name, self.open(touched).withColumn(PART, named), base["key"])
         parts = {k: v for k, v in base["parts"].items() if k[1:] not in hit} | written
         for p, more in cuts.items():  # the prefixes of a split stay complete, empty parts included
             for i in range(1 << more):

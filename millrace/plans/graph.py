@@ -107,6 +107,15 @@ def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, m) for m, (_, parents) in GRAPH.items() for p in parents], "parent string, child string")
 
 
+def ancestors() -> dict[str, list[str]]:
+    """What each model reads, directly or over others, sources by the names of their raw tables; made once from the graph."""
+    out: dict[str, set[str]] = {}
+    for model, (_, parents) in GRAPH.items():  # parents come first
+        names = [p.replace("source:raw.", "raw_") for p in parents]
+        out[model] = {*names, *(a for p in names for a in out.get(p, ()))}
+    return {m: sorted(a) for m, a in out.items()}
+
+
 #: What people and services read, by the models each depends on.
 EXPOSURES = {
     "operations_dashboard": ["factory_performance", "machine_reliability", "data_freshness", "data_quality_trends"],

@@ -24,7 +24,7 @@ from ..operators.ledger import file_status, finalise_run, healthy_volumes, ledge
 from ..operators.tables import delete_insert, incremental_slice, row_counts, scd2_changes
 from ..operators.validation import ROW, Validated, drift_frame, typed, validate_batch
 from ..operators.versions import Staged, Store, day
-from ..sources.csv_batch import file_identity, read_batch
+from ..sources.csv_batch import land, read_batch
 from . import graph
 from .models import STAGING, Models
 
@@ -132,9 +132,9 @@ def stage_telemetry(store: Store, m: Models, as_of: str, lookback_hours: int, st
         others = [k for k in entry["parts"] if k not in own]
         fresh = rows if batch_id is None else rows.filter(F.col("_batch_id") == batch_id)
         if others:
-            moved = store.open_parts(entry, others).select("telemetry_id", "event_timestamp").join(fresh.select("telemetry_id"), "telemetry_id", "left_semi")
+            moved = store.find(entry, others, "telemetry_id", fresh)
             also = {r[0] for r in moved.select(day("event_timestamp")).distinct().collect()}
-    staged = store.stage_merge("int_machine_telemetry", rows, day("event_timestamp"), lambda old, new: delete_insert(old, new, "telemetry_id"), also)
+    staged = store.stage_merge("int_machine_telemetry", rows, day("event_timestamp"), lambda old, new: delete_insert(old, new, "telemetry_id"), also, ["telemetry_id"])
     rows.unpersist()
     changed = staged["int_machine_telemetry"]
     m.store("int_machine_telemetry", store.open_parts(changed, changed["touched"]))
@@ -209,8 +209,9 @@ def _run(spark: SparkSession, store: Store, folder: str, batch_id: str, run_id:
     stages, began = Stages(run_id, clock), clock()
     start = began
     held: list[DataFrame] = []
+    identity = land(spark, folder, batch_id, f"{store.home}/landing")
     sources = read_batch(spark, folder, most_bytes=None, most_rows=None)
-    decisions = begin(store, file_identity(spark, folder, batch_id), batch_id, run_id, as_of)
+    decisions = begin(store, identity, batch_id, run_id, as_of)
     plan = {r["source_name"]: r for r in decisions.collect()}  # one row a source
     start = stages("register", start)
     valid = validate_batch(sources, as_of)
@@ -246,7 +247,7 @@ def _run(spark: SparkSession, store: Store, folder: str, batch_id: str, run_id:
     if build and all(df is not None for df in raw.values()):
         models, staged = build_models(store, staged, raw, as_of, batch_id=batch_id)
         start = stages("build", start)
-        checks += [C.run_checks(graph.rules(), models, run_id, as_of), C.freshness_checks(models["data_freshness"], run_id, as_of)]
+        checks += [C.skip_below(C.run_checks(graph.rules(), models, run_id, as_of), graph.ancestors()), C.freshness_checks(models["data_freshness"], run_id, as_of)]
         if "raw_machine_telemetry" in staged:
             checks.append(C.late_arrivals(raw["machine_telemetry"].filter(F.col("_batch_id") == batch_id), run_id, as_of))
         counts = stored_counts(store, staged, models, [*STORED, DAILY, "int_machine_telemetry", "machine_history"])
@@ -283,7 +284,7 @@ def rebuild_day(store: Store, start: str, as_of: str) -> str:
     run_id = f"backfill-{start}"
     end = (date.fromisoformat(start) + timedelta(days=1)).isoformat()
     models, staged = build_models(store, {}, raw, as_of, start=f"{start} 00:00:00", end=f"{end} 00:00:00")
-    rows = C.run_checks(graph.rules(), models, run_id, as_of).select(*C.CHECK_COLUMNS)
+    rows = C.skip_below(C.run_checks(graph.rules(), models, run_id, as_of), graph.ancestors()).select(*C.CHECK_COLUMNS)
     staged |= store.stage_rows("quality_results", rows, ["run_id", "check_id"], "outcome")
     status = C.run_status(store.open(staged["quality_results"]).filter(F.col("run_id") == run_id)).first()["run_status"]
     store.publish(staged)

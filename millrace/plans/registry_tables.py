@@ -191,7 +191,7 @@ def validate_inspections(spark, sf_dir):
 def _text(df: DataFrame, contract: str) -> DataFrame:
     """A raw table's declared columns as a file's text."""
     def cell(c: str):
-        kind = CONTRACTS[contract].columns[c].kind
+        kind = CONTRACTS[contract].kinds[c]
         return (F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") if kind == "timestamp" else F.col(c).cast("string")).alias(c)
 
     return df.select(ROW, *(cell(c) for c in CONTRACTS[contract].columns if c in df.columns))
@@ -296,6 +296,35 @@ def quality_checks(spark, sf_dir):
     return _checks(spark, sf_dir).select("check_id", "check_name", "scope", "status", "severity", "observed_value")
 
 
+MODEL_RULES = [
+    C.Rule("plan_overrun", "fct_production_output", "actual_quantity", other="planned_quantity"),
+    C.Rule("not_null", "factory_performance", "factory_id"),
+    C.Rule("non_negative", "factory_performance", "unplanned_downtime_hours"),
+    C.Rule("not_null", "dim_factory", "factory_id"),
+    C.Rule("unique", "fct_production_output", "production_order_id"),
+    C.Rule("not_null", "fct_downtime", "ended_at", severity="warning"),
+]
+
+
+@query("""SELECT * FROM (WITH counts(check_id, scope, n, severity) AS (
+    SELECT 'plan_overrun:fct_production_output.actual_quantity', 'fct_production_output', (SELECT count(*) FROM order_performance WHERE actual_quantity > 1.5 * planned_quantity), 'error'
+    UNION ALL SELECT 'not_null:factory_performance.factory_id', 'factory_performance', (SELECT count(*) FROM factory_performance WHERE factory_id IS NULL), 'error'
+    UNION ALL SELECT 'non_negative:factory_performance.unplanned_downtime_hours', 'factory_performance', (SELECT count(*) FROM factory_performance WHERE unplanned_downtime_hours < 0), 'error'
+    UNION ALL SELECT 'not_null:dim_factory.factory_id', 'dim_factory', (SELECT count(*) FROM dim_factory WHERE factory_id IS NULL), 'error'
+    UNION ALL SELECT 'unique:fct_production_output.production_order_id', 'fct_production_output', (SELECT count(*) FROM (SELECT 1 FROM order_performance GROUP BY production_order_id HAVING count(*) > 1)), 'error'
+    UNION ALL SELECT 'not_null:fct_downtime.ended_at', 'fct_downtime', (SELECT count(*) FROM downtime_durations WHERE ended_at IS NULL), 'warning'),
+  judged AS (SELECT *, scope = 'factory_performance' AND (SELECT bool_or(n > 0 AND severity = 'error') FROM counts WHERE scope IN ('fct_production_output', 'dim_factory')) AS skipped FROM counts)
+  SELECT check_id, scope, CASE WHEN skipped THEN 'failed' WHEN n = 0 THEN 'passed' WHEN severity = 'warning' THEN 'warning' ELSE 'failed' END AS status,
+    CASE WHEN skipped THEN 'error' WHEN n = 0 THEN 'info' ELSE severity END AS severity, CASE WHEN skipped THEN 'skipped' ELSE n::VARCHAR END AS observed_value FROM judged)""")
+def skipped_tests(spark, sf_dir):
+    """Tests of models below one whose test failed have no outcome of their own."""
+    from . import graph
+
+    m = Models(raw_tables(spark, sf_dir), AS_OF)
+    models = {r.model: getattr(m, r.model) for r in MODEL_RULES}
+    return C.skip_below(C.run_checks(MODEL_RULES, models, "run-1", AS_OF), graph.ancestors()).select("check_id", "scope", "status", "severity", "observed_value")
+
+
 @query(f"""SELECT * FROM (WITH {_COUNTS} SELECT DATE '2024-02-01' AS quality_date, check_type, scope, count(*) AS check_count, count(*) FILTER (status = 'passed') AS passed_check_count,
   count(*) FILTER (status = 'failed') AS failed_check_count, count(*) FILTER (status = 'warning') AS warning_check_count, count(*) FILTER (status = 'failed' AND severity = 'error') AS error_check_count FROM judged GROUP BY check_type, scope)""")
 def quality_trends(spark, sf_dir):

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import csv
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,8 @@ from ..operators.contracts import CONTRACTS
 from ..operators.validation import ROW
 
 MOST_BYTES, MOST_ROWS = 25 << 20, 250_000
+#: Bytes of a file that one task reads whole, and of a block of a larger one.
+WHOLE, BLOCK = 512 << 20, 64 << 20
 
 
 class BatchError(ValueError):
@@ -131,27 +137,79 @@ def read_batch(spark: SparkSession, folder: str, most_bytes: int | None = MOST_B
     return {s: read_source(spark, f"{folder}/{s}.csv", most_rows=most_rows) for s in CONTRACTS if f"{s}.csv" in found}
 
 
-def file_identity(spark: SparkSession, folder: str, batch_id: str) -> DataFrame:
-    """(source_name, logical_key, checksum, size_bytes, object_key) of each csv file: SHA-256 of its bytes, and a key by content, so
-    that the same bytes land in the same place. Files of over 2 GiB can't be read whole; keep those where they are."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+def _identified(files: DataFrame, batch_id: str) -> list[Column]:
+    """The columns of a file's identity, from its path, length and checksum."""
     name = F.element_at(F.split("path", "/"), -1)
     source = F.regexp_replace(name, r"\.csv$", "")
-    checksum = F.sha2("content", 256)
-    key = F.concat(F.lit("incoming/"), source, F.lit(f"/{batch_id}/"), checksum, F.lit("-"), name)
-    return files.select(source.alias("source_name"), F.concat(source, F.lit(f"/{batch_id}")).alias("logical_key"), checksum.alias("checksum"), F.col("length").alias("size_bytes"), key.alias("object_key"))
-
-
-def land(spark: SparkSession, folder: str, batch_id: str, landing: str) -> DataFrame:
-    """Files of a batch, bytes included, put in a landing table by source and batch; the same content twice is kept once."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    identity = file_identity(spark, folder, batch_id)
-    rows = files.select(F.sha2("content", 256).alias("checksum"), "content").join(identity, "checksum").withColumn("batch_id", F.lit(batch_id)).dropDuplicates(["object_key"])
+    key = F.concat(F.lit("incoming/"), source, F.lit(f"/{batch_id}/"), F.col("checksum"), F.lit("-"), name)
+    return [source.alias("source_name"), F.concat(source, F.lit(f"/{batch_id}")).alias("logical_key"), F.col("checksum"), F.col("length").alias("size_bytes"), key.alias("object_key")]
+
+
+def _hash_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, length) to the digest of those bytes, read by themselves."""
+    for batch in batches:
+        digests = []
+        for path, start, length in zip(*(batch.column(n).to_pylist() for n in ("path", "start", "size")), strict=True):
+            store, inner = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_file(inner) as f:
+                f.seek(start)
+                while length > 0 and (data := f.read(min(length, 1 << 22))):
+                    digest.update(data)
+                    length -= len(data)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), pa.array(digests, pa.string())], ["path", "start", "digest"])
+
+
+def block_checksums(spark: SparkSession, sizes: dict[str, int], block: int = BLOCK) -> DataFrame:
+    """(path, length, checksum) of files of any size: the SHA-256 of the digests of their blocks, in order, which executors read by
+    ranges, so that no file is ever in one place. Paths are URIs that Arrow's file systems open."""
+    files = spark.createDataFrame(sorted(sizes.items()), "path string, length long")
+    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(block).cast("long"))).alias("start"), "length")
+    blocks = blocks.select("path", "start", F.least(F.lit(block), F.col("length") - F.col("start")).alias("size")).repartition("path", "start")
+    hashed = blocks.mapInArrow(_hash_blocks, "path string, start long, digest string")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "digest"))), lambda x: x["digest"]), "")
+    return files.join(hashed.groupBy("path").agg(F.concat(F.lit("blocks-"), F.sha2(whole, 256)).alias("checksum")), "path").select("path", "length", "checksum")
+
+
+def _split_by_size(spark: SparkSession, folder: str, most: int) -> tuple[list[str], dict[str, int]]:
+    found = {f"{folder.rstrip('/')}/{n}": s for n, s in sorted(_list(spark, folder).items()) if n.endswith(".csv")}
+    return [p for p, s in found.items() if s <= most], {p: s for p, s in found.items() if s > most}
+
+
+def file_identity(spark: SparkSession, folder: str, batch_id: str, most: int = WHOLE) -> DataFrame:
+    """(source_name, logical_key, checksum, size_bytes, object_key) of each csv file: SHA-256 of its bytes, and a key by content, so
+    that the same bytes land in the same place. Files of more than `most` bytes are told by their blocks (`block_checksums`)."""
+    small, large = _split_by_size(spark, folder, most)
+    parts = []
+    if small:
+        parts.append(spark.read.format("binaryFile").load(small).select("path", "length", F.sha2("content", 256).alias("checksum")))
+    if large:
+        parts.append(block_checksums(spark, large))
+    if not parts:
+        parts.append(spark.createDataFrame([], "path string, length long, checksum string"))
+    files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return files.select(*_identified(files, batch_id))
+
+
+def land(spark: SparkSession, folder: str, batch_id: str, landing: str, most: int = WHOLE) -> DataFrame:
+    """Files of a batch, bytes included, put in a landing table by source and batch before anything is parsed; the same content twice is
+    kept once. Files of more than `most` bytes stay where they are: their row has their path instead of bytes. Gives their identity."""
+    small, large = _split_by_size(spark, folder, most)
+    parts = []
+    if small:
+        parts.append(spark.read.format("binaryFile").load(small).select("path", "length", F.sha2("content", 256).alias("checksum"), "content"))
+    if large:
+        parts.append(block_checksums(spark, large).withColumn("content", F.lit(None).cast("binary")))
+    if not parts:
+        return file_identity(spark, folder, batch_id, most)
+    files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = files.select(*_identified(files, batch_id), F.lit(batch_id).alias("batch_id"), F.when(F.col("content").isNull(), F.col("path")).alias("kept_at"), "content").dropDuplicates(["object_key"])
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(landing)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         rows = rows.join(spark.read.parquet(landing).select("object_key"), "object_key", "left_anti")
     rows.write.mode("append").partitionBy("source_name", "batch_id").parquet(landing)
-    return identity
+    return file_identity(spark, folder, batch_id, most)
 
 
 def export_csv(tables: dict[str, DataFrame], folder: str) -> DataFrame:

@@ -68,12 +68,12 @@ def stage_files(store: Store, source: str, paths: list[str], stream: str, epoch:
                     read.append((header, [p], read_files(spark, header, [p])))
                 except BatchError:
                     failed.append(p)
-    parents = {fk.parent: df for fk in contract.foreign_keys if (df := store.read(f"raw_{fk.parent}")) is not None}
+    parents = {p: df for p in contract.parents.values() if (df := store.read(f"raw_{p}")) is not None}
     checked = []
     for header, own, rows in read:
         for p in own:  # keys repeat within a file
             judged = validate(rows.filter(F.col("_file") == p).drop("_file"), contract, as_of, header)
-            if len(parents) == len(contract.foreign_keys):
+            if len(parents) == len(contract.parents):
                 judged = with_parents(judged, contract, parents)
             checked.append(judged.withColumn("_path", F.lit(p)).withColumn("_order", F.lit(new.index(p))))
             drifts.append(drift_of(contract, header))

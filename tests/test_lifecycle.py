@@ -1,5 +1,6 @@
 """Files to tables: healthy, replay, incident, recovery; and files that aren't a batch."""
 
+import hashlib
 import os
 
 import pytest
@@ -64,7 +65,9 @@ def test_lifecycle(spark, tmp_path):
     worse = run_batch(spark, store, write(tmp_path / "bad", bad, headers), "2024-02-01-incremental-incident", "run-3", NOW)
     assert (worse.status, worse.accepted, worse.quarantined, worse.skipped) == ("failed", 4, 3, 7)
     failed = {r[0] for r in store.read("quality_results").filter("run_id = 'run-3' and status = 'failed'").select("check_id").collect()}
-    assert failed == {"schema:maintenance_work_orders", "plan_overrun:fct_production_output.actual_quantity"}
+    below = {"not_null:factory_performance.factory_id", "unique:factory_performance.factory_id", "non_negative:factory_performance.unplanned_downtime_hours"}
+    assert failed == {"schema:maintenance_work_orders", "plan_overrun:fct_production_output.actual_quantity"} | below  # those below are skipped
+    assert {r["observed_value"] for r in store.read("quality_results").filter("run_id = 'run-3' and scope = 'factory_performance'").collect()} == {"skipped"}
     assert store.read("raw_maintenance_work_orders").count() == 1  # as before
     codes = {r[0] for r in store.read("quarantine").selectExpr("explode(reasons.code)").collect()}
     assert codes == {"duplicate_identifier", "out_of_range", "missing_required_column"}
@@ -76,7 +79,7 @@ def test_lifecycle(spark, tmp_path):
     assert [r[0] for r in store.read("pipeline_runs").orderBy("run_id").select("status").collect()] == ["healthy", "healthy", "failed", "healthy"]
     # every check of every run is there; the run's own row is final
     ended = {r["run_id"]: r for r in store.read("pipeline_runs").collect()}
-    assert ended["run-3"]["source_row_count"] == 7 and ended["run-3"]["finished_at"] is not None and ended["run-3"]["failed_checks"] == 2
+    assert ended["run-3"]["source_row_count"] == 7 and ended["run-3"]["finished_at"] is not None and ended["run-3"]["failed_checks"] == 5
     kinds = {r[0]: r[1] for r in store.read("quality_results").filter("run_id = 'run-4'").groupBy("check_type").count().collect()}
     assert kinds["model_test"] == 174 and kinds["freshness"] == 10 and kinds["volume"] == 1
     assert {r[0] for r in store.read("pipeline_stages").filter("run_id = 'run-4' and duration_seconds >= 0").select("stage_name").collect()} == {"register", "load", "build", "check"}
@@ -257,6 +260,28 @@ def test_stream(spark, tmp_path):
     assert store.read("source_files").count() == 5 and len(read()) == 4
 
 
+def test_identity_of_large_files(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        with open(tmp_path / name / "machines.csv", "wb") as f:
+            f.truncate(3 << 30)  # sparse
+            f.seek(1 << 30)
+            f.write(b"x")
+    with open(tmp_path / "two" / "shifts.csv", "wb") as f:
+        f.truncate(3 << 30)
+    small = write(tmp_path / "small", {"factories": ROWS["factories"]})
+    get = lambda d, **more: {r["source_name"]: (r["checksum"], r["size_bytes"], r["object_key"]) for r in csv_batch.file_identity(spark, d, "b", **more).collect()}
+    one, two = get(f"file://{tmp_path}/one"), get(f"file://{tmp_path}/two")
+    assert one["machines"] == two["machines"] and one["machines"][0] != two["shifts"][0] and one["machines"][1] == 3 << 30
+    whole, blocks = get(small)["factories"], get(small, most=10)["factories"]
+    data = (tmp_path / "small" / "factories.csv").read_bytes()
+    assert whole[0] == hashlib.sha256(data).hexdigest() and blocks[0] == "blocks-" + hashlib.sha256(hashlib.sha256(data).hexdigest().encode()).hexdigest()
+    landing = f"file://{tmp_path}/kept"
+    csv_batch.land(spark, small, "b", landing, most=10)
+    csv_batch.land(spark, small, "b", landing)
+    assert sorted((r["content"] is None, r["kept_at"] is None) for r in spark.read.parquet(landing).collect()) == [(False, True), (True, False)]
+
+
 def test_files_of_a_folder_have_their_own_headers(spark, tmp_path):
     folder = tmp_path / "mixed"
     folder.mkdir()

@@ -138,6 +138,20 @@ def test_logs_are_compacted_when_due(spark, store):
     assert rows(store.read("t")) == [(k,) for k in sorted(range(11), key=lambda k: str((k,)))]
 
 
+def test_a_search_for_keys_leaves_files_alone(spark, store):
+    clock = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("n") % 5 * 86_400).cast("timestamp_ntz").alias("t")
+    df = spark.range(20_000).select(F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("k")).select("k", "n", clock)
+    store.publish(store.stage_merge("t", df, day("t"), lambda old, new: new, keys=["k"]))
+    entry = store.manifest()["t"]
+    wanted = df.filter("n in (7, 12, 17)")  # all of one day
+    found = store.find(entry, entry["parts"], "k", wanted.unionByName(spark.createDataFrame([("absent", -1, None)], wanted.schema)))
+    assert sorted(r.n for r in found.collect()) == [7, 12, 17]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert 0 < scan.metrics().apply("numOutputRows").value() <= 4_000  # of five files, one was read
+    many = store.find(entry, entry["parts"], "k", df.filter("n < 10500"))
+    assert many.count() == 10_500
+
+
 def test_a_broken_commit_is_not_seen(spark, store, monkeypatch):
     store.commit({"t": spark.range(1)})
     staged = store.stage({"t": spark.range(2)}) | store.stage_rows("l", spark.range(3), ["id"])
