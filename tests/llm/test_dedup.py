@@ -212,6 +212,25 @@ def test_similar_texts(spark, documents, real):
     assert len(finer) == len(usual) and len({r[-1] for r in finer}) == len({r[-1] for r in usual})
 
 
+def test_similar_texts_of_one_template(spark, documents):
+    """Texts of one template share most bands, so that buckets hold far more than SMALL classes: what a spanning forest of candidates
+    misses stays below one in ten."""
+    rng = random.Random(8)
+    template = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(400):
+        words = [f"v{k}x{i}" if rng.random() < 0.12 else w for i, w in enumerate(template)]
+        texts.append(" ".join(words))
+        if k % 2:
+            at = rng.randrange(140)
+            texts.append(" ".join([*words[:at], f"n{k}", *words[at + 1 :]]))  # a near copy of its own
+    expected = similar_classes(texts)
+    pairs = [(k, c) for k, c in expected.items() if k != c]
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(*((k, t, "en", "s") for k, t in enumerate(texts)))).collect()}
+    assert len(pairs) >= 200 and {c for c in expected.values()} <= kept  # no first one of a group goes
+    assert sum(k not in kept for k, _ in pairs) >= 0.9 * len(pairs)
+
+
 def test_large_groups_are_one_tree():
     rng = np.random.default_rng(5)
     one = rng.integers(0, 1 << 63, simhash.WIDE, dtype=np.uint64)

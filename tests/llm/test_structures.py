@@ -1,12 +1,10 @@
 """Operators 11 to 13 against brute force, an exact round trip, and their SQL."""
 
 import hashlib
-import os
 import random
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,15 +31,6 @@ def test_numbered(spark):
     assert numbered(df.limit(0), *order).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_merkle_manifest"])
-def test_sql(spark, small, name):
-    con = duckdb.connect()
-    for f in os.listdir(small):
-        con.sql(f"create view {f.split('.')[0]} as select * from '{small}/{f}'")
-    expected = con.sql(queries.oracle_sql()[name])
-    same(queries.queries()[name](spark, small).select(*expected.columns).collect(), expected.fetchall())
-
-
 # packing
 
 
