@@ -417,8 +417,38 @@ class Store:
                     raise
         raise AssertionError
 
+    def vacuum(self, keep: int = 10, age: float = 7 * 86_400.0) -> list[str]:
+        """Deletes the folders that none of the newest `keep` manifests names, and the older manifests; gives the folders' names. Only
+        what is older than `age` seconds goes, so that what other commits have staged stays."""
+        version = self.version()
+        kept = set()
+        for v in range(max(1, version - keep + 1), version + 1):
+            kept |= {p["at"].split("/")[2] for e in self.manifest(v).values() for p in self._pieces(e) if p["at"]}
+        old = self._now() - age
+        gone = []
+        tables = self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []
+        for table in tables:
+            for folder in self._fs.listStatus(table.getPath()):
+                name = folder.getPath().getName()
+                if name not in kept and folder.getModificationTime() / 1000 <= old:
+                    self._fs.delete(folder.getPath(), True)
+                    gone.append(f"data/{table.getPath().getName()}/{name}")
+        for v in range(1, version - keep + 1):
+            path = self._path(f"manifests/{v:012d}.json")
+            if self._fs.exists(path) and self._fs.getFileStatus(path).getModificationTime() / 1000 <= old:
+                self._fs.delete(path, False)
+        return gone
+
     # signs of life
 
+    def _now(self) -> float:
+        """The time by the store's own clock."""
+        probe = f"leases/.{uuid.uuid4().hex}"
+        self._write(probe, "")
+        now = self._modified(probe)
+        self._fs.delete(self._path(probe), False)
+        return now
+
     def _modified(self, name: str) -> float | None:
         path = self._path(name)
         return self._fs.getFileStatus(path).getModificationTime() / 1000 if self._fs.exists(path) else None
@@ -426,13 +456,7 @@ class Store:
     def alive(self, run_id: str) -> bool:
         """Whether a run has given a sign of life lately, by the store's own clock."""
         seen = self._modified(f"leases/{run_id}")
-        if seen is None:
-            return False
-        probe = f"leases/.{uuid.uuid4().hex}"
-        self._write(probe, "")
-        now = self._modified(probe)
-        self._fs.delete(self._path(probe), False)
-        return now - seen < DEAD
+        return seen is not None and self._now() - seen < DEAD
 
     @contextmanager
     def lease(self, run_id: str, beat: float = BEAT) -> Iterator[None]:

@@ -139,6 +139,26 @@ def test_a_broken_run_is_told_and_its_files_come_again(spark, tmp_path, monkeypa
     assert len(files) == 10 and {r["status"] for r in files} == {"loaded"} and {r["file_id"].split("-")[1] for r in files} == {"1"}  # under their old ids
 
 
+def test_a_run_that_was_overtaken_is_made_again(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    folder = write(tmp_path / "good", ROWS)
+    real, other = Store.publish, []
+
+    def publish(self, staged):
+        if "data_quality_trends" in staged and not other:  # another run ends first, with rows of its own
+            other.append(1)
+            row = self.read("pipeline_runs").withColumn("run_id", F.lit("run-0")).withColumn("status", F.lit("healthy"))
+            real(self, self.stage({"data_quality_trends": spark.range(1)}) | self.stage_rows("pipeline_runs", row, ["run_id"]))
+        return real(self, staged)
+
+    monkeypatch.setattr(Store, "publish", publish)
+    out = run_batch(spark, store, folder, "2024-01-31-historical-clean", "run-1", NOW, build=False)
+    assert out.accepted == 12 and other == [1]
+    assert {r["run_id"]: r["status"] for r in store.read("pipeline_runs").collect()} == {"run-0": "healthy", "run-1": "degraded"}
+    assert store.read("raw_machine_telemetry").count() == 3 and "quality_date" in store.read("data_quality_trends").columns
+    assert {r["status"] for r in store.read("source_files").collect()} == {"loaded"} and store.read("source_files").count() == 10
+
+
 def test_checks_keep_their_names_and_outcomes_are_mapped(spark):
     columns = "check_id string, run_id string, check_name string, check_type string, scope string, status string, severity string, observed_value string, expected string, evidence string, occurred_at timestamp_ntz"
     old = spark.createDataFrame([("c", "r", "name", "kind", "s", "failed", "error", "3", "0", None, None)], columns)

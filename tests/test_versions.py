@@ -138,6 +138,19 @@ def test_logs_are_compacted_when_due(spark, store):
     assert rows(store.read("t")) == [(k,) for k in sorted(range(11), key=lambda k: str((k,)))]
 
 
+def test_vacuum_keeps_what_is_named_or_young(spark, store):
+    for n in range(4):
+        store.commit({"t": spark.range(n)})
+    store.publish(store.stage_rows("l", spark.range(3), ["id"]))
+    store.compact(force=True)
+    staged = store.stage({"t": spark.range(9)})
+    assert store.vacuum(keep=2) == []  # nothing is a week old
+    gone = store.vacuum(keep=2, age=0)
+    assert len(gone) == 4 and staged["t"]["entry"]["whole"]["at"] in gone  # three versions of t, and what was staged: age 0 says it isn't needed
+    assert store.read("t").count() == 3 and store.read("l").count() == 3 and store.read("t", store.version() - 1).count() == 3
+    assert store.manifest(store.version() - 1) and not store._fs.exists(store._path("manifests/000000000001.json"))
+
+
 def test_a_search_for_keys_leaves_files_alone(spark, store):
     clock = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("n") % 5 * 86_400).cast("timestamp_ntz").alias("t")
     df = spark.range(20_000).select(F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("k")).select("k", "n", clock)
