@@ -148,7 +148,8 @@ def subtree_totals(tree: DataFrame, steps: DataFrame, columns: list[str], limit:
     steps: (m, d, c, pc), the node and its parent of member m at depth d; every node is a step of its own c."""
     sums = [f"{n}_sum" for n in columns]
     root = tree.filter("d = 0").select("c").first()  # one row, or none of an empty tree
-    top = F.struct(F.lit(root and root[0]).cast("long").alias("c"), F.lit(0).cast("long").alias("d")).alias("top")
+    # no node is before the root; as a column of rows, not a constant, it is a key of joins
+    top = F.struct(F.least("c", F.lit(root and root[0]).cast("long")).alias("c"), F.least("d", F.lit(0).cast("long")).alias("d")).alias("top")
     state = tree.select("c", "d", "pc", "weight", *columns, *(F.lit(0).cast("long").alias(s) for s in sums), top)
     small, done = [], []
     while True:
