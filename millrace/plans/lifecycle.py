@@ -120,11 +120,11 @@ def begin(store: Store, files: DataFrame, batch_id: str, run_id: str, as_of: str
     return out[0]
 
 
-def stage_telemetry(store: Store, m: Models, as_of: str, lookback_hours: int, start: str | None, end: str | None, batch_id: str | None) -> Staged:
+def stage_telemetry(store: Store, m: Models, lookback_hours: int, start: str | None, end: str | None) -> Staged:
     """Telemetry from the lookback (or of [start, end)) in place of its days, and the daily facts of the days that changed.
 
-    The lookback's bound comes from the store's zones. A reading of this batch may replace one of another day: such are looked for by
-    their ids in the days that aren't merged anyway."""
+    The lookback's bound comes from the store's zones. A reading that is new to its day, or another version of what is stored there, may
+    replace one of another day: such are looked for by their ids in the days that aren't merged anyway."""
     entry = store.manifest().get("int_machine_telemetry")
     known = store.bounds(entry, "event_timestamp")
     rows = m.telemetry_rows(incremental_slice(m.stg("machine_telemetry"), "event_timestamp", None, lookback_hours, start, end, known and known[1])).persist()
@@ -132,8 +132,9 @@ def stage_telemetry(store: Store, m: Models, as_of: str, lookback_hours: int, st
     if entry:
         own = {r[0] for r in rows.select(day("event_timestamp")).distinct().collect()}  # days
         others = [k for k in entry["parts"] if k not in own]
-        fresh = rows if batch_id is None else rows.filter(F.col("_batch_id") == batch_id)
         if others:
+            same = store.open_parts(entry, own).select("telemetry_id", "_record_checksum")
+            fresh = rows.join(same, ["telemetry_id", "_record_checksum"], "left_anti")
             moved = store.find(entry, others, "telemetry_id", fresh)
             also = {r[0] for r in moved.select(day("event_timestamp")).distinct().collect()}
     staged = store.stage_merge("int_machine_telemetry", rows, day("event_timestamp"), lambda old, new: delete_insert(old, new, "telemetry_id"), also, ["telemetry_id"])
@@ -146,11 +147,11 @@ def stage_telemetry(store: Store, m: Models, as_of: str, lookback_hours: int, st
     return staged
 
 
-def build_models(store: Store, staged: Staged, raw: dict[str, DataFrame], as_of: str, lookback_hours: int = 48, start: str | None = None, end: str | None = None, batch_id: str | None = None) -> tuple[dict[str, DataFrame], Staged]:
+def build_models(store: Store, staged: Staged, raw: dict[str, DataFrame], as_of: str, lookback_hours: int = 48, start: str | None = None, end: str | None = None) -> tuple[dict[str, DataFrame], Staged]:
     """All models by name, and what was staged of them: telemetry and its daily facts by days, the versions of machines that the run
     adds or ends, and every table model whole."""
     m = Models(raw, as_of, _stored(store, "quality_results", CHECKS))
-    staged = staged | stage_telemetry(store, m, as_of, lookback_hours, start, end, batch_id)
+    staged = staged | stage_telemetry(store, m, lookback_hours, start, end)
     changes = scd2_changes(store.read("machine_history"), m.stg("machines").select(*STAGING["machines"]), "machine_id", "updated_at", as_of)
     staged |= store.stage_rows("machine_history", changes, ["machine_id", "valid_from"])
     models = {f"raw_{s}": raw[s] for s in STAGING} | {f"stg_{s}": m.stg(s) for s in STAGING} | {"machine_history": store.open(staged["machine_history"])}
@@ -256,7 +257,7 @@ def _run(spark: SparkSession, store: Store, folder: str, batch_id: str, run_id:
         staged |= store.stage_rows("schema_changes", drifts, [])
     raw = current_sources(store, staged, held)
     if build and all(df is not None for df in raw.values()):
-        models, staged = build_models(store, staged, raw, as_of, batch_id=batch_id)
+        models, staged = build_models(store, staged, raw, as_of)
         start = stages("build", start)
         checks += [C.skip_below(C.run_checks(graph.rules(), models, run_id, as_of), graph.ancestors()), C.freshness_checks(models["data_freshness"], run_id, as_of)]
         if "raw_machine_telemetry" in staged:

@@ -114,6 +114,14 @@ def test_two_batches_keep_history_and_increments(spark, tmp_path, monkeypatch):
     assert built == {"TEL-001": 33.0, "TEL-002": 20.5, "TEL-003": 20.5, "TEL-101": 21.0}
     versions = sorted((r["status"], r["valid_to"] is None) for r in store.read("machine_history").collect())
     assert versions == [("active", False), ("retired", True)]
+    # a reading that moves to another day, in a run that builds nothing, leaves its old day with the next run that does
+    moved = ["TEL-101,MCH-001,2024-01-31T20:00:00Z,21,1,3,9,running,2024-02-01T11:00:00Z"]
+    run_batch(spark, store, write(tmp_path / "moved", {"machine_telemetry": moved, **{k: v for k, v in rows.items() if k != "machine_telemetry"}}), "2024-02-01-incremental-late", "run-3", "2024-02-01 13:00:00", build=False)
+    more = ["TEL-103,MCH-001,2024-01-31T21:00:00Z,21,1,3,9,running,2024-02-01T11:00:00Z"]
+    run_batch(spark, store, write(tmp_path / "more", {"machine_telemetry": more, **{k: v for k, v in rows.items() if k != "machine_telemetry"}}), "2024-02-01-incremental-more", "run-4", "2024-02-01 14:00:00")
+    built = sorted((r["telemetry_id"], str(r["event_timestamp"])[:10]) for r in store.read("int_machine_telemetry").collect())
+    assert built == [("TEL-001", "2024-01-31"), ("TEL-002", "2024-01-31"), ("TEL-003", "2024-01-31"), ("TEL-101", "2024-01-31"), ("TEL-103", "2024-01-31")]
+    assert set(store.manifest()["fct_machine_telemetry_daily"]["parts"]) == {"2024-01-31"} and store.read("fct_machine_telemetry_daily").first()["sample_count"] == 5
     # a backfill brings it in, day by day
     assert [d for d, _ in backfill(store, "2023-12-01", "2023-12-01", "2024-02-01 12:00:00")] == ["2023-12-01"]
     assert store.read("int_machine_telemetry").filter("telemetry_id = 'TEL-102'").count() == 1
