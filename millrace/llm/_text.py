@@ -138,14 +138,15 @@ def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return mix(h)
 
 
-def sliding_argmin(order: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first smallest of each `width` consecutive values (their upper 36 bits decide)."""
+def sliding_argmin(order: np.ndarray, width: int, most: int = (1 << 28) - 1) -> np.ndarray:
+    """Place of the first smallest of each `width` consecutive values (their upper 36 bits decide); over `most` places go in halves."""
     n = len(order)
     if n < width:
         return np.zeros(0, np.int64)
     low = np.uint64((1 << 28) - 1)
-    if n > int(low):
-        raise ValueError("a step of more than 2 ** 28 places")
+    if n > max(most, width):
+        half = (n - width + 1) // 2
+        return np.concatenate([sliding_argmin(order[: half + width - 1], width, most), sliding_argmin(order[half:], width, most) + half])
     key = (order & ~low) | np.arange(n, dtype=np.uint64)
     pad = -n % width
     if pad:

@@ -10,6 +10,7 @@ statistic reaches the window are marked, and then the document itself is added.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,19 +79,70 @@ class SuffixAutomaton:
         return out
 
 
-def _shard(width: int):
-    """Stretches sorted by anchor and document to spans of windows that a document of a smaller id holds."""
+#: Of a stretch: id, hash of the text, anchor, first and last window, content.
+Row = tuple[int, int, int, int, int, bytes]
+
+
+def _shared(rows: list[Row], width: int) -> list[Row]:
+    """The stretches of one anchor, without windows that no other text of theirs holds. What stands around a common passage is
+    each document's own; without it the stretches at the passage's ends are the same again, and the automaton stays small."""
+    texts = list(dict.fromkeys(r[5] for r in rows))
+    size = np.array([len(c) for c in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts, ends, at = T.word_bounds(data, np.append(0, np.cumsum(size)))
+    windows = T.gram_hashes(T.word_hashes(data, starts, ends), width)
+    own = np.arange(len(windows)) + width <= np.repeat(at[1:], np.diff(at))[: len(windows)]
+    _, kind, n = np.unique(windows[own], return_inverse=True, return_counts=True)
+    again = np.zeros(len(starts), bool)
+    again[np.flatnonzero(own)] = n[kind] > 1
+    begin, end = starts.tolist(), ends.tolist()
+    buf = data.tobytes()
+    parts = {c: [(i, j - 1, buf[begin[at[k] + i] : end[at[k] + j + width - 2]]) for i, j in T.runs(again[at[k] : at[k + 1]]).tolist()] for k, c in enumerate(texts)}
+    many = Counter(r[5] for r in rows)
+    out = []
+    for doc, h, a, first, last, content in rows:
+        if many[content] > 1:  # all its windows are another document's too
+            out.append((doc, h, a, first, last, content))
+        else:
+            out += [(doc, h, a, first + i, first + j, c) for i, j, c in parts[content]]
+    return out
+
+
+def _shard(width: int, many: int = 256):
+    """Stretches sorted by anchor and document to spans of windows that a document of a smaller id holds. An anchor with more than
+    `many` stretches is read whole first, and only what its stretches share goes through the automaton."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Row]]:
+        rows: list[Row] = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if rows and rows[-1][2] != row[2]:
+                    yield rows
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield rows
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Row]]:
+        """Whole anchors, some thousand rows at a time."""
+        part: list[Row] = []
+        for rows in anchors(batches):
+            part += _shared(rows, width) if len(rows) > many else rows
+            if len(part) >= 10_000:
+                yield part
+                part = []
+        if part:
+            yield part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor: int | None = None
-        seen: dict[bytes, int] = {}
-        waiting: list[tuple[int, bytes]] = []  # what was seen but isn't in the automaton yet, from `added` on
-        added = 0
-        auto: SuffixAutomaton | None = None
-        for batch in batches:
+        for part in parts(batches):
+            anchor: int | None = None
+            seen: dict[bytes, int] = {}
+            waiting: list[tuple[int, bytes]] = []  # what was seen but isn't in the automaton yet, from `added` on
+            added = 0
+            auto: SuffixAutomaton | None = None
             ids, hs, firsts, lasts = [], [], [], []
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for doc, h, a, first, last, content in zip(*cols, strict=True):
+            for doc, h, a, first, last, content in part:
                 if a != anchor:
                     anchor, seen, waiting, added, auto = a, {}, [], 0, None
                 before = seen.get(content)
@@ -169,11 +221,10 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, n_words, n_removed, kept_sha256, kept) for each row of docs: its words without those covered by a window of
     `width` words that also starts in a document of a smaller id.
 
-    Null and empty texts have no words. A null id counts as the largest id and comes back null. Rows that share an id never
+    Null and empty texts have no words. A null id counts as the largest id, 2^63 - 1, and comes back null. Rows that share an id never
     remove each other's words. Other columns of docs are ignored. An empty table gives an empty result."""
     w = Windows("word", width, min(5, width), True, hot)
-    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col)).drop("row")
-    spans = repeated_windows(base, w, _shard(width))
-    out = base.join(spans, ["_id", "_h"], "left").select("_id", "text", "spans")
-    kept = out.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col)).select("_id", "_h", "text", F.col("row")[id_col].cast("long").alias("own"))
+    spans = repeated_windows(base.drop("own"), w, _shard(width))
+    out = base.join(spans, ["_id", "_h"], "left").select("own", "text", "spans")
+    return out.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

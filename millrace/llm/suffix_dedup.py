@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from ._windows import Windows, ids_repeat, keyed, repeated_windows
 
 #: Bytes of a digit.
 DIGIT = 50
+#: Suffixes that are ordered at once, about 100 bytes of memory each.
+PASS = 1 << 20
 
 
 def _digits(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -58,10 +61,64 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width:
     return out
 
 
-def _shard(width: int, most: int = 1 << 19):
+#: Of a stretch: id, hash of the text, anchor, first and last window, content.
+Row = tuple[int, int, int, int, int, bytes]
+
+
+def _anchor_at(content: bytes, anchor: int, gram: int) -> int:
+    """Where the gram that hashes to `anchor` first stands."""
+    data = np.frombuffer(content, np.uint8)
+    at = np.arange(len(data) - gram + 1)
+    return int(np.flatnonzero(T.range_hashes(T.BYTE_VALUES[0][data], at, at + gram, T.BASES[0]).view(np.int64) == anchor)[0])
+
+
+def _passes(rows: list[Row], width: int, gram: int, most: int) -> Iterator[list[Row]]:
+    """rows, sorted by anchor, in parts that may be ordered one after the other, of about `most` suffixes each.
+
+    Equal windows have their anchor at the same offset, so an anchor of more suffixes is cut by ranges of that offset: each stretch
+    gives a part its windows of the range, and equal ones merge again there."""
+    if sum(len(r[5]) for r in rows) <= most:
+        yield rows
+        return
+    kinds: dict[int, set[bytes]] = {}
+    for r in rows:
+        kinds.setdefault(r[2], set()).add(r[5])
+    suffixes = {a: sum(len(c) - width + 1 for c in cs) for a, cs in kinds.items()}
+    few = [r for r in rows if suffixes[r[2]] <= most]
+    part: list[Row] = []
+    held = 0
+    for _, own in groupby(few, lambda r: r[2]):
+        group = list(own)
+        n = suffixes[group[0][2]]
+        if part and held + n > most:
+            yield part
+            part, held = [], 0
+        part += group
+        held += n
+    if part:
+        yield part
+    for a, cs in kinds.items():
+        if suffixes[a] <= most:
+            continue
+        known = next(iter(cs))
+        at = _anchor_at(known, a, gram)
+        word = known[at : at + gram]
+        place = {c: p if (p := c.find(word)) >= 0 else _anchor_at(c, a, gram) for c in cs}
+        own = [r for r in rows if r[2] == a]
+        step = max(1, most // len(cs))
+        for low in range(0, width - gram + 1, step):
+            cut = []
+            for doc, h, _, first, last, content in own:
+                i, j = max(0, place[content] - low - step + 1), min(last - first, place[content] - low)
+                if i <= j:
+                    cut.append((doc, h, a, first + i, first + j, content[i : j + width]))
+            yield cut
+
+
+def _shard(width: int, gram: int, most: int = 1 << 19, ordered: int = PASS):
     """Stretches sorted by anchor to spans of windows that occur twice or more."""
 
-    def solve(rows: list[tuple[int, int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    def solve(rows: list[Row]) -> list[tuple[int, int, int, int]]:
         count: dict[tuple[int, bytes], int] = {}
         kinds: dict[int, int] = {}
         for r in rows:
@@ -99,17 +156,17 @@ def _shard(width: int, most: int = 1 << 19):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, int, int, bytes]] = []
+        rows: list[Row] = []
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if size >= most and row[2] != rows[-1][2]:
-                    yield batch_of(solve(rows))
+                    yield from map(batch_of, map(solve, _passes(rows, width, gram, ordered)))
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[5])
         if rows:
-            yield batch_of(solve(rows))
+            yield from map(batch_of, map(solve, _passes(rows, width, gram, ordered)))
 
     return run
 
@@ -176,19 +233,20 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     string of `width` bytes that also starts anywhere else, in the same row included. `kept` is text, in which a character stays
     whole if any of its bytes does.
 
-    Null and empty texts are empty. Null ids are kept. Repeated rows count as separate occurrences, so that their long texts go
+    Null and empty texts are empty. Null ids are kept, and so is the largest one, 2^63 - 1. Repeated rows count as separate occurrences, so that their long texts go
     from all of them. Other columns of docs are ignored. An empty table gives an empty result."""
-    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col)).drop("row")
-    spans = repeated_windows(base, _windows(width, hot), _shard(width))
-    out = base.join(spans, ["_id", "_h"], "left").select("_id", "text", "spans")
-    kept = out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return kept.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col)).select("_id", "_h", "text", F.col("row")[id_col].cast("long").alias("own"))
+    w = _windows(width, hot)
+    spans = repeated_windows(base.drop("own"), w, _shard(width, w.gram))
+    out = base.join(spans, ["_id", "_h"], "left").select("own", "text", "spans")
+    return out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, hot: int = 50_000) -> DataFrame:
     """The rows of docs, other columns as they are whatever their names, with what `remove_repeated_bytes` keeps of their texts; null
     texts stay null."""
     base = keyed(docs, id_col, text_col, ids_repeat(docs, id_col))
-    spans = repeated_windows(base.select("_id", "_h", "text"), _windows(width, hot), _shard(width))
+    w = _windows(width, hot)
+    spans = repeated_windows(base.select("_id", "_h", "text"), w, _shard(width, w.gram))
     out = base.join(spans, ["_id", "_h"], "left").select(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)), "spans")
     return out.mapInArrow(_rewrite(width, docs.columns.index(text_col), docs.columns), docs.schema)

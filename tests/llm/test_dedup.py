@@ -6,17 +6,19 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from millrace.llm import simhash
-from millrace.llm._text import STEP_BYTES, runs, sliding_argmin, word_bounds
+from millrace.llm import simhash, substring_dedup, suffix_dedup
+from millrace.llm._text import STEP_BYTES, runs, sliding_argmin, text_bytes, word_bounds
+from millrace.llm._windows import Windows, stretches
 from millrace.llm.components import components
 from millrace.llm.substring_dedup import SuffixAutomaton, remove_repeated_words
 from millrace.llm.suffix_dedup import radix_groups, remove_repeated_bytes, without_repeated_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BIG = 1 << 62
+BIG = (1 << 63) - 1  # what a null id counts as
 
 
 def sha(b):
@@ -63,7 +65,7 @@ def odd_rows():
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
     shared = [prose(40) for _ in range(3)]
     rows = [(i, f"{prose(rng.randrange(30))}\t{rng.choice(shared)}\n{prose(rng.randrange(30))}") for i in range(60)]
-    rows += [(100, None), (101, ""), (102, " \n\t"), (103, "a"), (None, shared[0]), (7, rows[7][1]), (8, "other text of a known id " + shared[1]), (104, prose(4000)), (105, "be " * 300), (106, " x y")]
+    rows += [(100, None), (101, ""), (102, " \n\t"), (103, "a"), (None, shared[0]), (BIG, "last " + shared[1]), (7, rows[7][1]), (8, "other text of a known id " + shared[1]), (104, prose(4000)), (105, "be " * 300), (106, " x y")]
     return rows
 
 
@@ -98,6 +100,78 @@ def test_texts_of_one_id_stay_apart(spark, documents, key):
     assert b in {r.text for r in without_repeated_bytes(documents(*rows), width=40).collect()}
 
 
+def of_one_passage(rng, n):
+    """n texts with one passage each, their own words around it, some of them alike or with a word changed."""
+    words = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(60)]
+    out = []
+    for i in range(n):
+        p = passage[rng.randrange(10) :]
+        if i % 5 == 0:
+            p = [*p[:30], rng.choice(words), *p[31:]]
+        own = [rng.choice(words) for _ in range(rng.randrange(12))]
+        out.append((i, " ".join([*own, *p, *own[:4]]) if i % 7 else out[-1][1] if out else ""))
+    return out
+
+
+def shard_spans(rows, w, shard):
+    """What a task of one shard gives for all stretches of rows, without Spark."""
+    data, offsets = text_bytes(pa.array([t for _, t in rows]))
+    s = stretches(data, offsets, w)
+    buf = data.tobytes()
+    content = [b" ".join(buf[x:y].split()) if w.unit == "word" else buf[x:y] for x, y in zip(s.byte_start.tolist(), s.byte_end.tolist(), strict=True)]
+    got = sorted(zip(s.anchor.tolist(), [rows[r][0] for r in s.row], [0] * len(s.row), s.first.tolist(), s.last.tolist(), content, strict=True))
+    cols = [[r[i] for r in got] for i in (1, 2, 0, 3, 4, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_id", "_h", "anchor", "first", "last", "content"])
+    out = set()
+    for b in shard(iter([batch])):
+        for doc, _, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out |= {(doc, x) for x in range(first, last + 1)}
+    return out
+
+
+@pytest.mark.parametrize("ordered", [1 << 20, 2_000, 60])
+def test_large_anchors_are_ordered_in_passes(ordered):
+    rows = of_one_passage(random.Random(4), 300)
+    data = [(k, t.encode()) for k, t in rows]
+    count = Counter(b[i : i + 60] for _, b in data for i in range(len(b) - 59))
+    expected = {(k, i) for k, b in data for i in range(len(b) - 59) if count[b[i : i + 60]] > 1}
+    w = Windows("byte", 60, 15, False)
+    assert shard_spans(rows, w, suffix_dedup._shard(60, 15, ordered=ordered)) == expected
+
+
+@pytest.mark.parametrize("many", [256, 1])
+def test_large_anchors_share_a_small_automaton(many):
+    rows = of_one_passage(random.Random(5), 400)
+    words = [(k, t.split()) for k, t in rows]
+    first = {}
+    for k, t in words:
+        for i in range(len(t) - 7):
+            first.setdefault(tuple(t[i : i + 8]), k)
+    expected = {(k, i) for k, t in words for i in range(len(t) - 7) if first[tuple(t[i : i + 8])] < k}
+    assert shard_spans(rows, Windows("word", 8, 5, True), substring_dedup._shard(8, many=many)) == expected
+
+
+def test_parts_of_an_anchor_are_bounded():
+    """Stretches of one anchor, each with its own text around it: no pass orders many more suffixes than it may."""
+    rng = random.Random(6)
+    rows = of_one_passage(rng, 300)
+    data, offsets = text_bytes(pa.array([t for _, t in rows]))
+    s = stretches(data, offsets, Windows("byte", 60, 15, False))
+    buf = data.tobytes()
+    got = sorted((a, r, 0, f, e, buf[x:y]) for a, r, f, e, x, y in zip(s.anchor.tolist(), s.row.tolist(), s.first.tolist(), s.last.tolist(), s.byte_start.tolist(), s.byte_end.tolist(), strict=True))
+    got = [(r, h, a, f, e, c) for a, r, h, f, e, c in got]
+    parts = list(suffix_dedup._passes(got, 60, 15, 500))
+    assert all(sum(len(c) - 59 for c in {(r[2], r[5]): r[5] for r in p}.values()) <= 500 for p in parts)
+    assert sum(r[4] - r[3] + 1 for p in parts for r in p) == sum(r[4] - r[3] + 1 for r in got)
+
+
+def test_argmin_of_long_texts_in_halves():
+    order = np.random.default_rng(2).integers(0, 1 << 63, 5_000).astype(np.uint64)
+    order[1_000:1_200] = order[1_000]
+    assert (sliding_argmin(order, 30, 100) == sliding_argmin(order, 30)).all()
+
+
 def test_real_tables(spark, real):
     rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
     assert sorted(map(tuple, remove_repeated_words(real).drop("kept").collect()), key=str) == words_expected(rows, 13)
