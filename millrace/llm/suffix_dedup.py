@@ -23,7 +23,7 @@ from ._windows import Windows, ids_repeat, keyed, repeated_windows
 #: Bytes of a digit.
 DIGIT = 50
 #: Suffixes that are ordered at once, about 100 bytes of memory each.
-PASS = 1 << 20
+PASS = 1 << 21
 
 
 def _digits(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
