@@ -104,11 +104,14 @@ class Models:
             .drop("_before")
         )
 
-    @cached_property
-    def int_inspection_defects(self) -> DataFrame:
-        defects = self.stg("product_defects").groupBy("quality_inspection_id").agg(
+    def _defects(self) -> DataFrame:
+        return self.stg("product_defects").groupBy("quality_inspection_id").agg(
             F.sum("defect_count").alias("occurrences"), sum_where(F.col("defect_count"), F.col("severity") == "critical").alias("critical"), F.countDistinct("defect_type").alias("categories")
         )
+
+    @cached_property
+    def int_inspection_defects(self) -> DataFrame:
+        defects = self._defects()
         i = self.stg("quality_inspections").select("quality_inspection_id", "production_order_id", "inspected_at", "sample_size", "passed_units", "failed_units", "result", *KEPT)
         o = self.stg("production_orders").select("production_order_id", "production_line_id")
         line = self.stg("production_lines").select("production_line_id", "factory_id")
@@ -199,27 +202,57 @@ class Models:
             F.max("_ingested_at").alias("latest_ingested_at"),
         )
 
-    @cached_property
-    def factory_performance(self) -> DataFrame:
+    _OUTPUT = ("planned", "actual", "completed", "active")
+    _QUALITY = ("inspected", "failed", "defects", "critical")
+    _DOWN = ("down", "unplanned")
+
+    @staticmethod
+    def _output() -> list[Column]:
         going = F.col("status") != "cancelled"
-        output = self.fct_production_output.groupBy("factory_id").agg(
+        return [
             sum_where(F.col("planned_quantity"), going).alias("planned"),
             F.coalesce(sum_where(F.col("actual_quantity"), going), F.lit(0)).alias("actual"),
             count_where(F.col("status") == "completed").alias("completed"),
             count_where(going).alias("active"),
-        )
+        ]
+
+    @staticmethod
+    def _minutes() -> list[Column]:
+        return [F.sum("downtime_minutes").alias("down"), sum_where(F.col("downtime_minutes"), F.col("downtime_type") == "unplanned").alias("unplanned")]
+
+    def _stored_activity(self) -> DataFrame:
+        """Orders, inspections and downtime by factory, from the stored facts."""
         quality = self.fct_quality_inspections.groupBy("factory_id").agg(
             F.sum("sample_size").alias("inspected"), F.sum("failed_units").alias("failed"), F.sum("defect_occurrences").alias("defects"), F.sum("critical_defect_occurrences").alias("critical")
         )
-        downtime = self.fct_downtime.groupBy("factory_id").agg(
-            (F.sum("downtime_minutes") / 60.0).alias("down"), (sum_where(F.col("downtime_minutes"), F.col("downtime_type") == "unplanned") / 60.0).alias("unplanned")
+        output = self.fct_production_output.groupBy("factory_id").agg(*self._output())
+        return output.join(quality, "factory_id", "full").join(self.fct_downtime.groupBy("factory_id").agg(*self._minutes()), "factory_id", "full")
+
+    def _activity(self) -> DataFrame:
+        """The same from staged rows: inspections are summed by order, both by line, downtime by machine; lines meet their factory last,
+        once for all, so that orders, machines and lines are read once."""
+        per_order = (
+            self.stg("quality_inspections")
+            .select("quality_inspection_id", "production_order_id", "sample_size", "failed_units")
+            .join(self._defects(), "quality_inspection_id", "left")
+            .groupBy("production_order_id")
+            .agg(F.sum("sample_size").alias("inspected"), F.sum("failed_units").alias("failed"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("defects"), F.coalesce(F.sum("critical"), F.lit(0)).alias("critical"))
         )
+        orders = self.stg("production_orders").select("production_order_id", "production_line_id", "planned_quantity", "actual_quantity", "status")
+        made = orders.join(per_order, "production_order_id", "left").groupBy("production_line_id").agg(*self._output(), *(F.sum(c).alias(c) for c in self._QUALITY))
+        stood = self._downtime(self.stg("downtime_events")).groupBy("machine_id").agg(*self._minutes())
+        stood = stood.join(self.stg("machines").select("machine_id", "production_line_id"), "machine_id").drop("machine_id")
+        line = self.stg("production_lines").select("production_line_id", "factory_id")
+        sums = [F.sum(c).alias(c) for c in (*self._OUTPUT, *self._QUALITY, *self._DOWN)]
+        return made.unionByName(stood, allowMissingColumns=True).join(line, "production_line_id").groupBy("factory_id").agg(*sums)
+
+    @cached_property
+    def factory_performance(self) -> DataFrame:
+        activity = self._stored_activity() if {"fct_production_output", "fct_quality_inspections", "fct_downtime"} <= self.stored else self._activity()
         zero = lambda c, name, none=0: F.coalesce(F.col(c), F.lit(none)).alias(name)
         return (
             self.dim_factory.select("factory_id", "factory_name", "country_code")
-            .join(output, "factory_id", "left")
-            .join(quality, "factory_id", "left")
-            .join(downtime, "factory_id", "left")
+            .join(activity, "factory_id", "left")
             .select(
                 "factory_id",
                 "factory_name",
@@ -234,8 +267,8 @@ class Models:
                 zero("defects", "defect_occurrences"),
                 zero("critical", "critical_defect_occurrences"),
                 ratio(F.col("failed"), F.coalesce("inspected", F.lit(0))).alias("sampled_defect_rate"),
-                zero("down", "downtime_hours", 0.0),
-                zero("unplanned", "unplanned_downtime_hours", 0.0),
+                (F.coalesce("down", F.lit(0.0)) / 60.0).alias("downtime_hours"),
+                (F.coalesce("unplanned", F.lit(0.0)) / 60.0).alias("unplanned_downtime_hours"),
             )
         )
 
