@@ -6,9 +6,9 @@ a pair of slices. Within a bucket the fingerprints stand vertically: plane j hol
 A query's bit flips a plane into differences, carry-save counters add up the planes for all fingerprints at once, and the
 comparison of a block ends as soon as all its counters exceed the radius.
 
-Slices find pairs of a few bits only. Texts of a shingle similarity of 0.8 differ in about 10 bits of 64, which no choice of slices
-prunes; for them (`similar_texts`) the fingerprints are of WIDE words, buckets come from minima of shingle hashes, the comparison is
-the same, and exact shingle sets decide.
+Slices find pairs of a few bits only. Similar texts (`similar_texts`) meet by prefixes of their shingle sets instead: in one order of
+all shingles, two sets of a similarity t share one of the first n - ceil(t n) + 1 of each. Pairs are dropped by bounds that no similar
+pair exceeds (sizes, and differing bits of parity maps of WIDE words); exact shingle sets decide on all others.
 """
 
 from __future__ import annotations
@@ -261,19 +261,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similar texts: words of a fingerprint, bits (of 64 * WIDE) within which a pair of a similarity of 0.8 lies (mean 39, deviation 6),
-#: bits within which a pair is surely similar, bands of minima and hashes a band (a pair of 0.8 shares a band with probability 0.996).
-WIDE = 4
-WIDE_RADIUS = 58
-SURE_RADIUS = 30
-BANDS = 14
-BAND = 5
-_SIDES = tuple(int(x) for x in T._odd(15, WIDE))
-_MINIMA = tuple(int(x) for x in T._odd(16, BANDS * BAND))
+#: Similar texts: words of a parity map. Within WIDE_RADIUS bits (of 64 * WIDE) a pair of a similarity of 0.8 usually lies, within
+#: SURE_RADIUS bits most pairs are similar: these two only choose which pairs of a large bucket are looked at first.
+WIDE = 8
+WIDE_RADIUS = 110
+SURE_RADIUS = 45
+#: Shingles are ordered by how many fall in their slot, those of frequent ones last.
+SLOTS = 1 << 16
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes (of 40 bits, spread over 64) of each row, and their rows; a text of fewer words is one shingle."""
+def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their rows, repeats included; a text of fewer words is one shingle."""
     part = T.LOWER[data]
     starts, ends, rows = T.word_bounds(part, offsets)
     words = T.word_hashes(part, starts, ends)
@@ -283,58 +281,77 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     whole = np.arange(len(grams)) + size <= rows[1:][row]
     short = np.flatnonzero((counts > 0) & (counts < size))
     own = np.concatenate([grams[whole], T.range_hashes(words, rows[short], rows[short + 1], T.GRAM_BASES[1])])
-    row = np.concatenate([row[whole], short])
-    key = row.astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
-    key.sort()
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    return T.mix(key & np.uint64((1 << 40) - 1)), (key >> np.uint64(40)).astype(np.int64)
-
-
-def _spread() -> np.ndarray:
-    """Of each byte a word in which its bits stand in bytes of their own."""
-    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    return np.ascontiguousarray(bits).view(np.uint64)[:, 0]
-
-
-def bit_counts(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """(rows, 64): how often each bit is set in the hashes of each row, which starts at its head. Eight counters share a word, of
-    at most 255 hashes each."""
-    size = np.diff(np.append(heads, len(hashes)))
-    pieces = -(-size // 255)
-    first = np.cumsum(pieces) - pieces
-    cuts = np.repeat(heads, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
-    spread, octets = _spread(), hashes.view(np.uint8).reshape(-1, 8)
-    out = np.empty((len(heads), 64), np.int64)
-    for k in range(8):
-        sums = np.add.reduceat(spread[octets[:, k]], cuts)
-        out[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
-    return out
+    return own, np.concatenate([row[whole], short])
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, ascending, and their rows."""
+    own, row = _shingles(data, offsets, size)
+    order = np.lexsort((own, row))
+    own, row = own[order], row[order]
+    first = np.append(True, (own[1:] != own[:-1]) | (row[1:] != row[:-1]))[: len(own)]
+    return own[first], row[first]
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def slot_counts(size: int):
+    """(text) rows to (slot, n) of a task: its shingles by slot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            data, offsets = T.text_bytes(batch.column(0))
+            for lo, hi in T.steps(offsets):
+                own, _ = _shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                n += np.bincount(_slots(own), minlength=SLOTS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
+
+    return run
 
-def sketch_rows(size: int):
-    """(id, none, h, t, text) rows to (id, none, h, t, fp, bands): the wide fingerprint, and a hash of each band of minima."""
+
+def slot_ranks(rows: DataFrame, size: int) -> np.ndarray:
+    """Each slot's place in the order of how many shingles (of rows' texts) it has: SLOTS counts, whatever the input."""
+    found = rows.select("text").mapInArrow(slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(SLOTS, np.int64)
+    n[found["slot"].to_numpy()] = found["n"].to_numpy()
+    ranks = np.empty(SLOTS, np.uint16)
+    ranks[np.argsort(n, kind="stable")] = np.arange(SLOTS)
+    return ranks
+
+
+def prefix_rows(size: int, similarity: float, ranks: np.ndarray):
+    """(id, none, h, t, text) rows to (id, none, h, t, cls, n, fp, prefix): a hash of the shingle set, its size, its parity map (how
+    often each bit number occurs, modulo 2), and those of its shingles one of which each similar set's prefix shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.text_bytes(batch.column(4))
-            prints, bands = np.zeros((batch.num_rows, WIDE), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            cls, n, maps = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), np.zeros((batch.num_rows, WIDE), np.uint64)
+            taken, length = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int32)
             for lo, hi in T.steps(offsets):
                 own, row = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 if not len(own):
                     continue
                 heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                some, full = lo + row[heads], np.diff(np.append(heads, len(row)))
-                for k, side in enumerate(_SIDES):
-                    over = (2 * bit_counts(T.mix(own ^ np.uint64(side)), heads) > full[:, None]).astype(np.uint8)
-                    prints[some, k] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
-                for band in range(BANDS):
-                    h = np.full(len(heads), band + 1, np.uint64)
-                    for m in _MINIMA[band * BAND : (band + 1) * BAND]:
-                        h = T.mix(h ^ np.minimum.reduceat((own ^ np.uint64(m >> 32)) * np.uint64(m), heads))
-                    bands[some, band] = h
-            flat = [pa.array(x.view(np.int64).ravel()) for x in (prints, bands)]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, n, dtype=np.int32)), x) for x, n in zip(flat, (WIDE, BANDS), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *lists], ["id", "none", "h", "t", "fp", "bands"])
+                some, count = row[heads], np.diff(np.append(heads, len(row)))
+                n[lo + some] = count
+                cls[lo + some] = T.mix(np.add.reduceat(T.mix(own ^ np.uint64(0x5851F42D4C957F2D)), heads) + count.astype(np.uint64))
+                bits = 64 * WIDE
+                place = np.repeat(np.arange(len(heads)), count) * bits + (own >> np.uint64(20)).astype(np.int64) % bits
+                odd = (np.bincount(place, minlength=len(heads) * bits) & 1).astype(np.uint8).reshape(-1, bits)
+                maps[lo + some] = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+                order = np.argsort(row * SLOTS + ranks[_slots(own)], kind="stable")  # of one slot by hash
+                most = count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1
+                nth = np.arange(len(row)) - np.repeat(heads, count)
+                taken.append(own[order][nth < np.repeat(most, count)])
+                length[lo + some] = most
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(np.concatenate(taken).view(np.int64)))
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, WIDE, dtype=np.int32)), pa.array(maps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(cls.view(np.int64)), pa.array(n), fp, lists], ["id", "none", "h", "t", "cls", "n", "fp", "prefix"])
 
     return run
 
@@ -388,8 +405,18 @@ def similar_pairs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
 
 
-def all_pairs(fp: np.ndarray, cuts: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs within WIDE_RADIUS of the same small bucket (cut at `cuts`): the differences of many pairs stand in planes."""
+def may_be_similar(fp: np.ndarray, n: np.ndarray, i: np.ndarray, k: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of places no bound rules out: sets of a similarity t differ in (1 - t) / (1 + t) of their sizes' sum at most, their
+    parity maps in no more bits, and the smaller one has at least t times the larger one's size."""
+    least, both = np.minimum(n[i], n[k]), n[i].astype(np.int64) + n[k]
+    differ = np.bitwise_count(fp[i] ^ fp[k]).sum(axis=1, dtype=np.int64)
+    return (differ * (1 + similarity) <= (1 - similarity) * both + 1e-6) & (least >= similarity * (both - least) - 1e-6)
+
+
+def all_pairs(fp: np.ndarray, cuts: np.ndarray, at_once: int = 1 << 18, near=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of the same bucket (cut at `cuts`) that are `near` by their places, or else within WIDE_RADIUS; about `at_once`
+    pairs are looked at together."""
+    near = near or (lambda i, k: np.bitwise_count(fp[i] ^ fp[k]).sum(axis=1) <= WIDE_RADIUS)
     ends = np.repeat(cuts[1:], np.diff(cuts))
     partners = ends - np.arange(len(ends)) - 1  # later ones of the bucket
     upto = np.cumsum(partners)
@@ -401,44 +428,87 @@ def all_pairs(fp: np.ndarray, cuts: np.ndarray, at_once: int = 1 << 18) -> Itera
         k = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
         lo = hi
         if len(i):
-            planes = np.concatenate([planes_of(fp[i, w] ^ fp[k, w]) for w in range(fp.shape[1])], axis=1)
-            near = np.unpackbits(next(near_planes(planes, np.zeros((1, fp.shape[1]), np.uint64), WIDE_RADIUS)).view(np.uint8), bitorder="little")[: len(i)].astype(bool)
-            yield i[near], k[near]
+            met = near(i, k)
+            yield i[met], k[met]
+
+
+def _pair_batch(cls: np.ndarray, i: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[k])), pa.array(np.maximum(cls[i], cls[k]))], ["a", "b"])
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of a batch, the map first among the arrays: (bucket, cls, n, ..., fp)."""
+    flat = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+    return [*flat, batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)]
 
 
-def pair_rows(most: int):
-    """(bucket, cls, fp) rows sorted by bucket to (a, b) classes that may be similar. Of buckets of up to SMALL classes all pairs are
-    compared; a larger one `most` classes at a time, the first of each piece going on to the next."""
+def pair_rows(most: int, similarity: float):
+    """(bucket, cls, n, fp) rows sorted by bucket to (a, b) classes that may be similar: all such pairs of buckets of up to SMALL
+    classes; of a larger one a forest of the likeliest, `most` classes at a time, the first of each piece going on to the next."""
 
-    def flush(bucket: np.ndarray, cls: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def flush(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         size = np.diff(cuts)
         small = np.flatnonzero(np.repeat(size <= SMALL, size))
-        found = [(small[i], small[k]) for i, k in all_pairs(fp[small], np.append(0, np.cumsum(size[size <= SMALL])))]
-        for c, n in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            for at in range(0, n, most):
-                own = np.unique(np.append(0, np.arange(at, min(n, at + most))))
-                i, k = similar_pairs(fp[c + own])
-                found.append((c + own[i], c + own[k]))
-        i, k = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*found, strict=True) if found else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[k])), pa.array(np.maximum(cls[i], cls[k]))], ["a", "b"])
+        own_n, own_fp = n[small], fp[small]
+        for i, k in all_pairs(own_fp, np.append(0, np.cumsum(size[size <= SMALL])), near=lambda i, k: may_be_similar(own_fp, own_n, i, k, similarity)):
+            if len(i):
+                yield _pair_batch(cls, small[i], small[k])
+        for c, m in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            for at in range(0, m, most):
+                own = c + np.unique(np.append(0, np.arange(at, min(m, at + most))))
+                i, k = similar_pairs(fp[own])
+                met = may_be_similar(fp, n, own[i], own[k], similarity)
+                yield _pair_batch(cls, own[i][met], own[k][met])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, cls, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            bucket, cls = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((bucket, cls)))
-            fp = np.concatenate([fp, batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)])
-            if not len(bucket):
+            if not batch.num_rows:
                 continue
+            held = [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)] if held else _columns(batch)
+            bucket = held[0]
             cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
             if not cut and len(bucket) > most:  # one bucket: its first class stays for what follows
-                yield flush(bucket, cls, fp)
-                bucket, cls, fp = bucket[:1], cls[:1], fp[:1]
+                yield from flush(*held)
+                held = [x[:1] for x in held]
             elif cut >= most:
-                yield flush(bucket[:cut], cls[:cut], fp[:cut])
-                bucket, cls, fp = bucket[cut:], cls[cut:], fp[cut:]
-        if len(bucket):
-            yield flush(bucket, cls, fp)
+                yield from flush(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held:
+            yield from flush(*held)
+
+    return run
+
+
+def other_pairs(similarity: float):
+    """(bucket, cls, n, component, fp) rows sorted by bucket to all pairs (a, b) of classes of different components that may be similar."""
+
+    def flush(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, component: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+
+        def near(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+            met = component[i] != component[k]
+            met[met] = may_be_similar(fp, n, i[met], k[met], similarity)
+            return met
+
+        for i, k in all_pairs(fp, cuts, near=near):
+            if len(i):
+                yield _pair_batch(cls, i, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)] if held else _columns(batch)
+            bucket = held[0]
+            if bucket[0] != bucket[-1]:
+                cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1
+                yield from flush(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held:
+            yield from flush(*held)
 
     return run
 
@@ -464,27 +534,39 @@ ROW = ["id", "none", "h", "t"]
 
 def similar_texts(rows: DataFrame, size: int = 5, similarity: float = 0.8, large: int = 4096) -> DataFrame:
     """rows (id, none, h, t, text) to (id, none, h, t, component): components of texts whose distinct shingles of `size` words (A-Z in
-    lower case) have a Jaccard similarity of `similarity` or more. `similarity` is 0.8 or more: bands and radius are made for that.
-
-    Texts of equal fingerprints are one class and need no comparison. A bucket of more than `large` classes is dealt out again by each
-    of its classes' next bands, and all its classes are compared to its first one, which joins a large group of copies at once."""
-    prints = saved(rows.mapInArrow(sketch_rows(size), "id long, none boolean, h long, t long, fp array<long>, bands array<long>").withColumn("cls", F.xxhash64("fp")))
-    classes = saved(prints.groupBy("cls").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.min(F.struct("none", "id", "h", "t")).alias("first")))
-    dealt = classes.select("cls", "bands", F.posexplode("bands").alias("place", "bucket"))
-    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).filter("n > 1")
-    shared = saved(dealt.join(counts, "bucket").select("bucket", "cls", "n", "pivot", F.expr("transform(sequence(1, 4), i -> bands[(place + i) % size(bands)])").alias("next")))
-    usual = shared.filter(F.col("n") <= large).select("bucket", "cls")
-    wide = shared.filter(F.col("n") > large)
-    finer = wide.select("bucket", "cls", F.explode("next").alias("more")).select(F.xxhash64("bucket", "more").alias("bucket"), "cls")
-    met = usual.unionByName(finer).join(classes.select("cls", "fp"), "cls").select("bucket", "cls", "fp")
-    pairs = met.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(pair_rows(large), "a long, b long")
-    pairs = saved(pairs.unionByName(wide.filter("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))).distinct())
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    firsts = classes.join(wanted, "cls").select("cls", "first.*")
-    texts = saved(rows.join(firsts, ROW).select("cls", "text").dropDuplicates(["cls"]))
-    both = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("other")), "b")
-    links = both.select("a", "b", "text", "other").mapInArrow(verified_pairs(size, similarity), "a long, b long")
+    lower case) have a Jaccard similarity of `similarity` or more. No link is left out; shingles are told apart by 64-bit hashes.
+
+    Texts of equal shingle sets are one class. Classes that share a shingle of their prefixes meet in its bucket. Of buckets of up to
+    SMALL classes all pairs that may be similar are verified, of larger ones first a forest of the likeliest; then all pairs of theirs that
+    lie in different components and may be similar. A bucket of more than `large` classes is dealt out by pairs of its parts."""
+    ranks = slot_ranks(rows, size)
+    prints = saved(rows.mapInArrow(prefix_rows(size, similarity, ranks), "id long, none boolean, h long, t long, cls long, n int, fp array<long>, prefix array<long>"))
+    classes = saved(prints.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"), F.min(F.struct("none", "id", "h", "t")).alias("first")))
+    dealt = classes.select(F.explode("prefix").alias("bucket"), "cls")
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("of")).filter("of > 1")
+    shared = saved(dealt.join(counts, "bucket").select("bucket", "cls", "of"))
+
+    def met(at: DataFrame, *more: str) -> DataFrame:
+        return at.join(classes.select("cls", "n", "fp"), "cls").select("bucket", "cls", "n", *more, "fp").repartition("bucket").sortWithinPartitions("bucket", "cls")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        firsts = classes.join(wanted, "cls").select("cls", "first.*")
+        texts = saved(rows.join(firsts, ROW).select("cls", "text").dropDuplicates(["cls"]))
+        both = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("other")), "b")
+        return both.select("a", "b", "text", "other").mapInArrow(verified_pairs(size, similarity), "a long, b long")
+
+    pairs = saved(met(shared).mapInArrow(pair_rows(large, similarity), "a long, b long").distinct())
+    links = saved(verified(pairs))
     joined = components(links).withColumnRenamed("node", "cls")
+    wide = shared.filter(F.col("of") > SMALL).join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    parts = F.ceil(F.col("of") / large).cast("int")
+    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    spread = wide.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = spread.select(F.when(parts == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "with"), F.greatest("part", "with"))).alias("bucket"), "cls", "component")
+    rest = saved(met(blocks, "component").mapInArrow(other_pairs(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        joined = components(links.unionByName(verified(rest))).withColumnRenamed("node", "cls")
     return prints.select(*ROW, "cls").join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("component"))
 
 

@@ -305,6 +305,52 @@ def test_similar_texts_of_one_template(spark, documents):
     assert sum(k not in kept for k, _ in pairs) >= 0.9 * len(pairs)
 
 
+def template_texts(rng, n, words=150, share=0.12):
+    """Texts that each change a share of one template's words at random: their similarities lie on both sides of 0.8."""
+    return [" ".join(f"v{rng.randrange(10**9)}" if rng.random() < share * rng.random() else f"w{k}" for k in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("large", [4096, 40])
+def test_no_link_of_similar_texts_is_left_out(spark, large):
+    """Large buckets, short and long texts: the components are those of brute force, whatever the buckets' parts."""
+    rng = random.Random(11)
+    texts = template_texts(rng, 150) + template_texts(rng, 60, 12, 0.2) + template_texts(rng, 20, 900, 0.04) + ["", "a b", "A b", "b a"]
+    for k in range(80):  # texts of one template are at 0.76 or less, but each has one at 0.8 or more
+        at = rng.sample(range(4, 146, 6), 5)
+        texts += [" ".join(f"u{k}x{i}" if i in at[:n] else f"t{i}" for i in range(150)) for n in (2, 4 + k % 2)]
+    for k in range(60):  # pairs at 0.8 and a little more or less
+        own = [f"c{k}x{i}" for i in range(40 + k)]
+        at = rng.randrange(5, len(own) - 5)
+        texts += [" ".join(own), " ".join([*own[:at], "other", *own[at + 1 :]])]
+    expected = similar_classes(texts)
+    df = spark.createDataFrame([(i, False, 1, 1, t) for i, t in enumerate(texts)], "id long, none boolean, h long, t long, text string")
+    groups = {}
+    for r in simhash.similar_texts(df, large=large).collect():
+        groups.setdefault(r.component, set()).add(r.id)
+    want = {}
+    for i, c in expected.items():
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and 100 < len(want) < len(texts) - 100
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Every pair of the similarity shares a shingle of its prefixes and passes the bounds, whatever the order of the slots."""
+    rng = random.Random(12)
+    texts = template_texts(rng, 150, 60, 0.2) + template_texts(rng, 60, 9, 0.3)
+    sets = [word_shingles(t) for t in texts]
+    one = pa.array([0] * len(texts))
+    batch = pa.RecordBatch.from_arrays([one, one, one, one, pa.array(texts)], ["id", "none", "h", "t", "text"])
+    for seed in range(3):
+        ranks = np.random.default_rng(seed).permutation(simhash.SLOTS).astype(np.uint16)
+        (out,) = simhash.prefix_rows(5, 0.8, ranks)(iter([batch]))
+        prefix, n, fp = (out.column(c).to_pylist() for c in ("prefix", "n", "fp"))
+        assert n == [len(x) for x in sets]
+        fp, n = np.array(fp, np.int64).view(np.uint64), np.array(n)
+        near = [(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+        assert len(near) > 30 and all(set(prefix[i]) & set(prefix[k]) for i, k in near)
+        assert simhash.may_be_similar(fp, n, *np.array(near).T, 0.8).all()
+
+
 def test_large_groups_are_one_tree():
     rng = np.random.default_rng(5)
     one = rng.integers(0, 1 << 63, simhash.WIDE, dtype=np.uint64)
