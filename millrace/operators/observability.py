@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -148,24 +149,24 @@ def latest_edges(edges: DataFrame) -> DataFrame:
 def downstream(edges: DataFrame, roots: DataFrame, most_depth: int = 20) -> DataFrame:
     """(node, depth): everything reachable from roots (node) over edges (parent, child) in at most `most_depth` steps, at its least
     depth. A root is in the result only if it is reached. Each step visits new nodes only, so cycles end."""
-    links = edges.select("parent", "child").distinct()
-    seen = None
+    links = edges.select("parent", "child")  # repeated edges end in the distinct nodes of a step
+    found: list[DataFrame] = []
     frontier = roots.select(F.col("node")).distinct()
     for depth in range(1, most_depth + 1):
-        reached = frontier.join(links, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
-        fresh = reached if seen is None else reached.join(seen.select("node"), "node", "left_anti")
+        fresh = frontier.join(links, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        if found:
+            fresh = fresh.join(_all(found).select("node"), "node", "left_anti")
         fresh = fresh.select("node", F.lit(depth).alias("depth")).persist()
         if fresh.isEmpty():
             fresh.unpersist()
-            return fresh if seen is None else seen
-        # what was found before lives on in the new frame, which is filled before the old one is freed
-        seen, before = (fresh if seen is None else seen.unionByName(fresh)).persist(), seen
-        seen.count()
-        fresh.unpersist()
-        if before is not None:
-            before.unpersist()
-        frontier = seen.filter(F.col("depth") == depth).select("node")
-    return seen
+            return _all(found) if found else fresh
+        found.append(fresh)  # each step's nodes are kept once
+        frontier = fresh.select("node")
+    return _all(found)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def affected_downstream(edges: DataFrame, checks: DataFrame) -> DataFrame:

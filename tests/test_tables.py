@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,15 @@ def test_evidence_takes_lineage(spark):
     assert {r["section"] for r in got.collect()} == {"check", "lineage"} and got.columns == ["section", "kind", "name", "value"]
 
 
+def test_downstream_shuffles_no_edge_list(spark):
+    """Repeated edges and cycles need no distinct edges, which each step would make anew; nodes come once, at their least depth."""
+    edges = spark.range(6).selectExpr("cast(id % 3 as string) as parent", "cast((id + 1) % 3 as string) as child")
+    edges = edges.unionByName(spark.createDataFrame([("0", "2"), ("2", "x")], "parent string, child string"))
+    got = O.downstream(edges, spark.createDataFrame([("0",), ("0",)], "node string"))
+    assert sorted(map(tuple, got.collect())) == [("0", 2), ("1", 1), ("2", 1), ("x", 2)]
+    assert not re.search(r"keys=\[parent#\d+, child#\d+", got._jdf.queryExecution().toString())
+
+
 def test_catalogue_reads(spark):
     models = spark.createDataFrame([("r1", "a", "view", 1), ("r2", "a", "table", 2), ("r1", "b", "view", 1)], "run_id string, model_name string, materialization string, discovered_at int")
     columns = spark.createDataFrame([("r1", "a", "x", 1), ("r2", "a", "z", 2), ("r2", "a", "y", 1)], "run_id string, model_name string, column_name string, ordinal_position int")
