@@ -40,7 +40,9 @@ def failing(rule: Rule, models: dict[str, DataFrame]) -> DataFrame:
         return df.filter(c.isNotNull()).groupBy(rule.column).count().filter("count > 1")
     if rule.kind == "relationships":
         model, column = rule.parent
-        return df.filter(c.isNotNull()).join(models[model].select(F.col(column).alias("_parent")), c == F.col("_parent"), "left_anti")
+        # distinct parents need none of what an outer join adds to their rows, and go to the join's partitions anyway
+        parents = models[model].select(F.col(column).alias("_parent")).distinct()
+        return df.filter(c.isNotNull()).join(parents, c == F.col("_parent"), "left_anti")
     if rule.kind == "accepted_values":
         return df.filter(c.isNotNull() & ~c.isin(*rule.values))
     if rule.kind == "non_negative":
