@@ -8,7 +8,8 @@ comparison of a block ends as soon as all its counters exceed the radius.
 
 Slices find pairs of a few bits only. Similar texts (`similar_texts`) meet by prefixes of their shingle sets instead: in one order of
 all shingles, two sets of a similarity t share one of the first n - ceil(t n) + 1 of each. Pairs are dropped by bounds that no similar
-pair exceeds (sizes, and differing bits of parity maps of WIDE words); exact shingle sets decide on all others.
+pair exceeds (sizes, and differing bits of parity maps); what is left of a bucket connects texts that may be similar, a forest of it goes
+on. The texts of each component meet once, and there their exact shingle sets decide on all pairs that no link connects yet.
 """
 
 from __future__ import annotations
@@ -261,13 +262,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similar texts: words of a parity map. Within WIDE_RADIUS bits (of 64 * WIDE) a pair of a similarity of 0.8 usually lies, within
+#: Similar texts: words of a parity map, the least; larger sets have 2, 4, ... times as many, so that a map has as many bits as the set has
+#: shingles, and at most WIDE << MOST_LEVEL words. Within WIDE_RADIUS bits (of 64 * WIDE) a pair of a similarity of 0.8 usually lies, within
 #: SURE_RADIUS bits most pairs are similar: these two only choose which pairs of a large bucket are looked at first.
 WIDE = 8
 WIDE_RADIUS = 110
 SURE_RADIUS = 45
 #: Shingles are ordered by how many fall in their slot, those of frequent ones last.
 SLOTS = 1 << 16
+MOST_LEVEL = 6
+#: Shingles of the texts that are compared in one task, twice that at most.
+TOGETHER = 1 << 21
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,27 +335,31 @@ def prefix_rows(size: int, similarity: float, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.text_bytes(batch.column(4))
-            cls, n, maps = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), np.zeros((batch.num_rows, WIDE), np.uint64)
-            taken, length = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int32)
+            cls, n, words = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            maps, taken, length = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int32)
             for lo, hi in T.steps(offsets):
                 own, row = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                full = np.bincount(row, minlength=hi - lo)
+                level = np.clip(np.ceil(np.log2(np.maximum(full, 1) / (64 * WIDE))), 0, MOST_LEVEL).astype(np.int64)
+                words[lo:hi] = WIDE << level
+                bits = 64 * WIDE << level
+                place = np.repeat(np.cumsum(bits) - bits, full) + (own >> np.uint64(20)).astype(np.int64) % np.repeat(bits, full)
+                odd = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+                maps.append(np.packbits(odd, bitorder="little").view(np.uint64))
                 if not len(own):
                     continue
                 heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                some, count = row[heads], np.diff(np.append(heads, len(row)))
+                some = row[heads]
+                count = full[some]
                 n[lo + some] = count
                 cls[lo + some] = T.mix(np.add.reduceat(T.mix(own ^ np.uint64(0x5851F42D4C957F2D)), heads) + count.astype(np.uint64))
-                bits = 64 * WIDE
-                place = np.repeat(np.arange(len(heads)), count) * bits + (own >> np.uint64(20)).astype(np.int64) % bits
-                odd = (np.bincount(place, minlength=len(heads) * bits) & 1).astype(np.uint8).reshape(-1, bits)
-                maps[lo + some] = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
                 order = np.argsort(row * SLOTS + ranks[_slots(own)], kind="stable")  # of one slot by hash
                 most = count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1
                 nth = np.arange(len(row)) - np.repeat(heads, count)
                 taken.append(own[order][nth < np.repeat(most, count)])
                 length[lo + some] = most
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(np.concatenate(taken).view(np.int64)))
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, WIDE, dtype=np.int32)), pa.array(maps.view(np.int64).ravel()))
+            fp = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(words)).astype(np.int32)), pa.array(np.concatenate(maps).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(cls.view(np.int64)), pa.array(n), fp, lists], ["id", "none", "h", "t", "cls", "n", "fp", "prefix"])
 
     return run
@@ -432,99 +441,180 @@ def all_pairs(fp: np.ndarray, cuts: np.ndarray, at_once: int = 1 << 18, near=Non
             yield i[met], k[met]
 
 
-def _pair_batch(cls: np.ndarray, i: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[k])), pa.array(np.maximum(cls[i], cls[k]))], ["a", "b"])
-
-
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """The columns of a batch, the map first among the arrays: (bucket, cls, n, ..., fp)."""
-    flat = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
-    return [*flat, batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)]
-
-
-def pair_rows(most: int, similarity: float):
-    """(bucket, cls, n, fp) rows sorted by bucket to (a, b) classes that may be similar: all such pairs of buckets of up to SMALL
-    classes; of a larger one a forest of the likeliest, `most` classes at a time, the first of each piece going on to the next."""
-
-    def flush(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        size = np.diff(cuts)
-        small = np.flatnonzero(np.repeat(size <= SMALL, size))
-        own_n, own_fp = n[small], fp[small]
-        for i, k in all_pairs(own_fp, np.append(0, np.cumsum(size[size <= SMALL])), near=lambda i, k: may_be_similar(own_fp, own_n, i, k, similarity)):
-            if len(i):
-                yield _pair_batch(cls, small[i], small[k])
-        for c, m in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            for at in range(0, m, most):
-                own = c + np.unique(np.append(0, np.arange(at, min(m, at + most))))
-                i, k = similar_pairs(fp[own])
-                met = may_be_similar(fp, n, own[i], own[k], similarity)
-                yield _pair_batch(cls, own[i][met], own[k][met])
+class Maps:
+    """Parity maps of several sizes. A map of twice the words folds to one of half as many by the exclusive or of its halves, so two maps
+    are compared at the size of the smaller one."""
+
+    def __init__(self, lists: pa.ListArray):
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        self.level = np.log2(np.maximum(np.diff(offsets) // WIDE, 1)).astype(np.int64)
+        self.place, self.folds = [], []
+        for at in range(int(self.level.max(initial=0)) + 1):
+            rows = np.flatnonzero(self.level >= at)
+            place = np.zeros(len(self.level), np.int64)
+            place[rows] = np.arange(len(rows))
+            fold = np.empty((len(rows), WIDE << at), np.uint64)
+            for level in np.unique(self.level[rows]).tolist():
+                own = np.flatnonzero(self.level == level)
+                wide = values[offsets[own][:, None] + np.arange(WIDE << level)]
+                fold[place[own]] = np.bitwise_xor.reduce(wide.reshape(len(own), 1 << (level - at), WIDE << at), axis=1)
+            self.place.append(place)
+            self.folds.append(fold)
+
+    def may_be_similar(self, n: np.ndarray, i: np.ndarray, k: np.ndarray, similarity: float) -> np.ndarray:
+        """`may_be_similar`, by the largest map that both have."""
+        met = np.minimum(n[i], n[k]) >= similarity * np.maximum(n[i], n[k]) - 1e-6
+        met[met] = may_be_similar(self.folds[0], n, i[met], k[met], similarity)
+        common = np.where(met, np.minimum(self.level[i], self.level[k]), 0)
+        for level in range(1, len(self.folds)):
+            for own in np.array_split(at := np.flatnonzero(common == level), 1 + (len(at) << level >> 17)):
+                place = self.place[level]
+                sides, a = np.concatenate([i[own], k[own]]), np.arange(len(own))
+                met[own] = may_be_similar(self.folds[level][place[sides]], n[sides], a, a + len(own), similarity)
+        return met
+
+
+class Trees:
+    """A forest over places, which grows by pairs and keeps those that joined two trees."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.of = np.arange(n)  # as of the last `add`
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
+    def add(self, i: np.ndarray, k: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), k.tolist(), strict=True):
+            if (u := self._root(x)) != (v := self._root(y)):
+                self.parent[max(u, v)] = min(u, v)
+                self.a.append(x)
+                self.b.append(y)
+        if len(i):
+            of = np.array(self.parent)
+            while (up := of[of] != of).any():
+                of[up] = of[of[up]]
+            self.of = of
+
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column and then their second in tables of whole keys, of `most` rows or a few more where keys are small. Rows that repeat
+    the two of the row before them go."""
+    held, size, last = [], 0, (None, None)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cls = (batch.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+        new = np.append((key[0], cls[0]) != last, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
+        last = (key[-1], cls[-1])
+        if not new.all():
+            batch, key = batch.filter(pa.array(new)), key[new]
+            if not len(key):
                 continue
-            held = [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)] if held else _columns(batch)
-            bucket = held[0]
-            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            if not cut and len(bucket) > most:  # one bucket: its first class stays for what follows
-                yield from flush(*held)
-                held = [x[:1] for x in held]
-            elif cut >= most:
-                yield from flush(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held:
-            yield from flush(*held)
+        if size + len(key) > most and (key[0] != key[-1] or held and held[-1].column(0)[-1].as_py() != key[0]):
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    return run
 
+def _cuts(key: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
 
-def other_pairs(similarity: float):
-    """(bucket, cls, n, component, fp) rows sorted by bucket to all pairs (a, b) of classes of different components that may be similar."""
 
-    def flush(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, component: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+def _edges(cls: np.ndarray, trees: Trees) -> pa.RecordBatch:
+    a, b = (cls[np.array(x, np.int64)] for x in (trees.a, trees.b))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def near(i: np.ndarray, k: np.ndarray) -> np.ndarray:
-            met = component[i] != component[k]
-            met[met] = may_be_similar(fp, n, i[met], k[met], similarity)
-            return met
 
-        for i, k in all_pairs(fp, cuts, near=near):
-            if len(i):
-                yield _pair_batch(cls, i, k)
+def candidate_rows(most: int, similarity: float):
+    """(bucket, cls, n, fp) rows sorted by bucket and class to a forest (a, b) of each bucket that connects all its classes that may be
+    similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)] if held else _columns(batch)
-            bucket = held[0]
-            if bucket[0] != bucket[-1]:
-                cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1
-                yield from flush(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held:
-            yield from flush(*held)
+        for rows in _whole(batches, most):
+            bucket, cls, n = (rows.column(i).to_numpy() for i in range(3))
+            maps = Maps(rows.column(3).chunk(0))
+            cuts, trees = _cuts(bucket), Trees(len(bucket))
+            size = np.diff(cuts)
+            for c, m in zip(cuts[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                i, k = (c + x for x in similar_pairs(maps.folds[0][c : c + m]))
+                met = maps.may_be_similar(n, i, k, similarity)
+                trees.add(i[met], k[met])
+
+            def near(i: np.ndarray, k: np.ndarray, n=n, maps=maps, trees=trees) -> np.ndarray:
+                apart = trees.of[i] != trees.of[k]
+                apart[apart] = maps.may_be_similar(n, i[apart], k[apart], similarity)
+                return apart
+
+            for i, k in all_pairs(maps.folds[0], cuts, near=near):
+                trees.add(i, k)
+            yield _edges(cls, trees)
 
     return run
 
 
-def verified_pairs(size: int, similarity: float):
-    """(a, b, text, other) rows to the (a, b) whose shingle sets have the Jaccard similarity."""
+def _meetings(own: np.ndarray, row: np.ndarray, m: int) -> Iterator[np.ndarray]:
+    """Of each row the number of shingles that it shares with each of the m rows, when it is asked for by `send`."""
+    _, shingle, often = np.unique(own, return_inverse=True, return_counts=True)
+    again = often[shingle] > 1
+    shingle, row = np.unique(shingle[again], return_inverse=True)[1], row[again]
+    holders = row[np.argsort(shingle, kind="stable")]
+    starts = np.append(0, np.cumsum(np.bincount(shingle)))
+    held = shingle[np.argsort(row, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(row, minlength=m)))
+    i = yield np.zeros(0, np.int64)
+    while True:
+        shared = np.zeros(m, np.int64)
+        mine = held[first[i] : first[i + 1]]
+        upto = np.cumsum(starts[mine + 1] - starts[mine])
+        for part in np.split(mine, np.flatnonzero(np.diff(upto >> 22)) + 1):
+            count = starts[part + 1] - starts[part]
+            at = np.repeat(starts[part] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared += np.bincount(holders[at], minlength=m)
+        i = yield shared
+
+
+def linked_rows(most: int, size: int, similarity: float):
+    """(block, cls, part, text) rows sorted by block and class to a forest (a, b) of each block that connects its classes whose shingle
+    sets have the Jaccard similarity; of a block of two parts only pairs between them are looked at."""
+
+    def flush(cls: np.ndarray, part: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        m = len(cls)
+        found = [(own, row + lo) for lo, hi in T.steps(offsets) for own, row in [shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)]]
+        own, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        n = np.bincount(row, minlength=m)
+        order = np.argsort(n, kind="stable")
+        place = np.empty(m, np.int64)
+        place[order] = np.arange(m)
+        n, cls, part = n[order], cls[order], part[order]
+        ends = np.searchsorted(n, n / similarity + 1e-6, "right").tolist()
+        crossing = part.min() != part.max()
+        meetings, trees = _meetings(own, place[row], m), Trees(m)
+        next(meetings)
+        for i in range(m - 1):
+            k = i + 1 + np.flatnonzero(trees.of[i + 1 : ends[i]] != trees.of[i])
+            if crossing:
+                k = k[part[k] != part[i]]
+            if len(k):
+                both = meetings.send(i)[k]
+                k = k[both >= similarity * (n[i] + n[k] - both) - 1e-9]
+                trees.add(np.full(len(k), i), k)
+        yield _edges(cls, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sides = [T.text_bytes(batch.column(i)) for i in (2, 3)]
-            for r in range(batch.num_rows):
-                x, y = (shingle_hashes(d[o[r] : o[r + 1]], np.array([0, o[r + 1] - o[r]]), size)[0] for d, o in sides)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[r] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield batch.select([0, 1]).filter(pa.array(keep))
+        for rows in _whole(batches, most):
+            block, cls, part = (rows.column(i).to_numpy() for i in range(3))
+            for lo, hi in zip((cuts := _cuts(block))[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield from flush(cls[lo:hi], part[lo:hi], *T.text_bytes(rows.column(3).chunk(0).slice(lo, hi - lo)))
 
     return run
 
@@ -536,37 +626,30 @@ def similar_texts(rows: DataFrame, size: int = 5, similarity: float = 0.8, large
     """rows (id, none, h, t, text) to (id, none, h, t, component): components of texts whose distinct shingles of `size` words (A-Z in
     lower case) have a Jaccard similarity of `similarity` or more. No link is left out; shingles are told apart by 64-bit hashes.
 
-    Texts of equal shingle sets are one class. Classes that share a shingle of their prefixes meet in its bucket. Of buckets of up to
-    SMALL classes all pairs that may be similar are verified, of larger ones first a forest of the likeliest; then all pairs of theirs that
-    lie in different components and may be similar. A bucket of more than `large` classes is dealt out by pairs of its parts."""
+    Texts of equal shingle sets are one class. Classes that share a shingle of their prefixes meet in its bucket; of buckets of the same
+    classes one stays. A forest of those that may be similar goes on, and the texts of each of its components meet once. A bucket of more
+    than `large` classes, and a component of more or of over TOGETHER shingles, is dealt out by pairs of its parts."""
     ranks = slot_ranks(rows, size)
     prints = saved(rows.mapInArrow(prefix_rows(size, similarity, ranks), "id long, none boolean, h long, t long, cls long, n int, fp array<long>, prefix array<long>"))
     classes = saved(prints.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"), F.min(F.struct("none", "id", "h", "t")).alias("first")))
-    dealt = classes.select(F.explode("prefix").alias("bucket"), "cls")
-    counts = dealt.groupBy("bucket").agg(F.count("*").alias("of")).filter("of > 1")
-    shared = saved(dealt.join(counts, "bucket").select("bucket", "cls", "of"))
-
-    def met(at: DataFrame, *more: str) -> DataFrame:
-        return at.join(classes.select("cls", "n", "fp"), "cls").select("bucket", "cls", "n", *more, "fp").repartition("bucket").sortWithinPartitions("bucket", "cls")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        firsts = classes.join(wanted, "cls").select("cls", "first.*")
-        texts = saved(rows.join(firsts, ROW).select("cls", "text").dropDuplicates(["cls"]))
-        both = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("other")), "b")
-        return both.select("a", "b", "text", "other").mapInArrow(verified_pairs(size, similarity), "a long, b long")
-
-    pairs = saved(met(shared).mapInArrow(pair_rows(large, similarity), "a long, b long").distinct())
-    links = saved(verified(pairs))
+    dealt = classes.select(F.explode("prefix").alias("bucket"), "cls").repartition("bucket")
+    members = dealt.groupBy("bucket").agg(F.count("*").alias("of"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y")).filter("of > 1")
+    counts = members.groupBy("of", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("of") / large).cast("int").alias("parts"))
+    shared = saved(dealt.join(counts, "bucket").select("bucket", "cls", "parts"))
+
+    def spread(at: DataFrame, key: str) -> DataFrame:
+        """Rows once for each pair of parts that theirs is one of; `block` tells the pairs of a key apart."""
+        spread = at.withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return spread.withColumn("block", F.when(F.col("parts") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("part", "with"), F.greatest("part", "with"))))
+
+    met = spread(shared, "bucket").select("block", "cls").join(classes.select("cls", "n", "fp"), "cls").select("block", "cls", "n", "fp")
+    edges = saved(met.repartition("block").sortWithinPartitions("block", "cls").mapInArrow(candidate_rows(large, similarity), "a long, b long").distinct())
+    groups = saved(components(edges).withColumnRenamed("node", "cls").join(classes.select("cls", "n", "first"), "cls"))
+    parts = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum("n") / TOGETHER)).cast("int").alias("parts"))
+    asked = spread(groups.join(parts, "component"), "component").select("block", "cls", "part", "first.*")
+    texts = rows.join(asked, ROW).select("block", "cls", "part", "text")
+    links = texts.repartition("block").sortWithinPartitions("block", "cls").mapInArrow(linked_rows(large, size, similarity), "a long, b long")
     joined = components(links).withColumnRenamed("node", "cls")
-    wide = shared.filter(F.col("of") > SMALL).join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    parts = F.ceil(F.col("of") / large).cast("int")
-    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    spread = wide.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocks = spread.select(F.when(parts == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "with"), F.greatest("part", "with"))).alias("bucket"), "cls", "component")
-    rest = saved(met(blocks, "component").mapInArrow(other_pairs(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        joined = components(links.unionByName(verified(rest))).withColumnRenamed("node", "cls")
     return prints.select(*ROW, "cls").join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("component"))
 
 

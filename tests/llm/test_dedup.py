@@ -366,6 +366,44 @@ def test_large_groups_are_one_tree():
     assert sorted(pairs) == want
 
 
+def test_pairs_of_one_template_make_no_quadratic_table(spark, monkeypatch):
+    """150 texts at 0.77 to 0.8 of each other, hardly a link among them: what is written grows with the texts, not with their pairs."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(150):
+        at = set(rng.sample(range(3, 470, 7), 6))
+        texts.append(" ".join(f"q{k}x{i}" if i in at else f"t{i}" for i in range(480)))
+    kept, plain = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df: kept.append(out := plain(df)) or out)
+    df = spark.createDataFrame([(i, False, 1, 1, t) for i, t in enumerate(texts)], "id long, none boolean, h long, t long, text string")
+    got = {r.id: r.component for r in simhash.similar_texts(df).collect()}
+    want = similar_classes(texts)
+    assert all((got[i] == got[k]) == (want[i] == want[k]) for i in got for k in range(i))
+    pairs = [t.count() for t in kept if t.columns == ["a", "b"]]
+    assert pairs and max(pairs) < 10 * len(texts)
+
+
+def test_maps_of_long_texts():
+    """Sets of thousands of shingles: those of the similarity pass at any two sizes of maps, unrelated ones don't; maps fold."""
+    rng = random.Random(14)
+    sizes = [300, 500, 540, 1000, 1050, 2100, 5000, 8100, 8500]
+    texts = []
+    for n in sizes:
+        own = [f"v{rng.randrange(10**9)}" for _ in range(n)]
+        texts += [" ".join(own), " ".join(own + [f"z{i}" for i in range(n // 5)]), edited(own, n // 60, rng)]
+    one = pa.array([0] * len(texts))
+    batch = pa.RecordBatch.from_arrays([one, one, one, one, pa.array(texts)], ["id", "none", "h", "t", "text"])
+    (out,) = simhash.prefix_rows(5, 0.8, np.arange(simhash.SLOTS).astype(np.uint16))(iter([batch]))
+    maps, n = simhash.Maps(out.column("fp")), out.column("n").to_numpy()
+    assert sorted(set(maps.level.tolist())) == [0, 1, 2, 3, 4, 5]
+    sets = [word_shingles(t) for t in texts]
+    i, k = np.triu_indices(len(texts), 1)
+    near = np.array([len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 for a, b in zip(i, k, strict=True)])
+    met = maps.may_be_similar(n, i, k, 0.8)
+    assert near.sum() >= 12 and met[near].all()
+    assert not met[np.array([not sets[a] & sets[b] for a, b in zip(i, k, strict=True)])].any()
+
+
 def test_clashing_columns_survive(spark):
     odd = ["_id", "_h", "row", "spans", "id", "none", "h", "t", "cls", "c0", "text_", "component", "stays", "_letters"]
     docs = spark.createDataFrame([(k, x, *[7 * k] * len(odd)) for k, x in ((1, "the same words stand here twice"), (2, "the same words stand here twice"), (3, "other words are in this one"))], ["doc_id", "text", *odd])
