@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from millrace.llm import simhash, substring_dedup, suffix_dedup
+from millrace.llm import _windows, simhash, substring_dedup, suffix_dedup
 from millrace.llm._text import STEP_BYTES, runs, sliding_argmin, text_bytes, word_bounds
 from millrace.llm._windows import Windows, stretches
 from millrace.llm.components import components
@@ -83,6 +83,20 @@ def test_repeated_bytes(spark, documents, hot):
     assert sorted(map(tuple, got), key=str) == bytes_expected(rows, 40)
 
 
+@pytest.mark.parametrize("width", [99, 100])
+def test_common_sentences_need_no_hashed_windows(spark, documents, monkeypatch, width):
+    """A sentence of 60 bytes in each text, with 12 kinds of text around it: its anchors are hot, but no longer string is."""
+    rng = random.Random(15)
+    sentence = "this one sentence of sixty bytes stands in all of the texts."
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    around = [(own(70), own(70)) for _ in range(12)]
+    rows = [(i, own(90) + a + sentence + b + own(80)) for i in range(120) for a, b in [(rng.choice(around)[0] if i % 2 else own(70), rng.choice(around)[1] if i % 3 else own(70))]]
+    monkeypatch.setattr(_windows, "_hot_spans", lambda *_: pytest.fail("windows are hashed"))
+    got = remove_repeated_bytes(documents(*rows), width=width, hot=40).drop("kept").collect()
+    want = bytes_expected(rows, width)
+    assert sorted(map(tuple, got), key=str) == want and sum(r[2] > 0 for r in want) > 20
+
+
 def low_bits_agree(passage):
     """A text that holds the passage and one that doesn't, whose XXH64 agree in their lower 24 bits."""
     low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & ((1 << 24) - 1)
