@@ -622,6 +622,15 @@ def linked_rows(most: int, size: int, similarity: float):
 ROW = ["id", "none", "h", "t"]
 
 
+def _of_hashes(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows whose h is among the hashes, and a few others, so that the rest need no shuffle: a map of 16 bits or more a hash, made of
+    words of 64, is broadcast (two bytes a hash, and its words' keys)."""
+    words = max(1, hashes.count() // 4)
+    word, bit = F.pmod("h", F.lit(words)), F.pmod(F.shiftright("h", 40), F.lit(64)).cast("int")
+    bits = hashes.select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 40), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def similar_texts(rows: DataFrame, size: int = 5, similarity: float = 0.8, large: int = 4096) -> DataFrame:
     """rows (id, none, h, t, text) to (id, none, h, t, component): components of texts whose distinct shingles of `size` words (A-Z in
     lower case) have a Jaccard similarity of `similarity` or more. No link is left out; shingles are told apart by 64-bit hashes.
@@ -647,7 +656,7 @@ def similar_texts(rows: DataFrame, size: int = 5, similarity: float = 0.8, large
     groups = saved(components(edges).withColumnRenamed("node", "cls").join(classes.select("cls", "n", "first"), "cls"))
     parts = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum("n") / TOGETHER)).cast("int").alias("parts"))
     asked = spread(groups.join(parts, "component"), "component").select("block", "cls", "part", "first.*")
-    texts = rows.join(asked, ROW).select("block", "cls", "part", "text")
+    texts = _of_hashes(rows, groups.select("first.h")).join(asked, ROW).select("block", "cls", "part", "text")
     links = texts.repartition("block").sortWithinPartitions("block", "cls").mapInArrow(linked_rows(large, size, similarity), "a long, b long")
     joined = components(links).withColumnRenamed("node", "cls")
     return prints.select(*ROW, "cls").join(joined, "cls", "left").select(*ROW, F.coalesce("component", "cls").alias("component"))
